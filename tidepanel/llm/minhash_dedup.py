@@ -203,4 +203,4 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = classes.join(classes.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
     out = signed.select("doc", "n_shingles", "node").join(classes, "node", "left")
     out = out.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

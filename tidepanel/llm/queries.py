@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import minhash_dedup
+from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, tokenbin, toxicity
 from tidepanel.session import ship_package
 
 
@@ -15,12 +15,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of the whole documents, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of the whole documents, read back."""
+    import public_tokenizers
+
+    return tokenbin.tokenize_to_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49408)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the whole documents that copy a benchmark item."""
+    return decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of the whole documents, of their edited texts, and their likeness."""
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of the whole documents at a Jaccard similarity of 85/100."""
     return minhash_dedup.near_duplicate_groups(_table(spark, sf_dir, "documents"), num=85, den=100)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
+    "op7_token_files": op7_token_files,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
