@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, tokenbin, toxicity
+from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, tokenbin, toxicity, warc
 from tidepanel.session import ship_package
 
 
@@ -21,6 +21,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as legacy archives, converted to WARC files and read back."""
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of the whole documents, read back."""
     import public_tokenizers
@@ -45,6 +50,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
+    "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_document_fingerprints": op9_document_fingerprints,
