@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, tokenbin, toxicity, warc
+from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, mixing, secrets, sharding, tokenbin, toxicity, warc
 from tidepanel.session import ship_package
 
 
@@ -15,12 +15,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the whole documents, scanned through a new ledger."""
+    return secrets.document_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of the whole documents with counts at most one apart, equal texts together."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of the whole documents, learnt from the labels that are not held out."""
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+#: the share of expected tokens that the mixture gives to each value of labels.quality
+MIXTURE = {"1": 0.95, "0": 0.05}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the whole documents at which the expected tokens of the quality domains meet MIXTURE."""
+    return mixing.mixture_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), MIXTURE)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as legacy archives, converted to WARC files and read back."""
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
@@ -49,7 +68,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scans": op1_secret_scans,
+    "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_token_files": op7_token_files,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
@@ -57,4 +79,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_secret_scans": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+rules(kind, rank, pattern, grp, least) AS (VALUES
+  ('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1, 12),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 18),
+  ('hex', 2, '[0-9a-f]+', 0, 16)),
+hits AS (
+  SELECT doc_id, kind, rank, least, text,
+    CASE rank WHEN 0 THEN string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') WHEN 1 THEN string_split_regex(text, 'AKIA[A-Z0-9]+') ELSE string_split_regex(text, '[0-9a-f]+') END AS gaps,
+    CASE rank WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 0) WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(text, '[0-9a-f]+', 0) END AS found,
+    CASE rank WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+', 0) ELSE regexp_extract_all(text, '[0-9a-f]+', 0) END AS vals
+  FROM t, rules),
+each AS (SELECT doc_id, kind, rank, least, unnest(gaps[:len(found)]) AS gap, unnest(found) AS hit, unnest(vals) AS val, generate_subscripts(found, 1) AS i FROM hits),
+placed AS (SELECT doc_id, kind, rank, least, val, length(hit) AS n,
+    sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each),
+spans AS (SELECT doc_id, kind, rank, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM placed WHERE length(val) >= least),
+docs AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN docs USING (doc_id)
+""",
+}
