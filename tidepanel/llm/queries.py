@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, mixing, secrets, sharding, tokenbin, toxicity, warc
+from tidepanel.llm import decontaminate, fingerprints, minhash_dedup, mixing, secrets, sharding, suffix_dedup, tokenbin, toxicity, warc
 from tidepanel.session import ship_package
 
 
@@ -20,6 +20,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.document_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of the whole documents without the 200-byte strings that occur elsewhere."""
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of the whole documents with counts at most one apart, equal texts together."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=8)
@@ -69,6 +74,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
