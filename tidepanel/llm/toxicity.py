@@ -6,7 +6,7 @@ coordinate has its own rate from its summed squared gradients, and L1 keeps most
 zero, so that the model is a short list of (bucket, weight) that every task can hold.
 
 The model is fitted on at most about SAMPLE labelled rows, drawn by a hash of the id (all rows
-are used if there are no more). The sample is split into SHARDS; in each epoch every shard runs
+are used if there are no more). The sample is split into shards of about SHARD_ROWS; in each epoch every shard runs
 FTRL from the common state, and the states' changes are averaged.
 """
 
@@ -24,7 +24,7 @@ from tidepanel.session import materialize
 
 BUCKETS_LOG2 = 20
 SAMPLE, SHARDS, EPOCHS = 20_000, 4, 6
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 4.0, 0.1
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 THRESHOLD = 0.3
 _U = np.uint64
 
@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     #: the sample's ids have a bound of their own, so they go to the documents
     features = rows.join(F.broadcast(chosen), "doc").mapInArrow(_featurize, "doc long, label int, features binary")
     features = materialize(features, "toxicity-sample")
-    dealt = features.repartition(SHARDS, F.pmod(F.xxhash64("doc"), F.lit(SHARDS * 1009))).sortWithinPartitions(F.xxhash64("doc", F.lit(7)), "features").select("label", "features")
+    shards = max(1, round(min(total, sample) / SHARD_ROWS))
+    dealt = features.repartition(shards, F.pmod(F.xxhash64("doc"), F.lit(shards * 1009))).sortWithinPartitions(F.xxhash64("doc", F.lit(7)), "features").select("label", "features")
     size = (1 << BUCKETS_LOG2) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(EPOCHS):
