@@ -23,7 +23,7 @@ from tidepanel.llm.texthash import doc_chunks, mix, text_buffer, word_hashes
 from tidepanel.session import materialize
 
 BUCKETS_LOG2 = 20
-SAMPLE, SHARDS, EPOCHS = 20_000, 4, 6
+SAMPLE, SHARD_ROWS, ROUNDS, EPOCHS = 12_000, 3_000, 2, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 THRESHOLD = 0.3
 _U = np.uint64
