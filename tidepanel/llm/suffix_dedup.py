@@ -23,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidepanel.llm.suffixsort import suffix_order
 from tidepanel.llm.texthash import _BASE, _INVERSE, _LETTER, mix, text_buffer
 from tidepanel.session import materialize, shuffle_partitions
 
-WINDOW, GRAM = 200, 64
+WINDOW, GRAM = 200, 40
 BLOCK_BYTES = 3 << 20
 PIECE = 1 << 20
 _U = np.uint64
@@ -116,18 +117,36 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 18)]), pa.array(values[at : at + (1 << 18)])], ["node", "anchor"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) to (doc, key, compressed text), the form in which texts are shuffled."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        raw, offs = text_buffer(batch.column(1))
+        texts = [raw[a:b].tobytes() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array([squeeze.compress(t) for t in texts], pa.binary())], ["doc", "key", "packed"])
+
+
+def _texts(column: pa.Array) -> Iterator[np.ndarray]:
+    stretch = zstandard.ZstdDecompressor()
+    for x in column:
+        yield np.frombuffer(stretch.decompress(x.as_py()), np.uint8)
+
+
 def _span_rows(window: int, gram: int):
-    """(node, copies, wanted anchors, text) to the spans of wanted anchors; a span's bytes go along once a task."""
+    """(node, copies, wanted anchors, text) to the spans of wanted anchors.
+
+    A span's bytes go along once a task; `told` marks the first two rows of a span in a task, which
+    is all that its count needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
+        sent: dict[bytes, int] = {}
+        rows: list[tuple] = []
+        weight = 0
         for batch in batches:
-            raw, offs = text_buffer(batch.column(3))
-            rows: list[tuple] = []
-            weight = 0
-            for node, copies, wanted, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                data, wanted = raw[a:b], np.unique(np.array(wanted, np.int64).view(_U))
-                for lo, hi in pieces(b - a, window):
+            for node, copies, wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _texts(batch.column(3)), strict=True):
+                wanted = np.unique(np.array(wanted, np.int64).view(_U))
+                for lo, hi in pieces(len(data), window):
                     anchors, hashes = window_anchors(data[lo:hi], window, gram)
                     firsts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
                     ends = np.r_[firsts[1:], len(anchors)]
@@ -136,24 +155,25 @@ def _span_rows(window: int, gram: int):
                     for f, e, h in zip(firsts[keep].tolist(), ends[keep].tolist(), own[keep].view(np.int64).tolist(), strict=True):
                         span = data[lo + f : lo + e + window - 1].tobytes()
                         digest = hashlib.blake2b(span + h.to_bytes(8, "little", signed=True), digest_size=16).digest()
-                        rows.append((h, digest, node, lo + f, copies, None if digest in sent else span))
-                        if digest not in sent:
+                        times = sent.get(digest, 0)
+                        rows.append((h, digest, node, lo + f, copies, times < 2, None if times else span))
+                        if not times:
                             weight += len(span)
-                            if len(sent) > 500_000:
-                                sent.clear()
-                            sent.add(digest)
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent[digest] = times + 1
                 if weight > 1 << 22 or len(rows) > 1 << 15:
                     yield _pack_spans(rows)
                     rows, weight = [], 0
-            if rows:
-                yield _pack_spans(rows)
+        if rows:
+            yield _pack_spans(rows)
 
     return run
 
 
 def _pack_spans(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], ["anchor", "digest", "node", "start", "copies", "span"])
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], ["anchor", "digest", "node", "start", "copies", "told", "span"])
 
 
 def repeated_windows(spans: list[bytes], window: int) -> list[np.ndarray]:
@@ -196,6 +216,9 @@ def _sort_shard(window: int):
         digests, spans, counts, size, now = [], [], [], 0, None
         for batch in batches:
             for anchor, digest, count, span in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if digests and digest == digests[-1]:
+                    counts[-1] += count
+                    continue
                 if anchor != now and size > BLOCK_BYTES:
                     yield solve(digests, spans, counts)
                     digests, spans, counts, size = [], [], [], 0
@@ -213,17 +236,16 @@ def _sort_shard(window: int):
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text, places) to what is removed of each text and the hash of the rest."""
     for batch in batches:
-        raw, offs = text_buffer(batch.column(1))
         rows = []
-        for key, places, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            edges = np.zeros(b - a + 1, np.int32)
+        for key, places, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _texts(batch.column(1)), strict=True):
+            edges = np.zeros(len(data) + 1, np.int32)
             for place in places:
                 runs = np.frombuffer(place["runs"], "<i8").reshape(-1, 2) + place["start"]
                 np.add.at(edges, runs[:, 0], 1)
                 np.add.at(edges, runs[:, 1], -1)
             gone = np.cumsum(edges)[:-1] > 0
             spans = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]]))
-            rows.append((key, int(gone.sum()), spans, hashlib.sha256(raw[a:b][~gone].tobytes()).hexdigest()))
+            rows.append((key, int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
         types = (pa.binary(), pa.int64(), pa.int64(), pa.string())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], ["key", "n_removed", "n_spans", "kept_sha256"])
@@ -245,22 +267,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = materialize(first.select("key", "rep.node", F.col("rep.doc").alias("rep_doc"), "copies"), "suffix-texts")
 
     unpacked = signed.join(first.select("node"), "node", "left_semi").select("node", "anchors").mapInArrow(_unpack, "node long, anchor long")
-    anchors = materialize(unpacked, "suffix-anchors")
+    anchors = unpacked.repartition(parts, "anchor")
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("wanted"))
     wanted = first.join(wanted, "node").select(F.col("key").alias("rep_key"), "rep_doc", "node", "copies", "wanted")
-    texts = source.select("doc", F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    texts = source.mapInArrow(_packed, f"doc {kind}, key binary, packed binary")
     one = (F.col("key") == F.col("rep_key")) & F.col("doc").eqNullSafe(F.col("rep_doc"))
-    spans = texts.join(wanted.hint("shuffle_hash"), one).select("node", "copies", "wanted", "text").mapInArrow(_span_rows(window, gram), "anchor long, digest binary, node long, start long, copies long, span binary")
+    spans = texts.join(wanted.hint("shuffle_hash"), one).select("node", "copies", "wanted", "packed").mapInArrow(_span_rows(window, gram), "anchor long, digest binary, node long, start long, copies long, told boolean, span binary")
     spans = materialize(spans, "suffix-spans")
-    #: rows that repeat both id and text bring their spans once each; the place is one
-    places = spans.select("digest", "node", "start").distinct()
-    folded = spans.groupBy("anchor", "digest").agg(F.sum("copies").alias("count"), F.max("span").alias("span"))
-    sorted_ = folded.repartition(parts, "anchor").sortWithinPartitions("anchor", "digest").select("anchor", "digest", "count", "span")
-    runs = materialize(sorted_.mapInArrow(_sort_shard(window), "digest binary, runs binary"), "suffix-runs")
-    cuts = places.join(runs, "digest").groupBy("node").agg(F.collect_list(F.struct("start", "runs")).alias("places"))
-    cuts = first.where("copies = 1").join(cuts, "node").select("key", "places")
-    cut = texts.join(cuts.hint("shuffle_hash"), "key").select("key", "text", "places").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    #: within a digest the row that has the bytes comes first
+    dealt = spans.where("told").select("anchor", "digest", F.col("copies").alias("count"), "span").repartition(parts, "anchor").sortWithinPartitions("anchor", "digest", F.col("span").desc_nulls_last())
+    runs = materialize(dealt.mapInArrow(_sort_shard(window), "digest binary, runs binary"), "suffix-runs")
+    cuts = spans.where("copies = 1").select("digest", "node", "start").join(runs, "digest").groupBy("node").agg(F.collect_list(F.struct("start", "runs")).alias("places"))
+    cuts = first.join(cuts, "node").select(F.col("key").alias("rep_key"), "places")
+    cut = texts.select("key", "packed").join(cuts.hint("shuffle_hash"), F.col("key") == F.col("rep_key")).select("key", "packed", "places").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
     whole = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), F.col("n_bytes"))
     nothing = hashlib.sha256(b"").hexdigest()
     out = signed.select("doc", "key", "n_bytes").join(first.select("key", "copies"), "key").join(cut, "key", "left")
