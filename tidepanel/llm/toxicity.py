@@ -6,8 +6,8 @@ coordinate has its own rate from its summed squared gradients, and L1 keeps most
 zero, so that the model is a short list of (bucket, weight) that every task can hold.
 
 The model is fitted on at most about SAMPLE labelled rows, drawn by a hash of the id (all rows
-are used if there are no more). The sample is split into shards of about SHARD_ROWS; in each epoch every shard runs
-FTRL from the common state, and the states' changes are averaged.
+are used if there are no more). The sample is split into shards of about SHARD_ROWS; each runs
+EPOCHS passes of FTRL from zero, and the shards' states are averaged coordinate by coordinate.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidepanel.llm.texthash import doc_chunks, mix, text_buffer, word_hashes
-from tidepanel.session import materialize
 
 BUCKETS_LOG2 = 20
-SAMPLE, SHARD_ROWS, ROUNDS, EPOCHS = 12_000, 3_000, 2, 3
+SAMPLE, SHARD_ROWS, EPOCHS = 12_000, 6_000, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.1
 THRESHOLD = 0.3
 _U = np.uint64
@@ -84,19 +83,19 @@ class Ftrl:
         self.n[at] = grown
 
 
-def _epoch(z: np.ndarray, n: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = Ftrl(z.copy(), n.copy())
-        touched = np.zeros(len(z), bool)
-        for batch in batches:
-            for label, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = np.r_[np.frombuffer(packed, "<u4").astype(np.int64), len(z) - 1]
-                touched[at] = True
-                state.learn(at, float(label))
-        some = np.flatnonzero(touched)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array((state.z - z)[some]), pa.array((state.n - n)[some])], ["at", "dz", "dn"])
-
-    return run
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state of one shard after its passes, at the coordinates that its rows touch."""
+    size = (1 << BUCKETS_LOG2) + 1
+    state, touched, rows = Ftrl(np.zeros(size), np.zeros(size)), np.zeros(size, bool), []
+    for batch in batches:
+        for label, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows.append((float(label), np.r_[np.frombuffer(packed, "<u4").astype(np.int64), size - 1]))
+            touched[rows[-1][1]] = True
+    for _ in range(EPOCHS):
+        for label, at in rows:
+            state.learn(at, label)
+    some = np.flatnonzero(touched)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(state.z[some]), pa.array(state.n[some])], ["at", "z", "n"])
 
 
 def held_out(id_col: Column) -> Column:
@@ -117,31 +116,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     #: the sample's ids have a bound of their own, so they go to the documents
     features = rows.join(F.broadcast(chosen), "doc").mapInArrow(_featurize, "doc long, label int, features binary")
-    features = materialize(features, "toxicity-sample")
     shards = max(1, round(min(total, sample) / SHARD_ROWS))
     dealt = features.repartition(shards, F.pmod(F.xxhash64("doc"), F.lit(shards * 1009))).sortWithinPartitions(F.xxhash64("doc", F.lit(7)), "features").select("label", "features")
-    size = (1 << BUCKETS_LOG2) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(EPOCHS):
-        spread = docs.sparkSession.sparkContext.broadcast((z, n))
-        changes = dealt.mapInArrow(_epoch_of(spread), "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"), F.count(F.lit(1)).alias("parts"))
-        moved = changes.toArrow()
-        at = moved.column("at").to_numpy()
-        z[at] += moved.column("dz").to_numpy() / moved.column("parts").to_numpy()
-        n[at] += moved.column("dn").to_numpy() / moved.column("parts").to_numpy()
-        spread.unpersist()
+    states = dealt.mapInArrow(_passes, "at long, z double, n double").groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+    z, n = np.zeros((1 << BUCKETS_LOG2) + 1), np.zeros((1 << BUCKETS_LOG2) + 1)
+    at = states.column("at").to_numpy()
+    z[at], n[at] = states.column("z").to_numpy(), states.column("n").to_numpy()
     w = Ftrl(z, n).weights(slice(None))
     some = np.flatnonzero(w[:-1])
     return Model(some, w[some].astype(np.float32), float(w[-1]))
 
 
-def _epoch_of(spread):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _epoch(*spread.value)(batches)
-
-    return run
-
-
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = model.dense()
