@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidepanel.llm.texthash import _STEP, doc_chunks, mix, text_buffer, word_hashes
 from tidepanel.session import materialize
 
-SEED_WORDS, STRIDE, LEAST_SCORE = 4, 5, 0.5
+SEED_WORDS, STRIDE, LEAST_SCORE = 3, 2, 0.5
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
