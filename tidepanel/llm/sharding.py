@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidepanel.session import materialize, shuffle_partitions
 
 ROUNDS = 8
+SLACK = 0.05
 _SCALE = 1 << 30
 
 
@@ -42,8 +43,9 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
     """(node, shard) for every node of links (src, dst, weight), no shard above its quota by more than chance.
 
     Nodes start in a shard drawn from their number. In a round, half of the nodes (drawn anew) count
-    their neighbours' shards by a join; one that gains by a move takes it with the probability of
-    the target's room over the demand for it.
+    their neighbours' shards by a join; one that gains by a move takes it with the probability at
+    which as many leave as come: moves between two shards are matched first, and what is left over
+    shares the target's room up to its quota and SLACK.
     """
     shards = len(quotas)
     both = materialize(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "shard-links")
@@ -56,12 +58,15 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         movers = (F.col("gain") > 0) & (_draw("node", F.lit(at)) < 0.5)
         asked = materialize(asked.withColumn("asks", movers), "shard-asks")
         now = {(r["shard"], r["want"], r["asks"]): r["n"] for r in asked.groupBy("shard", "want", "asks").agg(F.count(F.lit(1)).alias("n")).collect()}
-        demand = [sum(n for (_, w, a), n in now.items() if a and w == j) for j in range(shards)]
-        if not any(n for (s, w, _), n in now.items() if s != w):
+        wish = [[now.get((i, j, True), 0) if i != j else 0 for j in range(shards)] for i in range(shards)]
+        if not any(n for (i, j, _), n in now.items() if i != j):
             break
-        held = [sum(n for (s, _, _), n in now.items() if s == j) for j in range(shards)]
-        chance = [min(1.0, max(0, quotas[j] - held[j]) / demand[j]) if demand[j] else 0.0 for j in range(shards)]
-        odds = F.element_at(F.array(*[F.lit(c) for c in chance]), F.col("want") + 1)
+        held = [sum(n for (i, _, _), n in now.items() if i == j) for j in range(shards)]
+        even = [[min(wish[i][j], wish[j][i]) for j in range(shards)] for i in range(shards)]
+        over = [sum(wish[i][j] - even[i][j] for i in range(shards)) for j in range(shards)]
+        share = [min(1.0, max(0.0, quotas[j] * (1 + SLACK) - held[j]) / over[j]) if over[j] else 0.0 for j in range(shards)]
+        chance = [(even[i][j] + (wish[i][j] - even[i][j]) * share[j]) / wish[i][j] if wish[i][j] else 0.0 for i in range(shards) for j in range(shards)]
+        odds = F.element_at(F.array(*[F.lit(c) for c in chance]), F.col("shard") * shards + F.col("want") + 1)
         moved = F.when(F.col("asks") & (_draw("node", F.lit(at), F.lit("move")) < odds), F.col("want")).otherwise(F.col("shard"))
         labels = materialize(asked.select("node", moved.cast("int").alias("shard")), "shard-labels")
     return labels
