@@ -703,3 +703,25 @@ def parsed_values(spark, sf_dir):
     x = F.when(k % 6 == 0, "1,234.5").when(k % 6 == 1, " ").when(k % 6 == 2, "nan").when(k % 6 == 3, "-7e2").when(k % 6 == 4, "12x").otherwise(k.cast("string"))
     b = F.when(k % 4 == 0, " Yes").when(k % 4 == 1, "F").when(k % 4 == 2, "maybe").otherwise("t")
     return ct.table(spark, sf_dir, "orders").select("o_orderkey", parse.parse_number(x).alias("number"), parse.parse_integer(x).alias("integer"), parse.parse_bool(b).alias("truth"), parse.strict_flag(b).alias("strict"))
+
+
+# ---------------------------------------------------------------- simulations (a fold has no SQL)
+
+
+@query("event_account")
+def event_account(spark, sf_dir):
+    from tidepanel.plans.simulate import AccountRules, event_account as simulate
+
+    prices = ct.event_prices(spark, sf_dir)
+    events = ct.table(spark, sf_dir, "events").where("event_type = 'purchase' or value > 90").select("event_id", F.col("user_id").cast("string").alias("code"), F.col("ts").alias("announced"))
+    return _rounded(simulate(events, prices, market_calendar(prices), [AccountRules("five", holding_days=5), AccountRules("ten", holding_days=10, max_positions=10)]))
+
+
+@query("walk_forward")
+def walk_forward(spark, sf_dir):
+    from tidepanel.plans.simulate import PortfolioRules, portfolio_inputs, walk_forward as simulate
+
+    panel, prices, calendar, statements = _universe(spark, sf_dir)
+    scores = panels.scored(panels.raw_factors(panel, statements, prices, calendar), WEIGHTS, RULES)
+    inputs = portfolio_inputs(scores, prices, calendar, panel)
+    return _rounded(simulate(inputs, [PortfolioRules("base"), PortfolioRules("taxed", tax_rate=0.2, max_per_sector=2)]))

@@ -1,0 +1,224 @@
+"""Path-dependent simulations: an event account and a walk-forward portfolio.
+
+Spark plans what can be planned as sets (entry and exit dates, fill prices, ranks); what depends on
+the path of cash and positions is a fold over the rows of one run. Runs, one for each set of
+parameters, are independent, and `applyInPandas` folds each in a task of its own.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from tidepanel.operators.market_calendar import offset_date, with_calendar_index
+
+# ---------------------------------------------------------------- event account
+
+
+@dataclass(frozen=True)
+class AccountRules:
+    """Parameters of an event account."""
+
+    run_id: str = "base"
+    initial_capital: float = 1_000_000.0
+    target_weight: float = 0.1
+    max_positions: int = 5
+    lot_size: int = 1
+    commission_bps: float = 10.0
+    tax_rate: float = 0.2
+    entry_lag: int = 1
+    holding_days: int = 5
+
+    def __post_init__(self) -> None:
+        if not 0 < self.target_weight <= 1 or self.max_positions < 1 or self.lot_size < 1 or self.entry_lag < 1 or self.holding_days < 1 or self.commission_bps < 0 or self.tax_rate < 0:
+            raise ValueError(f"impossible account rules: {self}")
+
+
+def planned_events(events: DataFrame, prices: DataFrame, calendar: DataFrame, rules: AccountRules) -> DataFrame:
+    """Events with entry and exit date, `lag` and `holding` trading days on, and the closes of exactly those days."""
+    day = events.withColumn("__day", F.col("announced").cast("date"))
+    rows = with_calendar_index(day, calendar, "__day", "__k", mode="after")
+    rows = offset_date(rows, calendar, "__k", rules.entry_lag - 1, "entry_date")
+    rows = offset_date(rows, calendar, "__k", rules.entry_lag - 1 + rules.holding_days, "exit_date")
+    for side in ("entry", "exit"):
+        leg = prices.select(F.col("code").alias(f"__c_{side}"), F.col("date").alias(f"__d_{side}"), F.col("close").alias(f"{side}_price"))
+        rows = rows.join(leg, (F.col("code") == F.col(f"__c_{side}")) & (F.col(f"{side}_date") == F.col(f"__d_{side}")), "left")
+    return rows.select(F.lit(rules.run_id).alias("run_id"), "event_id", "code", "announced", "entry_date", "exit_date", "entry_price", "exit_price")
+
+
+ACCOUNT_SCHEMA = "run_id string, event_id long, code string, outcome string, entry_date date, exit_date date, shares long, entry_value double, exit_value double, commission double, tax double, cash_after double"
+
+
+def _account(rules: AccountRules):
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rate = rules.commission_bps / 10_000
+        cash, held, out = rules.initial_capital, {}, []
+        rows = rows.sort_values(["announced", "event_id"])
+        entries: dict = {}
+        for r in rows.itertuples():
+            if pd.isna(r.entry_date):
+                out.append((r.event_id, r.code, "missing_entry_date", None, None, 0, 0.0, 0.0, 0.0, 0.0, cash))
+            elif pd.isna(r.exit_date):
+                out.append((r.event_id, r.code, "insufficient_exit_window", r.entry_date, None, 0, 0.0, 0.0, 0.0, 0.0, cash))
+            else:
+                entries.setdefault(r.entry_date, []).append(r)
+        days = sorted(set(entries) | {r.exit_date for rs in entries.values() for r in rs})
+        for day in days:
+            for r, shares, value, paid in sorted((h for h in held.values() if h[0].exit_date == day), key=lambda h: h[0].event_id):
+                if pd.isna(r.exit_price):
+                    continue  # stays open: nothing can be sold that day
+                gross = shares * r.exit_price
+                fee, tax = gross * rate, max(gross - value, 0.0) * rules.tax_rate
+                cash += gross - fee - tax
+                del held[r.code]
+                out.append((r.event_id, r.code, "closed", r.entry_date, day, shares, value, gross, paid + fee, tax, cash))
+            equity = cash + sum(value for _, _, value, _ in held.values())
+            for r in entries.get(day, []):
+                budget = min(equity * rules.target_weight, cash / (1 + rate))
+                shares = 0 if pd.isna(r.entry_price) or r.entry_price <= 0 else int(budget // (r.entry_price * rules.lot_size)) * rules.lot_size
+                if len(held) >= rules.max_positions:
+                    why = "max_concurrent_positions"
+                elif r.code in held:
+                    why = "duplicate_open_position"
+                elif pd.isna(r.entry_price):
+                    why = "missing_entry_price"
+                elif shares < 1:
+                    why = "below_one_lot"
+                else:
+                    value = shares * r.entry_price
+                    cash -= value * (1 + rate)
+                    held[r.code] = (r, shares, value, value * rate)
+                    continue
+                out.append((r.event_id, r.code, why, day, None, 0, 0.0, 0.0, 0.0, 0.0, cash))
+        for r, shares, value, paid in held.values():
+            out.append((r.event_id, r.code, "open_at_end", r.entry_date, None, shares, value, 0.0, paid, 0.0, cash))
+        names = ["event_id", "code", "outcome", "entry_date", "exit_date", "shares", "entry_value", "exit_value", "commission", "tax", "cash_after"]
+        found = pd.DataFrame(out, columns=names)
+        found.insert(0, "run_id", rules.run_id)
+        return found
+
+    return fold
+
+
+def event_account(events: DataFrame, prices: DataFrame, calendar: DataFrame, runs: list[AccountRules]) -> DataFrame:
+    """The outcome of every event in every run: exits before entries, one position for a code, whole lots."""
+    out = None
+    for rules in runs:
+        one = planned_events(events, prices, calendar, rules).groupBy("run_id").applyInPandas(_account(rules), ACCOUNT_SCHEMA)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- walk-forward portfolio
+
+
+@dataclass(frozen=True)
+class PortfolioRules:
+    """Parameters of a walk-forward run; codes are held while their rank is at most hold_rank."""
+
+    run_id: str = "base"
+    initial_capital: float = 10_000_000.0
+    positions: int = 10
+    hold_rank: int = 20
+    lot_size: int = 10
+    cost_bps: float = 10.0
+    adv_share: float = 0.05
+    tax_rate: float = 0.0
+    max_per_sector: int | None = None
+
+
+PORTFOLIO_SCHEMA = "run_id string, rebalance_date date, holdings int, buys int, sells int, traded_value double, costs double, taxes double, cash double, equity double, period_return double"
+
+
+def portfolio_inputs(scores: DataFrame, prices: DataFrame, calendar: DataFrame, panel: DataFrame) -> DataFrame:
+    """Ranked codes of each date with the fill price of the next trading day (none if it has no bar) and the liquidity."""
+    rows = with_calendar_index(panel.select("rebalance_date", "code", "sector", "latest_close", "median_value"), calendar, "rebalance_date", "__k")
+    rows = offset_date(rows, calendar, "__k", 1, "fill_date")
+    bars = prices.select("code", F.col("date").alias("fill_date"), F.col("close").alias("fill_price"))
+    rows = rows.join(bars, ["code", "fill_date"], "left").join(scores.select("rebalance_date", "code", "rank"), ["rebalance_date", "code"], "left")
+    return rows.select("rebalance_date", "code", "sector", "rank", "latest_close", "median_value", "fill_price")
+
+
+class _Lots:
+    """First-in first-out lots of one code."""
+
+    def __init__(self):
+        self.queue: deque = deque()
+
+    @property
+    def shares(self) -> int:
+        return sum(n for n, _ in self.queue)
+
+    def take(self, shares: int) -> float:
+        """Remove shares, oldest first; returns their cost."""
+        cost = 0.0
+        while shares:
+            n, price = self.queue[0]
+            used = min(n, shares)
+            cost += used * price
+            shares -= used
+            if used == n:
+                self.queue.popleft()
+            else:
+                self.queue[0] = (n - used, price)
+        return cost
+
+
+def _portfolio(rules: PortfolioRules):
+    def chosen(day: pd.DataFrame, held: set) -> list:
+        ranked = day[day["rank"].notna()].sort_values("rank")
+        keep = [r for r in ranked.itertuples() if r.code in held and r.rank <= rules.hold_rank]
+        picked, sectors = [], {}
+        for r in [*keep, *(r for r in ranked.itertuples() if r.code not in held)]:
+            if len(picked) == rules.positions:
+                break
+            if rules.max_per_sector is not None and sectors.get(r.sector, 0) >= rules.max_per_sector:
+                continue
+            sectors[r.sector] = sectors.get(r.sector, 0) + 1
+            picked.append(r)
+        return picked
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        cash, lots, last, out, before = rules.initial_capital, {}, {}, [], rules.initial_capital
+        rate = rules.cost_bps / 10_000
+        for date, day in rows.groupby("rebalance_date", sort=True):
+            prices = {r.code: r.fill_price for r in day.itertuples() if not pd.isna(r.fill_price)}
+            last |= {r.code: r.latest_close for r in day.itertuples() if not pd.isna(r.latest_close)}
+            limit = {r.code: rules.adv_share * r.median_value for r in day.itertuples() if not pd.isna(r.median_value)}
+            worth = lambda: cash + sum(x.shares * prices.get(c, last.get(c, 0.0)) for c, x in lots.items())  # noqa: B023, E731
+            target = {r.code: worth() / rules.positions for r in chosen(day, set(lots))}
+            traded = costs = taxes = 0.0
+            buys = sells = 0
+            orders = {c: (int(target.get(c, 0.0) // (p * rules.lot_size)) * rules.lot_size - (lots[c].shares if c in lots else 0), p) for c, p in prices.items() if c in target or c in lots}
+            for code, (change, price) in sorted(orders.items()):
+                if change < 0:
+                    gain = -change * price - lots[code].take(-change)
+                    fee, tax = -change * price * rate, max(gain, 0.0) * rules.tax_rate
+                    cash += -change * price - fee - tax
+                    traded, costs, taxes, sells = traded - change * price, costs + fee, taxes + tax, sells + 1
+                    if not lots[code].shares:
+                        del lots[code]
+            for code, (change, price) in sorted(orders.items()):
+                change = min(change, int(limit.get(code, float("inf")) // (price * rules.lot_size)) * rules.lot_size if code in limit else change, int(cash // (price * (1 + rate) * rules.lot_size)) * rules.lot_size)
+                if change > 0:
+                    lots.setdefault(code, _Lots()).queue.append((change, price))
+                    cash -= change * price * (1 + rate)
+                    traded, costs, buys = traded + change * price, costs + change * price * rate, buys + 1
+            equity = worth()
+            out.append((rules.run_id, date, len(lots), buys, sells, traded, costs, taxes, cash, equity, equity / before - 1))
+            before = equity
+        return pd.DataFrame(out, columns=[x.split()[0] for x in PORTFOLIO_SCHEMA.split(", ")])
+
+    return fold
+
+
+def walk_forward(inputs: DataFrame, runs: list[PortfolioRules]) -> DataFrame:
+    """A row for each run and rebalance date: trades, costs, cash and equity after them."""
+    out = None
+    for rules in runs:
+        one = inputs.withColumn("run_id", F.lit(rules.run_id)).groupBy("run_id").applyInPandas(_portfolio(rules), PORTFOLIO_SCHEMA)
+        out = one if out is None else out.unionByName(one)
+    return out
