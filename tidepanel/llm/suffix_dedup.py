@@ -33,6 +33,7 @@ from tidepanel.session import materialize, shuffle_partitions
 WINDOW, GRAM = 200, 40
 BLOCK_BYTES = 3 << 20
 PIECE = 1 << 20
+_PLACES = 1 << 21
 _U = np.uint64
 _BYTE = mix(np.arange(301, 557, dtype=_U))
 _table: dict[str, np.ndarray] = {}
@@ -61,21 +62,18 @@ def window_anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray
     """(anchor of each window, gram hashes): positions of the leftmost least gram in every window of data."""
     hashes = gram_hashes(data, gram)
     width, n = window - gram + 1, len(hashes)
+    if n > _PLACES:
+        raise ValueError(f"more than {_PLACES} grams; see pieces()")
+    #: a gram's rank is its hash with its place in the low bits, so that a minimum names the leftmost place
+    ranked = (hashes & ~_U(_PLACES - 1)) | np.arange(n, dtype=_U)
     #: minima of `width` neighbours: running minima from both ends of blocks of that width
     blocks = -(-n // width)
     padded = np.full(blocks * width, np.iinfo(_U).max, _U)
-    padded[:n] = hashes
+    padded[:n] = ranked
     shaped = padded.reshape(blocks, width)
     right = np.minimum.accumulate(shaped, axis=1).ravel()
     left = np.minimum.accumulate(shaped[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(left[: n - width + 1], right[width - 1 : n])
-    #: the leftmost place of the minimum: the next place at which a gram equals it
-    changes = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    anchors = np.empty(len(least), np.int64)
-    ends = np.r_[changes[1:], len(least)]
-    for lo, hi in zip(changes.tolist(), ends.tolist(), strict=True):
-        places = np.flatnonzero(hashes[lo : hi + width - 1] == least[lo]) + lo
-        anchors[lo:hi] = places[np.searchsorted(places, np.arange(lo, hi))] if len(places) > 1 else places[0]
+    anchors = (np.minimum(left[: n - width + 1], right[width - 1 : n]) & _U(_PLACES - 1)).astype(np.int64)
     return anchors, hashes
 
 

@@ -113,14 +113,19 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _push_left(queue: BucketQueue, since: np.ndarray, before: np.ndarray, pos: np.ndarray, lcp: np.ndarray, ok: np.ndarray, depth: int) -> None:
-    """Push the left neighbours (where ok) of a batch under their symbols, with common prefixes by range minima."""
+def _push_left(queue: BucketQueue, since: np.ndarray | None, before: np.ndarray, pos: np.ndarray, lcp: np.ndarray, ok: np.ndarray, depth: int) -> None:
+    """Push the left neighbours (where ok) of a batch under their symbols, with common prefixes by range minima; without `since` the order alone is kept."""
     index = np.flatnonzero(ok)
     if len(index):
-        symbols = before[index]
+        symbols = before[index].astype(np.uint16)
         order = np.argsort(symbols, kind="stable")
         index, symbols = index[order], symbols[order]
         cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        if since is None:
+            left, none = pos[index] - 1, np.zeros(len(index), np.int16)
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(index)], strict=True):
+                queue.push(int(symbols[lo]), left[lo:hi], none[lo:hi])
+            return
         tails = np.full(len(since), -1, np.int64)
         for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(index)], strict=True):
             own, symbol = index[lo:hi], int(symbols[lo])
@@ -133,7 +138,7 @@ def _push_left(queue: BucketQueue, since: np.ndarray, before: np.ndarray, pos: n
         end = np.append(suffix, depth).astype(np.int16)
         since[hit] = end[tails[hit] + 1]
         since[~hit] = np.minimum(since[~hit], suffix[0])
-    elif len(lcp):
+    elif len(lcp) and since is not None:
         np.minimum(since, lcp.min(), out=since)
 
 
@@ -149,16 +154,13 @@ def induce(text: np.ndarray, small: np.ndarray, symbols: int, seeds: np.ndarray,
     seed_symbol = text[seeds].astype(np.int64)
     bounds = np.searchsorted(seed_symbol, np.arange(symbols + 1))
     falling: list[tuple[np.ndarray, np.ndarray]] = []
-    queue, since = BucketQueue(symbols, memory), np.full(symbols, 0, np.int16)
-    started = np.zeros(symbols, bool)
+    queue, since = BucketQueue(symbols, memory), np.zeros(symbols, np.int16) if prefixes else None
 
     def scan(pos: np.ndarray, lcp: np.ndarray, keep: bool) -> None:
         has = pos > 0
-        before = text[np.maximum(pos - 1, 0)].astype(np.int64)
+        before = text[np.maximum(pos - 1, 0)]
         ok = has & (small[np.maximum(pos - 1, 0)] != keep)
         _push_left(queue, since, before, pos, lcp, ok, depth)
-        new = np.unique(before[ok])
-        started[new] = True
 
     for symbol in range(symbols):
         parts = []
@@ -177,7 +179,7 @@ def induce(text: np.ndarray, small: np.ndarray, symbols: int, seeds: np.ndarray,
             lcp[0] = meet(mine[0][-1], seeds[lo]) if len(mine[0]) else 0
             scan(seeds[lo:hi], lcp, True)
     #: from the largest down; a tuple's common prefix is with the one after it
-    queue, since[:] = BucketQueue(symbols, memory), 0
+    queue, since = BucketQueue(symbols, memory), np.zeros(symbols, np.int16) if prefixes else None
     order: list[np.ndarray] = []
     common: list[np.ndarray] = []
     for symbol in range(symbols - 1, -1, -1):
@@ -207,17 +209,23 @@ def induce(text: np.ndarray, small: np.ndarray, symbols: int, seeds: np.ndarray,
 def _by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
     """Order of the suffixes of a string of names, exact to depth names at least; the recursion's base."""
     n, reach = len(names), 1
-    rank = names.astype(np.int64)
+    order = np.argsort(names, kind="stable")
+    #: a rank is the first place of a group of equals; only groups of several are sorted again
+    ordered, places, rank = names[order], np.arange(n), np.empty(n, np.int64)
     while True:
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-        if reach >= depth or rank[order[-1]] == n - 1:
+        heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        sizes = np.diff(np.r_[heads, len(ordered)])
+        rank[order[places]] = np.repeat(places[heads], sizes)
+        places = places[np.repeat(sizes > 1, sizes)]
+        if reach >= depth or not len(places):
             return order
-        following = np.zeros(n, np.int64)
-        following[: n - reach] = rank[reach:] + 1
-        rank = rank * (n + 1) + following
+        items = order[places]
+        following = np.zeros(len(items), np.int64)
+        inside = items + reach < n
+        following[inside] = rank[items[inside] + reach] + 1
+        keys = rank[items] * (n + 1) + following
+        again = np.argsort(keys, kind="stable")
+        order[places], ordered = items[again], keys[again]
         reach *= 2
 
 
