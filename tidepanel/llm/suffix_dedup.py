@@ -264,8 +264,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = signed.groupBy("key").agg(F.min(F.struct("node", "doc")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     first = materialize(first.select("key", "rep.node", F.col("rep.doc").alias("rep_doc"), "copies"), "suffix-texts")
 
+    #: not dealt by anchor beforehand: the count combines before its shuffle and the join splits a hot anchor
     unpacked = signed.join(first.select("node"), "node", "left_semi").select("node", "anchors").mapInArrow(_unpack, "node long, anchor long")
-    anchors = unpacked.repartition(parts, "anchor")
+    anchors = materialize(unpacked, "suffix-anchors")
     shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = anchors.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("wanted"))
     wanted = first.join(wanted, "node").select(F.col("key").alias("rep_key"), "rep_doc", "node", "copies", "wanted")
