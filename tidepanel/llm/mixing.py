@@ -135,8 +135,9 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
     return steps
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float, budget: float | None, id_col: str, text_col: str, label_col: str) -> tuple[DataFrame, DomainClassifier, list[list[float]]]:
-    table = materialize(with_features(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col), "mix-features")
+def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float, budget: float | None, id_col: str, text_col: str, label_col: str, keep_text: bool = True) -> tuple[DataFrame, DomainClassifier, list[list[float]]]:
+    features = with_features(docs, text_col)
+    table = materialize(features if keep_text else features.drop(text_col), "mix-features")
     model = fit_classifier(table, labels, id_col, label_col)
     members = table.select(F.col(TOKENS).alias("tokens"), *[x.alias(f"p{k}") for k, x in enumerate(model.posteriors())])
     return table, model, fit_rates(materialize(members, "mix-members"), model.domains, targets, most, budget)
@@ -149,7 +150,7 @@ def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     repeated rows, and count as such in the totals. Other columns are left aside; an empty table gives an
     empty result.
     """
-    table, model, steps = _fitted(docs, labels, targets, most, budget, id_col, text_col, label_col)
+    table, model, steps = _fitted(docs.select(F.col(id_col), F.col(text_col)), labels, targets, most, budget, id_col, text_col, label_col, keep_text=False)
     named = [x.alias(f"p{k}") for k, x in enumerate(model.posteriors())]
     p = [F.col(f"p{k}") for k in range(len(named))]
     out = table.select(id_col, F.col(TOKENS).alias("n_tokens"), *named)
@@ -163,9 +164,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: f
     With rates of at most 1 (the default) and the largest budget that meets the targets, documents of the
     scarcest domain stay whole and others are thinned.
     """
-    _, model, steps = _fitted(docs, labels, targets, most, budget, id_col, text_col, label_col)
+    table, model, steps = _fitted(docs, labels, targets, most, budget, id_col, text_col, label_col)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    table = with_features(docs, text_col)
     table = table.select(*[F.col(c) for c in docs.columns], *[x.alias(f"__p{k}") for k, x in enumerate(model.posteriors())])
     rate = rate_column([F.col(f"__p{k}") for k in range(len(model.domains))], steps, most)
     times = F.floor(rate + draw + 1e-9).cast("int")
