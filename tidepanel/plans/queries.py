@@ -243,7 +243,7 @@ def group_relative(spark, sf_dir):
     "expression_factors",
     f"""{FACTOR_SQL}, v AS (SELECT rebalance_date, code, CASE WHEN latest_close > 0 THEN ln(latest_close) END AS size, book_to_market, earnings_yield, return_12_1 FROM factors)
 SELECT rebalance_date, code, round(size, 6) AS size, round(greatest(least(book_to_market / nullif(size, 0), 5.0), -5.0), 6) AS cheapness,
-  CASE WHEN return_12_1 IS NULL THEN NULL WHEN return_12_1 > 0 THEN round(earnings_yield, 6) ELSE round(-earnings_yield, 6) END AS trend_yield,
+  CASE WHEN return_12_1 IS NULL THEN NULL WHEN return_12_1 > 0 THEN 0.0 + round(earnings_yield, 6) ELSE 0.0 + round(-earnings_yield, 6) END AS trend_yield,
   round((coalesce(book_to_market, 0) + coalesce(earnings_yield, 0)) / nullif((book_to_market IS NOT NULL)::INT + (earnings_yield IS NOT NULL)::INT, 0), 6) AS value_avg,
   CASE WHEN return_12_1 IS NULL THEN NULL ELSE (return_12_1 > -0.5 AND return_12_1 < 0.5) END AS calm FROM v""",
 )
@@ -346,7 +346,7 @@ def price_volume(spark, sf_dir):
     "price_volume_plain_alphas",
     f"""{WITH}, f AS (SELECT *, trading_value / nullif(volume, 0) AS vwap, (close - open) / nullif(high - low, 0) AS candle, avg(close) {W.format(n=19)} AS m20, count(close) {W.format(n=19)} AS n20, close - lag(close) OVER w AS dc, volume - lag(volume) OVER w AS dv FROM prices WINDOW w AS (PARTITION BY code ORDER BY date)),
 g AS (SELECT *, candle - lag(candle, 9) OVER (PARTITION BY code ORDER BY date) AS d9 FROM f)
-SELECT code, date, round(-dc * CASE WHEN dv >= 0 THEN 1 WHEN dv < 0 THEN -1 END, 6) AS alpha_012, CASE WHEN n20 = 20 THEN round(-(close - m20), 6) END AS alpha_024, round(sqrt(high * low) - vwap, 6) AS alpha_041, round(-d9, 6) AS alpha_053, round(candle, 6) AS alpha_101 FROM g""",
+SELECT code, date, round(-dc * CASE WHEN dv >= 0 THEN 1 WHEN dv < 0 THEN -1 END, 6) AS alpha_012, CASE WHEN n20 = 20 THEN round(-(close - m20), 6) END AS alpha_024, round(sqrt(high * low) - vwap, 6) AS alpha_041, 0.0 + round(-d9, 6) AS alpha_053, 0.0 + round(candle, 6) AS alpha_101 FROM g""",
 )
 def plain_alphas(spark, sf_dir):
     out = panels.proxy_alphas(panels.daily_features(ct.prices(spark, sf_dir)))
@@ -405,7 +405,7 @@ def defensive(spark, sf_dir):
 d AS (SELECT * FROM r WHERE rn = 1), p AS (SELECT code AS pc, period_type AS pt, last_day(period_end + INTERVAL 12 MONTH) AS pe_last, CAST(period_end + INTERVAL 12 MONTH AS DATE) AS pe, available_date AS pa, sales AS ps, operating_profit AS po, net_profit AS pn, shares AS psh FROM d),
 j AS (SELECT d.*, p.* FROM d ASOF LEFT JOIN p ON p.pc = d.code AND p.pt = d.period_type AND p.pe = d.period_end AND p.pa <= d.available_date)
 SELECT code, available_date, period_type, period_end, disclosure_number, n_same_day, round((sales - ps) / nullif(abs(ps), 0), 6) AS sales_yoy, round((operating_profit - po) / nullif(abs(po), 0), 6) AS operating_profit_yoy,
-  round((net_profit - pn) / nullif(abs(pn), 0), 6) AS net_profit_yoy, round(operating_profit / nullif(sales, 0), 6) AS operating_margin, round(operating_profit / nullif(sales, 0) - po / nullif(ps, 0), 6) AS operating_margin_delta_yoy,
+  round((net_profit - pn) / nullif(abs(pn), 0), 6) AS net_profit_yoy, round(operating_profit / nullif(sales, 0), 6) AS operating_margin, 0.0 + round(operating_profit / nullif(sales, 0) - po / nullif(ps, 0), 6) AS operating_margin_delta_yoy,
   round(net_profit / nullif(equity, 0), 6) AS roe, round(net_profit / nullif(total_assets, 0), 6) AS roa, CASE WHEN net_profit IS NOT NULL AND pn IS NOT NULL THEN CASE WHEN pn < 0 AND net_profit > 0 THEN 1.0 ELSE 0.0 END END AS profit_turn_positive,
   round((shares - psh) / nullif(abs(psh), 0), 6) AS shares_change_yoy, pa IS NULL AS missing_prior_year FROM j""",
 )
@@ -442,7 +442,7 @@ def _rank_sql(x: str) -> str:
 r AS (SELECT *, {_rank_sql('x')} AS rx, {_rank_sql('y')} AS ry, CASE WHEN x IS NOT NULL THEN ((row_number() OVER (PARTITION BY rebalance_date, x IS NULL ORDER BY x, code) - 1) * least(5, count(x) OVER (PARTITION BY rebalance_date))) // count(x) OVER (PARTITION BY rebalance_date) + 1 END AS q FROM obs),
 t AS (SELECT *, max(q) OVER (PARTITION BY rebalance_date) AS top FROM r)
 SELECT rebalance_date, count(*) AS n_rows, count(x) AS n_observations, CAST(count(*) FILTER (factor IS NULL) AS BIGINT) AS missing_factor, CAST(count(*) FILTER (forward_status <> 'ok') AS BIGINT) AS missing_forward,
-  round(CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END, 6) AS ic, round(CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 0 THEN covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END, 6) AS rank_ic,
+  round(CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END, 6) AS ic, 0.0 + round(CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 0 THEN covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END, 6) AS rank_ic,
   round(avg(y) FILTER (q = top) - avg(y) FILTER (q = 1), 6) AS top_minus_bottom FROM t GROUP BY rebalance_date""",
 )
 def diagnostics(spark, sf_dir):

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(cores: str = "8", app: str = "tidepanel") -> SparkSession:
@@ -69,7 +70,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is not on their path already."""
+    """Let Python workers import this package when it is not on their path already, and keep Arrow batches small."""
+    if spark.conf.get(ARROW_ROWS) == "10000":  # the default: a batch of long texts would fill a worker
+        spark.conf.set(ARROW_ROWS, "1000")
     paths = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     if str(ROOT) in paths or os.path.realpath(os.getcwd()) == str(ROOT) or getattr(spark, "_tidepanel_shipped", False):
         return
