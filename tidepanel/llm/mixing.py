@@ -137,10 +137,12 @@ def fit_rates(members: DataFrame, domains: tuple[str, ...], targets: dict[str, f
 
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float, budget: float | None, id_col: str, text_col: str, label_col: str, keep_text: bool = True) -> tuple[DataFrame, DomainClassifier, list[list[float]]]:
     features = with_features(docs, text_col)
-    table = materialize(features if keep_text else features.drop(text_col), "mix-features")
-    model = fit_classifier(table, labels, id_col, label_col)
-    members = table.select(F.col(TOKENS).alias("tokens"), *[x.alias(f"p{k}") for k, x in enumerate(model.posteriors())])
-    return table, model, fit_rates(materialize(members, "mix-members"), model.domains, targets, most, budget)
+    features = materialize(features if keep_text else features.drop(text_col), "mix-features")
+    model = fit_classifier(features, labels, id_col, label_col)
+    #: posteriors are written out, since every step of the rates refers to each of them
+    table = materialize(features.drop(*FEATURES).withColumns({f"__p{k}": x for k, x in enumerate(model.posteriors())}), "mix-members")
+    members = table.select(F.col(TOKENS).alias("tokens"), *[F.col(f"__p{k}").alias(f"p{k}") for k in range(len(model.domains))])
+    return table, model, fit_rates(members, model.domains, targets, most, budget)
 
 
 def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float = 2.0, budget: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -151,11 +153,9 @@ def mixture_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
     empty result.
     """
     table, model, steps = _fitted(docs.select(F.col(id_col), F.col(text_col)), labels, targets, most, budget, id_col, text_col, label_col, keep_text=False)
-    named = [x.alias(f"p{k}") for k, x in enumerate(model.posteriors())]
-    p = [F.col(f"p{k}") for k in range(len(named))]
-    out = table.select(id_col, F.col(TOKENS).alias("n_tokens"), *named)
+    p = [F.col(f"__p{k}") for k in range(len(model.domains))]
     pairs = [y for d, x in zip(model.domains, p, strict=True) for y in (F.lit(d), x)]
-    return out.select(id_col, "n_tokens", F.to_json(F.create_map(*pairs)).alias("posteriors"), rate_column(p, steps, most).alias("rate"))
+    return table.select(id_col, F.col(TOKENS).alias("n_tokens"), F.to_json(F.create_map(*pairs)).alias("posteriors"), rate_column(p, steps, most).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: float = 1.0, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
@@ -166,7 +166,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most: f
     """
     table, model, steps = _fitted(docs, labels, targets, most, budget, id_col, text_col, label_col)
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    table = table.select(*[F.col(c) for c in docs.columns], *[x.alias(f"__p{k}") for k, x in enumerate(model.posteriors())])
     rate = rate_column([F.col(f"__p{k}") for k in range(len(model.domains))], steps, most)
     times = F.floor(rate + draw + 1e-9).cast("int")
     if most <= 1:
