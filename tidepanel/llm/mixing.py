@@ -140,7 +140,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most:
     features = materialize(features if keep_text else features.drop(text_col), "mix-features")
     model = fit_classifier(features, labels, id_col, label_col)
     #: posteriors are written out, since every step of the rates refers to each of them
-    table = materialize(features.drop(*FEATURES).withColumns({f"__p{k}": x for k, x in enumerate(model.posteriors())}), "mix-members")
+    table = materialize(features.withColumns({f"__p{k}": x for k, x in enumerate(model.posteriors())}).drop(*FEATURES), "mix-members")
     members = table.select(F.col(TOKENS).alias("tokens"), *[F.col(f"__p{k}").alias(f"p{k}") for k in range(len(model.domains))])
     return table, model, fit_rates(members, model.domains, targets, most, budget)
 
