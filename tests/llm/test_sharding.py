@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+
 from tidepanel.llm import sharding
 
 
@@ -41,3 +43,22 @@ def test_propagation_lowers_the_cut(spark):
     place = {r["node"]: r["shard"] for r in sharding.balanced(nodes, links, 4).collect()}
     assert max(Counter(place.values()).values()) == 100
     assert sum(place[a] != place[b] for a, b, _ in edges) < 0.5 * len(edges)
+
+
+def test_every_group_that_fits_stays_whole(spark):
+    docs = spark.createDataFrame([(i, "huge" if i < 150 else f"g{i // 5}") for i in range(800)], "doc_id long, text string").repartition(4)
+    got = sharding.shard_documents(docs, 8).collect()
+    counts, groups = Counter(r["shard"] for r in got), {}
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == j) == list(range(counts[j])) for j in counts)
+    for r in got:
+        groups.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(g) > 1 for g in groups.values()) == 1
+
+
+def test_propagation_settles_or_tells(spark):
+    links = spark.createDataFrame([(i, i - i % 100, 1) for i in range(3000) if i % 100], "src long, dst long, weight int")
+    place = {r["node"]: r["shard"] for r in sharding.propagate(links, [1000] * 8).collect()}
+    assert all(place[i] == place[i - i % 100] for i in place)
+    with pytest.warns(UserWarning, match="bound of 1 rounds"):
+        sharding.propagate(links, [1000] * 8, rounds=1)
