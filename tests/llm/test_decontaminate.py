@@ -56,3 +56,18 @@ def test_exact_and_edited_passages(spark, monkeypatch):
     assert kept.schema == docs.schema
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([d for d in range(120) if d % 4] + [500, 501])
     assert dc.benchmark_leaks(docs.limit(0), bench).collect() == [] and dc.benchmark_leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_every_text_of_an_id_is_searched(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(20)) for _ in range(12)]
+    #: ids that restart, and none at all; the first text is there twice, and once with its last words changed
+    near = texts[0].rsplit(" ", 4)[0] + " other words stand here"
+    bench = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts[:8])] + [(None, t) for t in texts[8:]] + [(0, texts[0]), (0, near)], "item_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (50, "nothing of it")], "doc_id long, text string").repartition(2)
+    want = sorted([(i, i % 4 if i < 8 else -1, 1.0) for i in range(12)] + [(0, 0, 1.0)])
+    for size in (16 << 20, 300):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = dc.benchmark_leaks(docs, bench).collect()
+        assert sorted((r["doc_id"], -1 if r["item_id"] is None else r["item_id"], r["score"]) for r in got) == want
+    assert [r["doc_id"] for r in dc.decontaminated(docs, bench).collect()] == [50]

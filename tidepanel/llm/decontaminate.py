@@ -12,6 +12,7 @@ BLOCK_BYTES of text, each of which travels to the tasks; documents never move.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -68,7 +69,7 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
 class Block:
     """The items of a block and their n-grams, as every task needs them."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int):
+    def __init__(self, items: list[tuple[int | None, str]], n: int):
         self.ids = [i for i, _ in items]
         self.words = [item_words(t) for _, t in items]
         #: an item of fewer than n words is looked up by as many as it has
@@ -160,6 +161,17 @@ def _align(block: Block, least: float):
             if best[0] >= least:
                 yield block.ids[k], *best
 
+    def by_item(found: Iterator[tuple]) -> list[tuple]:
+        """The best row over the texts of an id; texts without one are items of their own."""
+        best: dict[int, tuple] = {}
+        alone = []
+        for row in found:
+            if row[0] is None:
+                alone.append(row)
+            elif row[0] not in best or row[1] > best[row[0]][1]:
+                best[row[0]] = row
+        return [*best.values(), *alone]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0), []
@@ -169,30 +181,49 @@ def _align(block: Block, least: float):
                 for d in np.unique(owner):
                     mine = owner == d
                     own = words[first[d] : first[d + 1]]
-                    out += [(ids[int(lo + d)].as_py(), *x) for x in leaks(own, where[mine] - first[d], which[mine])]
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
+                    rows = by_item(leaks(own, where[mine] - first[d], which[mine]))
+                    if rows:
+                        name = int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
+                        out += [(ids[int(lo + d)].as_py(), *x, name) for x in rows]
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "words"])
 
     return run
 
 
+def _best_of_blocks(found: list[DataFrame]) -> DataFrame:
+    """The rows of all blocks, one for each document and item although an item's texts lie in several.
+
+    Rows of one id and equal words are alike, so that as many are returned as one block gives.
+    """
+    rows = reduce(DataFrame.unionByName, [part.withColumn("block", F.lit(at)) for at, part in enumerate(found)])
+    rows = materialize(rows, "block-leaks")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("low"), "end_word"))
+    each = rows.where("item_id is not null").groupBy("doc_id", "words", "item_id", "block").agg(best.alias("best"), F.count(F.lit(1)).cast("int").alias("copies"))
+    each = each.groupBy("doc_id", "words", "item_id").agg(F.max("best").alias("best"), F.max("copies").alias("copies"))
+    each = each.withColumn("best", F.explode(F.array_repeat("best", F.col("copies"))))
+    each = each.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.low")).alias("first_word"), F.col("best.end_word").alias("end_word"))
+    return each.unionByName(rows.where("item_id is null").drop("words", "block"))
+
+
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = SEED_WORDS, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, end_word): the passages of docs that copy a benchmark item.
 
     A row for each document and item whose best alignment scores `least` or more, with the range of
     words it covers. Null and blank texts and items match nothing; repeated documents give repeated
-    rows, a repeated item counts once (the first of its texts in byte order); other columns are left
-    aside; an empty table on either side gives an empty result.
+    rows, an exact repeat of an item counts once; other columns are left aside; an empty table on
+    either side gives an empty result. All texts of an id are searched, and the row is that of the
+    best; each text with a null id is an item of its own, with a row of its own.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").groupBy("item").agg(F.min("text").alias("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     items = materialize(items, "benchmark-items")
     weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-weight // BLOCK_BYTES)
     found = []
     for at in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == at).orderBy("item").collect()  # BLOCK_BYTES on average
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == at).orderBy("item", "text").collect()  # BLOCK_BYTES on average
         block = Block([(r["item"], r["text"]) for r in part], n)
         if not len(block.seeds):
             continue
@@ -201,10 +232,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
         for r in counts:
             frequency[r["seed"]] = r["docs"]
         block.keep_rarest(frequency, stride)
-        found.append(rows.mapInArrow(_align(block, least), "doc_id long, item_id long, score double, first_word long, end_word long"))
+        found.append(rows.mapInArrow(_align(block, least), "doc_id long, item_id long, score double, first_word long, end_word long, words long"))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long").withColumnRenamed("doc_id", id_col)
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("doc_id", id_col)
+    out = found[0].drop("words") if len(found) == 1 else _best_of_blocks(found)
+    return out.withColumnRenamed("doc_id", id_col)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
