@@ -32,3 +32,15 @@ def test_toxic_stage_is_the_operator(spark):
     scores = toxicity.score(docs, toxicity.train(docs, labels))
     want = sorted(r["doc_id"] for r in scores.where("predicted = 0").collect())
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()) == want
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near, other = text + " more", " ".join(f"x{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "a"), (1, near, "b"), (None, text, "c"), (None, other, "d"), (None, other + " more", "e"), (2, "alone in this table it stands", "f"), (2, "a text of its own again", "g"), (3, None, "h"), (None, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = [r["source"] for r in got.collect()]
+    assert len(kept) == len(set(kept)) == 6 and {"f", "g", "h", "i"} <= set(kept)
+    assert len({"a", "b"} & set(kept)) == 1 and len({"d", "e"} & set(kept)) == 1 and "c" not in kept
