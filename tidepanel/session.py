@@ -55,14 +55,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tidepanel_path = path
+    return table
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table written by materialize()."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads, as all that came of them is written."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(table._tidepanel_path)
+        target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
