@@ -1,16 +1,20 @@
 """Exact substring deduplication: remove every byte of a WINDOW-byte string that occurs elsewhere.
 
-The decision over a window comes from a suffix array with common prefixes, built by external
-induced sorting (suffixsort). What a shard holds is chosen so that equal windows meet:
+The decision over a window comes from suffixes and common prefixes sorted by external induced
+sorting (suffixsort). What a shard holds is chosen so that equal windows meet:
 
 1. Each window has an anchor, its GRAM-byte gram of the least hash (the leftmost of equals).
    Equal windows have equal anchors, and windows whose anchor gram occurs once cannot repeat.
 2. The windows of one anchor occurrence are one stretch of text, a span. Spans travel to the
    shard of their anchor's hash; equal spans are folded with their count before they travel.
-3. A shard joins its spans into texts of BLOCK_BYTES (whole anchor groups), sorts all suffixes
+3. An anchor with more than HOT spans is dealt out: windows that hold it at nearby offsets (a class
+   of `width` offsets) share a longer stretch, the class's core, which takes the anchor's place. Cores
+   that occur once are done; those still hot are split by narrower classes, at last of one offset,
+   where the core is the window. So no passage gathers its surroundings in one task.
+4. A shard joins its spans into texts of about SHARD_BYTES (whole anchors), sorts all suffixes
    and marks those with a common prefix of WINDOW bytes with a neighbour; spans that occur
-   twice are marked whole.
-4. Marks go back to the spans' places. Documents are cut and hashed where something is removed.
+   twice are marked whole. Its queues and texts go to disk beyond suffixsort.MEMORY_BYTES.
+5. Marks go back to the spans' places. Documents are cut and hashed where something is removed.
 
 Texts that occur twice or more are removed whole if they have WINDOW bytes, and only the first
 of them takes part as a partner of others.
@@ -19,6 +23,7 @@ of them takes part as a partner of others.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +31,18 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.llm.suffixsort import suffix_order
+from tidepanel.llm.suffixsort import MEMORY_BYTES, chunks, sorted_suffixes, space
 from tidepanel.llm.texthash import _BASE, _INVERSE, _LETTER, mix, text_buffer
-from tidepanel.session import materialize, shuffle_partitions
+from tidepanel.session import drop_tables, materialize, shuffle_partitions
 
 WINDOW, GRAM = 200, 40
-BLOCK_BYTES = 3 << 20
-PIECE = 1 << 20
-_PLACES = 1 << 21
+SHARD_BYTES = 8 << 20
+#: an anchor with more spans is split, first by classes of as many offsets, then by the next
+HOT, WIDTHS = 4096, (33, 7, 1)
+PIECE = 1 << 18
+_PLACES = 1 << 19
+#: spans that a task remembers to have sent
+_SENT = 1 << 16
 _U = np.uint64
 _BYTE = mix(np.arange(301, 557, dtype=_U))
 _table: dict[str, np.ndarray] = {}
@@ -130,103 +139,171 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer(stretch.decompress(x.as_py()), np.uint8)
 
 
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
 def _span_rows(window: int, gram: int):
     """(node, copies, wanted anchors, text) to the spans of wanted anchors.
 
     A span's bytes go along once a task; `told` marks the first two rows of a span in a task, which
-    is all that its count needs.
+    is all that its count needs. Texts are unpacked and cut one by one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
         rows: list[tuple] = []
         weight = 0
+        stretch = zstandard.ZstdDecompressor()
         for batch in batches:
-            for node, copies, wanted, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), _texts(batch.column(3)), strict=True):
-                wanted = np.unique(np.array(wanted, np.int64).view(_U))
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(_U)
+            for k, (node, copies) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                wanted = np.unique(flat[ends[k] : ends[k + 1]])
+                data = np.frombuffer(stretch.decompress(batch.column(3)[k].as_py()), np.uint8)
                 for lo, hi in pieces(len(data), window):
                     anchors, hashes = window_anchors(data[lo:hi], window, gram)
                     firsts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-                    ends = np.r_[firsts[1:], len(anchors)]
+                    ends_at = np.r_[firsts[1:], len(anchors)]
                     own = hashes[anchors[firsts]]
                     keep = np.isin(own, wanted)
-                    for f, e, h in zip(firsts[keep].tolist(), ends[keep].tolist(), own[keep].view(np.int64).tolist(), strict=True):
+                    offsets = anchors[firsts] - firsts
+                    for f, e, h, at in zip(firsts[keep].tolist(), ends_at[keep].tolist(), own[keep].view(np.int64).tolist(), offsets[keep].tolist(), strict=True):
                         span = data[lo + f : lo + e + window - 1].tobytes()
-                        digest = hashlib.blake2b(span + h.to_bytes(8, "little", signed=True), digest_size=16).digest()
+                        digest = _digest(span, h.to_bytes(8, "little", signed=True))
                         times = sent.get(digest, 0)
-                        rows.append((h, digest, node, lo + f, copies, times < 2, None if times else span))
+                        rows.append((h, digest, node, lo + f, copies, times < 2, at, None if times else span))
                         if not times:
                             weight += len(span)
-                        if len(sent) > 500_000:
-                            sent.clear()
+                            if len(sent) > _SENT:
+                                sent.clear()
                         sent[digest] = times + 1
-                if weight > 1 << 22 or len(rows) > 1 << 15:
-                    yield _pack_spans(rows)
-                    rows, weight = [], 0
+                        if weight > 1 << 21 or len(rows) > 1 << 13:
+                            yield _pack_spans(rows)
+                            rows, weight = [], 0
         if rows:
             yield _pack_spans(rows)
 
     return run
 
 
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def _pack_spans(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], ["anchor", "digest", "node", "start", "copies", "told", "span"])
-
-
-def repeated_windows(spans: list[bytes], window: int) -> list[np.ndarray]:
-    """For each span the starts of its windows that occur at another place of the spans."""
-    sizes = np.array([len(s) for s in spans], np.int64)
-    starts = np.r_[0, np.cumsum(sizes + 1)]
-    text = np.empty(starts[-1] + 1, np.uint16)
-    joined = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8)
-    text[:-1] = joined
-    text[:-1] += 2
-    text[starts[1:] - 1] = 1  # between spans, below all bytes
-    text[-1] = 0
-    order, common = suffix_order(text, 258, window)
-    near = common >= window
-    marked = np.zeros(len(text), bool)
-    marked[order[near]] = True
-    marked[order[:-1][near[1:]]] = True
-    out = []
-    for at, size in zip(starts[:-1].tolist(), sizes.tolist(), strict=True):
-        out.append(np.flatnonzero(marked[at : at + size - window + 1]))
-    return out
-
-
-def covered_runs(begins: np.ndarray, window: int) -> np.ndarray:
-    """Merged (start, end) rows of the windows that begin at sorted places."""
-    if not len(begins):
-        return np.zeros((0, 2), np.int64)
-    cut = np.flatnonzero(np.r_[True, begins[1:] - begins[:-1] > window])
-    return np.stack([begins[cut], begins[np.r_[cut[1:] - 1, len(begins) - 1]] + window], axis=1)
-
-
-def _sort_shard(window: int):
-    def solve(digests: list[bytes], spans: list[bytes], counts: list[int]) -> pa.RecordBatch:
-        found = repeated_windows(spans, window)
-        runs = [covered_runs(np.arange(len(s) - window + 1) if c > 1 else f, window) for s, c, f in zip(spans, counts, found, strict=True)]
-        some = [k for k, r in enumerate(runs) if len(r)]
-        return pa.RecordBatch.from_arrays([pa.array([digests[k] for k in some], pa.binary()), pa.array([runs[k].astype("<i8").tobytes() for k in some], pa.binary())], ["digest", "runs"])
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+    return _batch(rows, ["anchor", "digest", "node", "start", "copies", "told", "at", "span"], types)
+
+
+def _split_spans(window: int, gram: int, width: int):
+    """Distinct spans (digest, count, place of the anchor, bytes) to their parts by class of `width` anchor offsets."""
+    names = ["anchor", "parent", "shift", "digest", "count", "at", "span"]
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, spans, counts, size, now = [], [], [], 0, None
+        rows, weight = [], 0
+        for batch in batches:
+            for parent, count, at, span in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                #: a window at f holds the anchor at offset at - f, from 0 to window - gram
+                for kind in range(max(0, at - (len(span) - window)) // width, min(window - gram, at) // width + 1):
+                    low, high = max(0, at - kind * width - width + 1), min(len(span) - window, at - kind * width)
+                    core = span[at - kind * width : at - kind * width - width + 1 + window]
+                    key = _digest(core, bytes((kind, width)))
+                    part = span[low : high + window]
+                    rows.append((int.from_bytes(key[:8], "little", signed=True), parent, low, _digest(part, key), count, at - low, part))
+                    weight += len(part)
+                if weight > 1 << 21:
+                    yield _batch(rows, names, types)
+                    rows, weight = [], 0
+        if rows:
+            yield _batch(rows, names, types)
+
+    return run
+
+
+class Shard:
+    """Spans as they arrive, each followed by a separator; in a temporary file beyond `memory` bytes."""
+
+    def __init__(self, window: int, memory: int = MEMORY_BYTES):
+        self.window, self.memory, self.size = window, memory, 0
+        self.digests: list[bytes] = []
+        self.lengths: list[int] = []
+        self.counts: list[int] = []
+        self.store = tempfile.SpooledTemporaryFile(max_size=memory)
+
+    def add(self, digest: bytes, count: int, span: bytes) -> None:
+        self.digests.append(digest)
+        self.lengths.append(len(span))
+        self.counts.append(count)
+        self.store.write(span + b"\0")
+        self.size += len(span) + 1
+
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(starts of the spans, whether the window that begins at a place occurs at another place)."""
+        starts = np.r_[0, np.cumsum(np.array(self.lengths, np.int64) + 1)]
+        text = space(self.size + 1, np.uint16, self.memory)
+        self.store.seek(0)
+        for part in chunks(self.size):
+            text[part] = np.frombuffer(self.store.read(part.stop - part.start), np.uint8)
+            text[part] += 2
+        text[starts[1:] - 1] = 1  # between spans, below all bytes
+        text[-1] = 0
+        marked = space(len(text), bool, self.memory)
+        marked[:] = False
+        before = 0
+        for pos, common in sorted_suffixes(text, 258, self.window, self.memory):
+            near = np.flatnonzero(common >= self.window)
+            marked[pos[near]] = True
+            marked[np.where(near > 0, pos[near - 1], before)] = True
+            before = pos[-1]
+        return starts, marked
+
+    def runs(self) -> pa.RecordBatch:
+        """(digest, runs of bytes that repeated windows cover) for the spans that have some."""
+        window = self.window
+        starts, marked = self.marked()
+        lengths, whole = np.array(self.lengths, np.int64), np.array(self.counts, np.int64) > 1
+        begins, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part in chunks(self.size):
+            at = np.flatnonzero(marked[part]) + part.start
+            own = np.searchsorted(starts, at, side="right") - 1
+            ok = ~whole[own] & (at - starts[own] <= lengths[own] - window)
+            begins.append(at[ok] - starts[own[ok]])
+            owner.append(own[ok])
+        at, own = np.concatenate(begins), np.concatenate(owner)
+        cut = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > window) | (own[1:] != own[:-1])]) if len(at) else np.zeros(0, np.int64)
+        found = np.stack([at[cut], at[np.r_[cut[1:], len(at)] - 1] + window], axis=1) if len(at) else np.zeros((0, 2), np.int64)
+        all_of = np.flatnonzero(whole)
+        spans = np.r_[own[cut], all_of]
+        found = np.r_[found, np.stack([np.zeros(len(all_of), np.int64), lengths[all_of]], axis=1)]
+        order = np.argsort(spans, kind="stable")
+        spans, found = spans[order], found[order].astype("<i8")
+        heads = np.flatnonzero(np.r_[True, spans[1:] != spans[:-1]]) if len(spans) else []
+        ends = np.r_[heads[1:], len(spans)] if len(spans) else []
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.digests[k] for k in spans[heads].tolist()] if len(spans) else [], pa.binary()), pa.array([found[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())],
+            ["digest", "runs"],
+        )
+
+
+def _sort_shard(window: int, shard_bytes: int, memory: int):
+    """Spans by anchor and digest to the runs that repeat; a shard ends after an anchor's last span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, now = Shard(window, memory), None
         for batch in batches:
             for anchor, digest, count, span in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if digests and digest == digests[-1]:
-                    counts[-1] += count
+                if shard.digests and digest == shard.digests[-1]:
+                    shard.counts[-1] += count
                     continue
-                if anchor != now and size > BLOCK_BYTES:
-                    yield solve(digests, spans, counts)
-                    digests, spans, counts, size = [], [], [], 0
+                if anchor != now and shard.size > shard_bytes:
+                    yield shard.runs()
+                    shard = Shard(window, memory)
                 now = anchor
-                digests.append(digest)
-                spans.append(span)
-                counts.append(count)
-                size += len(span)
-        if spans:
-            yield solve(digests, spans, counts)
+                shard.add(digest, count, span)
+        if shard.digests:
+            yield shard.runs()
 
     return run
 
@@ -249,14 +326,55 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], ["key", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def _hot_anchors(told: DataFrame, hot: int) -> DataFrame:
+    """The anchors of more than `hot` rows, written out."""
+    return materialize(told.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("anchor"), "suffix-hot")
+
+
+def _repeated_runs(told: DataFrame, window: int, gram: int, hot: int, shard_bytes: int, memory: int) -> DataFrame:
+    """(digest, shift, runs): what repeats of the spans told (anchor, digest, count, at, span)."""
+    parts = shuffle_partitions(told.sparkSession)
+    columns = ["anchor", "digest", "count", "span"]
+    ready, links = [], []
+    for width in WIDTHS:
+        hottest = _hot_anchors(told, hot)
+        if hottest.isEmpty():
+            break
+        ready.append(told.join(hottest, "anchor", "left_anti").select(columns))
+        #: the bytes came with one row of each task at least
+        folded = told.join(hottest, "anchor", "left_semi").groupBy("anchor", "digest").agg(F.sum("count").alias("count"), F.max("at").alias("at"), F.max("span").alias("span"))
+        split = folded.select("digest", "count", "at", "span").mapInArrow(_split_spans(window, gram, width), "anchor long, parent binary, shift long, digest binary, count long, at int, span binary")
+        split = materialize(split, "suffix-split")
+        again = split.groupBy("anchor").agg(F.sum("count").alias("n")).where("n > 1").select("anchor")
+        split = materialize(split.join(again, "anchor", "left_semi"), "suffix-split")
+        links.append(split.select("parent", "shift", "digest"))
+        told = split.groupBy("anchor", "digest").agg(F.sum("count").alias("count"), F.max("at").alias("at"), F.max("span").alias("span"))
+    ready.append(told.select(columns))
+    #: within a digest the row that has the bytes comes first
+    for k, rows in enumerate(ready):
+        dealt = rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "digest", F.col("span").desc_nulls_last())
+        found = dealt.mapInArrow(_sort_shard(window, shard_bytes, memory), "digest binary, runs binary").withColumn("shift", F.lit(0).cast("long"))
+        ready[k] = materialize(found, "suffix-runs")
+    #: from the narrowest parts back to the spans they were cut from
+    found = ready.pop()
+    while links:
+        link = links.pop()
+        found = found.withColumnRenamed("shift", "inner").join(link, "digest").select(F.col("parent").alias("digest"), "runs", (F.col("shift") + F.col("inner")).alias("shift"))
+        found = ready.pop().unionByName(found)
+    return found
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES, memory: int = MEMORY_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs.
 
     Texts are taken as UTF-8; strings are judged on the input. Null texts are empty; texts of fewer than
-    `window` bytes stay whole. Rows of equal text, repeated rows too, are copies of each other. Other
-    columns are left aside; an empty table gives an empty result.
+    `window` bytes stay whole; very long ones are cut into pieces that share their windows' bytes. Rows of
+    equal text, repeated rows too, are copies of each other. Ids keep their type and may be null or repeat.
+    Other columns are left aside; an empty table gives an empty result.
+
+    hot: spans of an anchor that one task sorts at most. shard_bytes: text that is sorted at once; an anchor
+    that goes on over the edge is kept whole. memory: bytes of each array and queue before the disk is used.
     """
-    parts = shuffle_partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["doc"].dataType.simpleString()
     signed = source.mapInArrow(_anchor_rows(window, gram), f"doc {kind}, key binary, n_bytes long, anchors binary").withColumn("node", F.monotonically_increasing_id())
@@ -272,12 +390,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = first.join(wanted, "node").select(F.col("key").alias("rep_key"), "rep_doc", "node", "copies", "wanted")
     texts = source.mapInArrow(_packed, f"doc {kind}, key binary, packed binary")
     one = (F.col("key") == F.col("rep_key")) & F.col("doc").eqNullSafe(F.col("rep_doc"))
-    spans = texts.join(wanted.hint("shuffle_hash"), one).select("node", "copies", "wanted", "packed").mapInArrow(_span_rows(window, gram), "anchor long, digest binary, node long, start long, copies long, told boolean, span binary")
+    spans = texts.join(wanted.hint("shuffle_hash"), one).select("node", "copies", "wanted", "packed").mapInArrow(_span_rows(window, gram), "anchor long, digest binary, node long, start long, copies long, told boolean, at int, span binary")
     spans = materialize(spans, "suffix-spans")
-    #: within a digest the row that has the bytes comes first
-    dealt = spans.where("told").select("anchor", "digest", F.col("copies").alias("count"), "span").repartition(parts, "anchor").sortWithinPartitions("anchor", "digest", F.col("span").desc_nulls_last())
-    runs = materialize(dealt.mapInArrow(_sort_shard(window), "digest binary, runs binary"), "suffix-runs")
-    cuts = spans.where("copies = 1").select("digest", "node", "start").join(runs, "digest").groupBy("node").agg(F.collect_list(F.struct("start", "runs")).alias("places"))
+    drop_tables(anchors)
+    runs = _repeated_runs(spans.where("told").select("anchor", "digest", F.col("copies").alias("count"), "at", "span"), window, gram, hot, shard_bytes, memory)
+    cuts = spans.where("copies = 1").select("digest", "node", "start").join(runs, "digest").groupBy("node").agg(F.collect_list(F.struct((F.col("start") + F.col("shift")).alias("start"), "runs")).alias("places"))
     cuts = first.join(cuts, "node").select(F.col("key").alias("rep_key"), "places")
     cut = texts.select("key", "packed").join(cuts.hint("shuffle_hash"), F.col("key") == F.col("rep_key")).select("key", "packed", "places").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
     whole = F.when((F.col("copies") > 1) & (F.col("n_bytes") >= window), F.col("n_bytes"))
