@@ -11,9 +11,10 @@ sorting (suffixsort). What a shard holds is chosen so that equal windows meet:
    of `width` offsets) share a longer stretch, the class's core, which takes the anchor's place. Cores
    that occur once are done; those still hot are split by narrower classes, at last of one offset,
    where the core is the window. So no passage gathers its surroundings in one task.
-4. A shard joins its spans into texts of about SHARD_BYTES (whole anchors), sorts all suffixes
-   and marks those with a common prefix of WINDOW bytes with a neighbour; spans that occur
-   twice are marked whole. Its queues and texts go to disk beyond suffixsort.MEMORY_BYTES.
+4. A shard joins the spans of anchors that have several different ones into texts of about SHARD_BYTES
+   (whole anchors), sorts all suffixes and marks those with a common prefix of WINDOW bytes with a
+   neighbour; spans that occur twice are marked whole. Its queues and texts go to disk beyond
+   suffixsort.MEMORY_BYTES.
 5. Marks go back to the spans' places. Documents are cut and hashed where something is removed.
 
 Texts that occur twice or more are removed whole if they have WINDOW bytes, and only the first
@@ -35,7 +36,7 @@ from tidepanel.llm.suffixsort import MEMORY_BYTES, chunks, sorted_suffixes, spac
 from tidepanel.llm.texthash import _BASE, _INVERSE, _LETTER, mix, text_buffer
 from tidepanel.session import drop_tables, materialize, shuffle_partitions
 
-WINDOW, GRAM = 200, 40
+WINDOW, GRAM = 200, 100
 SHARD_BYTES = 8 << 20
 #: an anchor with more spans is split, first by classes of as many offsets, then by the next
 HOT, WIDTHS = 4096, (33, 7, 1)
@@ -230,6 +231,7 @@ class Shard:
         self.digests: list[bytes] = []
         self.lengths: list[int] = []
         self.counts: list[int] = []
+        self.alone: list[tuple[bytes, int]] = []
         self.store = tempfile.SpooledTemporaryFile(max_size=memory)
 
     def add(self, digest: bytes, count: int, span: bytes) -> None:
@@ -262,7 +264,7 @@ class Shard:
     def runs(self) -> pa.RecordBatch:
         """(digest, runs of bytes that repeated windows cover) for the spans that have some."""
         window = self.window
-        starts, marked = self.marked()
+        starts, marked = self.marked() if self.digests else (np.zeros(1, np.int64), np.zeros(0, bool))
         lengths, whole = np.array(self.lengths, np.int64), np.array(self.counts, np.int64) > 1
         begins, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for part in chunks(self.size):
@@ -273,37 +275,43 @@ class Shard:
             owner.append(own[ok])
         at, own = np.concatenate(begins), np.concatenate(owner)
         cut = np.flatnonzero(np.r_[True, (at[1:] - at[:-1] > window) | (own[1:] != own[:-1])]) if len(at) else np.zeros(0, np.int64)
-        found = np.stack([at[cut], at[np.r_[cut[1:], len(at)] - 1] + window], axis=1) if len(at) else np.zeros((0, 2), np.int64)
-        all_of = np.flatnonzero(whole)
-        spans = np.r_[own[cut], all_of]
-        found = np.r_[found, np.stack([np.zeros(len(all_of), np.int64), lengths[all_of]], axis=1)]
-        order = np.argsort(spans, kind="stable")
-        spans, found = spans[order], found[order].astype("<i8")
-        heads = np.flatnonzero(np.r_[True, spans[1:] != spans[:-1]]) if len(spans) else []
-        ends = np.r_[heads[1:], len(spans)] if len(spans) else []
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.digests[k] for k in spans[heads].tolist()] if len(spans) else [], pa.binary()), pa.array([found[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())],
-            ["digest", "runs"],
-        )
+        found = np.stack([at[cut], at[np.r_[cut[1:], len(at)] - 1] + window], axis=1).astype("<i8") if len(at) else np.zeros((0, 2), "<i8")
+        heads = np.flatnonzero(np.r_[True, np.diff(own[cut]) != 0]) if len(cut) else np.zeros(0, np.int64)
+        some = [(self.digests[k], found[a:b].tobytes()) for k, a, b in zip(own[cut][heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(cut)], strict=True)] if len(cut) else []
+        both = [(self.digests[k], int(lengths[k])) for k in np.flatnonzero(whole).tolist()] + self.alone
+        some += [(digest, np.array([0, length], "<i8").tobytes()) for digest, length in both]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], pa.binary()) for i in (0, 1)], ["digest", "runs"])
 
 
 def _sort_shard(window: int, shard_bytes: int, memory: int):
     """Spans by anchor and digest to the runs that repeat; a shard ends after an anchor's last span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now = Shard(window, memory), None
+        shard, now, group, last = Shard(window, memory), None, 0, None  # last: the span at hand, which may go on
+
+        def put() -> None:
+            if group > 1:
+                shard.add(*last)
+            elif last and last[1] > 1:  # the anchor's only span
+                shard.alone.append((last[0], len(last[2])))
+
         for batch in batches:
             for anchor, digest, count, span in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if shard.digests and digest == shard.digests[-1]:
-                    shard.counts[-1] += count
+                if last and digest == last[0]:
+                    last[1] += count
                     continue
-                if anchor != now and shard.size > shard_bytes:
-                    yield shard.runs()
-                    shard = Shard(window, memory)
-                now = anchor
-                shard.add(digest, count, span)
-        if shard.digests:
-            yield shard.runs()
+                if anchor != now:
+                    put()
+                    if shard.size > shard_bytes or len(shard.alone) > _SENT:
+                        yield shard.runs()
+                        shard = Shard(window, memory)
+                    now, group = anchor, 1
+                else:
+                    group += 1
+                    shard.add(*last)
+                last = [digest, count, span]
+        put()
+        yield shard.runs()
 
     return run
 
@@ -345,7 +353,7 @@ def _repeated_runs(told: DataFrame, window: int, gram: int, hot: int, shard_byte
         folded = told.join(hottest, "anchor", "left_semi").groupBy("anchor", "digest").agg(F.sum("count").alias("count"), F.max("at").alias("at"), F.max("span").alias("span"))
         split = folded.select("digest", "count", "at", "span").mapInArrow(_split_spans(window, gram, width), "anchor long, parent binary, shift long, digest binary, count long, at int, span binary")
         split = materialize(split, "suffix-split")
-        again = split.groupBy("anchor").agg(F.sum("count").alias("n")).where("n > 1").select("anchor")
+        again = materialize(split.groupBy("anchor").agg(F.sum("count").alias("n")).where("n > 1").select("anchor"), "suffix-again")
         split = materialize(split.join(again, "anchor", "left_semi"), "suffix-split")
         links.append(split.select("parent", "shift", "digest"))
         told = split.groupBy("anchor", "digest").agg(F.sum("count").alias("count"), F.max("at").alias("at"), F.max("span").alias("span"))
@@ -385,14 +393,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     #: not dealt by anchor beforehand: the count combines before its shuffle and the join splits a hot anchor
     unpacked = signed.join(first.select("node"), "node", "left_semi").select("node", "anchors").mapInArrow(_unpack, "node long, anchor long")
     anchors = materialize(unpacked, "suffix-anchors")
-    shared = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    shared = materialize(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "suffix-shared")
     wanted = anchors.join(shared, "anchor").groupBy("node").agg(F.collect_list("anchor").alias("wanted"))
     wanted = first.join(wanted, "node").select(F.col("key").alias("rep_key"), "rep_doc", "node", "copies", "wanted")
     texts = source.mapInArrow(_packed, f"doc {kind}, key binary, packed binary")
     one = (F.col("key") == F.col("rep_key")) & F.col("doc").eqNullSafe(F.col("rep_doc"))
     spans = texts.join(wanted.hint("shuffle_hash"), one).select("node", "copies", "wanted", "packed").mapInArrow(_span_rows(window, gram), "anchor long, digest binary, node long, start long, copies long, told boolean, at int, span binary")
     spans = materialize(spans, "suffix-spans")
-    drop_tables(anchors)
+    drop_tables(anchors, shared)
     runs = _repeated_runs(spans.where("told").select("anchor", "digest", F.col("copies").alias("count"), "at", "span"), window, gram, hot, shard_bytes, memory)
     cuts = spans.where("copies = 1").select("digest", "node", "start").join(runs, "digest").groupBy("node").agg(F.collect_list(F.struct((F.col("start") + F.col("shift")).alias("start"), "runs")).alias("places"))
     cuts = first.join(cuts, "node").select(F.col("key").alias("rep_key"), "places")

@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-MEMORY_BYTES = 16 << 20
+MEMORY_BYTES = 4 << 20
 #: bytes of memory that doubling takes for each name
 _BASE_BYTES = 64
 #: tuples handled at a time
@@ -474,12 +474,12 @@ def sorted_suffixes(values: np.ndarray, symbols: int, depth: int, memory: int =
     """All suffixes from the largest down, in batches of (places, common prefixes with the suffix after each).
 
     values: integers below `symbols`, the last a 0 that stands nowhere else.
-    base: bytes of memory for a string that need not recurse, 4 * memory where it is 0.
+    base: bytes of memory for a string that need not recurse, 24 * memory where it is 0.
     """
     if len(values) == 1:
         yield np.zeros(1, np.int32), np.zeros(1, np.int16)
         return
-    base = base or 4 * memory
+    base = base or 24 * memory
     text = Text(values, symbols, memory)
     m = len(text.turns)
     seeds, seed_lcp = space(m, text.place, memory), space(m, np.int16, memory)
