@@ -13,22 +13,23 @@ from tidepanel.functions.parse import parse_number
 def winsorized_z(df: DataFrame, factors: list[str], by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """df with <factor>_z: clipped to the quantiles of its section, then standardized (population).
 
-    A constant factor scores 0, a missing one null. Bounds and moments are one aggregation for each
-    section, joined back: sections are few and rows keep their place.
+    A constant factor scores 0, a missing one null. Bounds and moments are windows over the section, so
+    the input is read and shuffled once; a section is the codes of a date and meets in one task.
     """
-    bounds = df.groupBy(*by).agg(*[F.percentile(f, F.array(F.lit(low), F.lit(high))).alias(f"__b_{f}") for f in factors])
-    clipped = df.join(bounds, by, "left").select(*df.columns, *[clip(F.col(f).cast("double"), F.col(f"__b_{f}")[0], F.col(f"__b_{f}")[1]).alias(f"__c_{f}") for f in factors])
-    moments = clipped.groupBy(*by).agg(*[g for f in factors for g in (F.avg(f"__c_{f}").alias(f"__m_{f}"), F.stddev_pop(f"__c_{f}").alias(f"__s_{f}"))])
-    out = clipped.join(moments, by, "left")
+    w = Window.partitionBy(*by)
+    bounds = df.select(*df.columns, *[F.percentile(F.col(f).cast("double"), F.array(F.lit(low), F.lit(high))).over(w).alias(f"__b_{f}") for f in factors])
+    clipped = bounds.select(*df.columns, *[clip(F.col(f).cast("double"), F.col(f"__b_{f}")[0], F.col(f"__b_{f}")[1]).alias(f"__c_{f}") for f in factors])
+    moments = [g for f in factors for g in (F.avg(f"__c_{f}").over(w).alias(f"__m_{f}"), F.stddev_pop(f"__c_{f}").over(w).alias(f"__s_{f}"))]
+    out = clipped.select("*", *moments)
     z = [F.when(F.col(f"__c_{f}").isNotNull(), F.when(F.col(f"__s_{f}") > 1e-12, (F.col(f"__c_{f}") - F.col(f"__m_{f}")) / F.col(f"__s_{f}")).otherwise(F.lit(0.0))).alias(f"{f}_z") for f in factors]
     return out.select(*df.columns, *z)
 
 
 def average_rank(x: str, by: list[str]) -> Column:
     """Rank from 1 within a section, ties at their mean; null values have none and count for none."""
-    section = Window.partitionBy(*by, F.col(x).isNull())
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.when(F.col(x).isNotNull(), F.rank().over(section.orderBy(x)) + (ties - 1) / F.lit(2.0))
+    #: nulls come last; the rank is that of the first of equals, the running count that of the last
+    order = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + F.count(x).over(order)) / F.lit(2.0))
 
 
 def rank_pct(x: str, by: list[str], single: float | None = None) -> Column:
@@ -53,9 +54,9 @@ def sample_z(x: str, by: list[str]) -> Column:
 
 def quantile_bucket(x: str, tie: str, by: list[str], buckets: int) -> Column:
     """Bucket floor((i-1) q / n) + 1 of the i-th of n values, q at most n; ties by code."""
-    section = Window.partitionBy(*by, F.col(x).isNull())
-    n = F.count(F.lit(1)).over(section)
-    i = F.row_number().over(section.orderBy(x, tie)) - 1
+    section = Window.partitionBy(*by)
+    n = F.count(x).over(section)
+    i = F.row_number().over(section.orderBy(F.col(x).asc_nulls_last(), tie)) - 1
     return F.when(F.col(x).isNotNull(), (F.floor(i * F.least(F.lit(buckets), n) / n) + 1).cast("int"))
 
 

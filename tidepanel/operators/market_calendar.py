@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.operators.asof import asof_join
-
 
 def market_calendar(prices: DataFrame, date: str = "date") -> DataFrame:
     """(date, cal_idx): distinct observed dates, numbered from 0. A few thousand rows."""
@@ -29,16 +27,21 @@ def rebalance_dates(calendar: DataFrame, frequency: str = "monthly", start: str
 def with_calendar_index(df: DataFrame, calendar: DataFrame, at: str, out: str = "cal_idx", mode: str = "on_or_before") -> DataFrame:
     """df with the index of the calendar date on or before, on or after, or after the date `at`.
 
-    The calendar is small and its size known, so distinct probe dates meet it by a range join first.
+    Each calendar date stands for the days up to the next one, so that every date meets the calendar by
+    an equi-join with one small row a day. Beyond the calendar's end on_or_after and after give an
+    index that no date has; null dates have none.
     """
-    days = calendar.select(F.col("date").alias("__day"), F.col("cal_idx").alias("__idx"))
-    probe = df.select(F.col(at).alias("__at")).where("__at is not null").distinct()
-    if mode == "on_or_before":
-        found = asof_join(probe.withColumn("__k", F.lit(0)), days.withColumn("__k", F.lit(0)), ["__k"], "__at", "__day").select("__at", F.col("__idx").alias(out))
-    else:
-        #: one past the last date before; beyond the calendar's end no date has that index
-        found = asof_join(probe.withColumn("__k", F.lit(0)), days.withColumn("__k", F.lit(0)), ["__k"], "__at", "__day", strict=mode == "on_or_after").select("__at", (F.coalesce(F.col("__idx"), F.lit(-1)) + 1).alias(out))
-    return df.join(found, df[at] == found["__at"], "left").drop("__at")
+    if mode not in ("on_or_before", "on_or_after", "after"):
+        raise ValueError(f"unknown calendar mode {mode}")
+    order = Window.orderBy("date")  # one row a trading date
+    until = F.coalesce(F.date_sub(F.lead("date").over(order), 1), F.col("date"))
+    days = calendar.withColumn("__until", until).select(F.explode(F.sequence("date", "__until")).alias("__at"), F.col("date").alias("__day"), F.col("cal_idx").alias("__idx"))
+    end = calendar.agg(F.max("date").alias("__end"), F.max("cal_idx").alias("__last"))
+    rows = df.join(days, df[at] == days["__at"], "left").join(F.broadcast(end))  # one row
+    before = F.coalesce(F.col("__idx"), F.when(F.col(at) > F.col("__end"), F.col("__last")))
+    following = F.when(F.col(at).isNotNull(), F.coalesce(before, F.lit(-1)) + 1)
+    index = {"on_or_before": before, "after": following, "on_or_after": F.when(F.col("__day") == F.col(at), before).otherwise(following)}[mode]
+    return rows.select(*[df[c] for c in df.columns], index.alias(out))
 
 
 def offset_date(df: DataFrame, calendar: DataFrame, index: str, offset: int, out: str) -> DataFrame:

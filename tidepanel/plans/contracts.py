@@ -77,6 +77,13 @@ def disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
         (total * 2 + 1000).alias("equity"),
         (total * 3 + 5000).alias("total_assets"),
         (1000 + key % 900).cast("double").alias("shares"),
+        F.when(key % 19 != 0, total / 5).alias("cash"),
+        F.when(key % 23 != 0, total * (key % 7) / 20).alias("debt"),
+        (total + 4000).alias("liabilities"),
+        F.when(key % 31 == 0, F.lit(0.0)).otherwise(total * 4 + 100).alias("market_cap"),
+        F.when(key % 3 == 0, "09:00").when(key % 3 == 1, "15:30").otherwise("").alias("available_time"),
+        F.when(key % 4 == 0, "Forecast Revision").when(key % 4 == 1, "Annual Results").otherwise("Quarterly-Results").alias("document_type"),
+        F.when(key % 10 == 0, "false").when(key % 10 < 6, "Consolidated").otherwise("").alias("consolidated_flag"),
     )
 
 
@@ -85,7 +92,11 @@ disclosures AS (
   SELECT CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR) AS code, CAST(o_orderdate AS DATE) AS available_date,
     last_day(CAST(o_orderdate AS DATE) - 45) AS period_end, o_orderstatus AS period_type, o_orderkey AS disclosure_number, o_totalprice AS sales,
     o_totalprice * ((o_orderkey % 17) + 1) / 100 AS operating_profit, CASE WHEN o_orderkey % 29 <> 0 THEN o_totalprice * ((o_orderkey % 11) - 2) / 100 END AS net_profit,
-    o_totalprice * 2 + 1000 AS equity, o_totalprice * 3 + 5000 AS total_assets, CAST(1000 + o_orderkey % 900 AS DOUBLE) AS shares
+    o_totalprice * 2 + 1000 AS equity, o_totalprice * 3 + 5000 AS total_assets, CAST(1000 + o_orderkey % 900 AS DOUBLE) AS shares,
+    CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice / 5 END AS cash, CASE WHEN o_orderkey % 23 <> 0 THEN o_totalprice * (o_orderkey % 7) / 20 END AS debt, o_totalprice + 4000 AS liabilities,
+    CASE WHEN o_orderkey % 31 = 0 THEN 0 ELSE o_totalprice * 4 + 100 END AS market_cap, CASE o_orderkey % 3 WHEN 0 THEN '09:00' WHEN 1 THEN '15:30' ELSE '' END AS available_time,
+    CASE o_orderkey % 4 WHEN 0 THEN 'Forecast Revision' WHEN 1 THEN 'Annual Results' ELSE 'Quarterly-Results' END AS document_type,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'false' WHEN o_orderkey % 10 < 6 THEN 'Consolidated' ELSE '' END AS consolidated_flag
   FROM orders)"""
 
 

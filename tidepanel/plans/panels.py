@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import reasons, safe_ratio, yoy_change
+from tidepanel.functions.numeric import prior_year, reasons, safe_ratio, yoy_change
 from tidepanel.functions.parse import normalize_token, parse_bool, parse_date
 from tidepanel.operators import windows as win
 from tidepanel.operators.asof import asof_join, latest_per_key
@@ -25,13 +25,22 @@ def latest_prices(probes: DataFrame, prices: DataFrame, at: str = "rebalance_dat
 
 def skip_return(probes: DataFrame, prices: DataFrame, calendar: DataFrame, lookback: int, skip: int, out: str) -> DataFrame:
     """Return from the close as of `lookback` to that as of `skip` trading days of the market before the date."""
-    at = with_calendar_index(probes, calendar, "rebalance_date", "__idx")
-    for name, days in (("__from", lookback), ("__to", skip)):
-        at = offset_date(at, calendar, "__idx", -days, f"{name}_date")
-        rows = prices.select("code", F.col("date").alias(f"{name}_d"), F.col("close").alias(f"{name}_close"))
-        at = asof_join(at, rows, ["code"], f"{name}_date", f"{name}_d")
-    value = F.when(F.col("__from_date").isNotNull() & F.col("__to_date").isNotNull(), safe_ratio(F.col("__to_close"), F.col("__from_close")) - 1)
-    return at.select(*probes.columns, value.alias(out))
+    return skip_returns(probes, prices, calendar, {out: (lookback, skip)})
+
+
+def skip_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, spans: dict[str, tuple[int, int]]) -> DataFrame:
+    """probes (unique by rebalance_date and code) with a return for each of spans: out to (lookback, skip).
+
+    All offset dates of a probe are looked up in one as-of join and folded within the code's partition.
+    """
+    offsets = sorted({days for span in spans.values() for days in span})
+    at = with_calendar_index(probes, calendar, "rebalance_date", "__idx").select(F.struct(*probes.columns).alias("__own"), "rebalance_date", "code", "__idx", F.explode(F.array(*[F.lit(d) for d in offsets])).alias("__days"))
+    at = at.withColumn("__target", F.col("__idx") - F.col("__days")).join(calendar.select(F.col("date").alias("__date"), F.col("cal_idx").alias("__target")), "__target", "left")
+    at = asof_join(at, prices.select("code", F.col("date").alias("__d"), F.col("close").alias("__close")), ["code"], "__date", "__d")
+    closes = [F.max(F.when(F.col("__days") == d, F.col("__close"))).alias(f"__close_{d}") for d in offsets]
+    folded = at.groupBy("rebalance_date", "code").agg(F.first("__own").alias("__own"), *closes)
+    values = [(safe_ratio(F.col(f"__close_{skip}"), F.col(f"__close_{lookback}")) - 1).alias(out) for out, (lookback, skip) in spans.items()]
+    return folded.select("__own.*", *values)
 
 
 def trailing_liquidity(prices: DataFrame, n: int = 60) -> DataFrame:
@@ -99,8 +108,7 @@ def raw_factors(panel: DataFrame, disclosures: DataFrame, prices: DataFrame, cal
         safe_ratio(F.col("net_profit"), cap).alias("earnings_yield"),
         safe_ratio(F.col("equity"), cap).alias("book_to_market"),
     )
-    rows = skip_return(rows, prices, calendar, 252, 21, "return_12_1")
-    return skip_return(rows, prices, calendar, 126, 21, "return_6_1")
+    return skip_returns(rows, prices, calendar, {"return_12_1": (252, 21), "return_6_1": (126, 21)})
 
 
 def scored(rows: DataFrame, weights: dict[str, float], rules: list[FilterRule], low: float = 0.01, high: float = 0.99, digits: int = 8) -> DataFrame:
@@ -229,6 +237,8 @@ def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFra
         full = F.count("ret").over(win.frame(order, n)) == n
         out[f"realized_vol_{label}"] = F.when(full, F.stddev_samp("ret").over(win.frame(order, n)) * F.lit(YEAR**0.5))
         if label != "3m":
+            path = F.collect_list("close").over(win.frame(order, n + 1))
+            out[f"max_drawdown_{label}"] = F.when(full, win.max_drawdown(path))
             down = F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)).over(win.frame(order, n))
             out[f"downside_vol_{label}"] = F.when(full, F.sqrt(down) * F.lit(YEAR**0.5))
     w = win.frame(order, beta_days)
@@ -236,6 +246,7 @@ def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFra
     x, y = F.when(pair, F.col("bench_return")), F.when(pair, F.col("ret"))
     out["benchmark_observations"] = F.count(x).over(w)
     out["beta_to_benchmark"] = F.when(F.count(x).over(w) >= least, safe_ratio(F.covar_samp(x, y).over(w), F.var_samp(x).over(w)))
+    out["missing_flags"] = reasons(*[(~(F.count("ret").over(win.frame(order, n)) == n), f"insufficient_history_{label}") for label, n in WINDOWS.items()], (out["beta_to_benchmark"].isNull(), "missing_beta_to_benchmark"))
     features = bars.select("code", "date", *[v.alias(k) for k, v in out.items()])
     return asof_join(spine(rebalances, prices), features.withColumnRenamed("date", "latest_price_date"), ["code"], "rebalance_date", "latest_price_date").where("latest_price_date is not null")
 
@@ -243,14 +254,14 @@ def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFra
 def derived_fundamentals(disclosures: DataFrame) -> DataFrame:
     """Ratios and changes on the year of each disclosure, against the prior-year one known by then.
 
-    The prior is the latest version (by availability, then number) for the same code, type and period a year
-    before that was available no later.
+    The prior is the latest version (by availability, then number) for the same code, type and the period that
+    ended on the same day a year before (28 February for the 29th) that was available no later.
     """
     rows = latest_per_key(disclosures, ["code", "period_type", "period_end", "available_date"], [F.col("disclosure_number").desc()], "n_same_day")
-    prior = rows.select("code", "period_type", F.add_months("period_end", 12).alias("__end"), F.col("available_date").alias("__when"), *[F.col(x).alias(f"prior_{x}") for x in ("sales", "operating_profit", "net_profit", "shares")])
-    probes = rows.withColumn("__end", F.col("period_end"))
+    prior = rows.select("code", "period_type", F.col("period_end").alias("__end"), F.col("available_date").alias("__when"), *[F.col(x).alias(f"prior_{x}") for x in ("sales", "operating_profit", "net_profit", "shares")])
+    probes = rows.withColumn("__end", prior_year(F.col("period_end")))
     joined = asof_join(probes, prior, ["code", "period_type", "__end"], "available_date", "__when")
-    now, then = F.col("net_profit"), F.col("prior_net_profit")
+    now, then, cap = F.col("net_profit"), F.col("prior_net_profit"), F.col("market_cap")
     margin, before = safe_ratio(F.col("operating_profit"), F.col("sales")), safe_ratio(F.col("prior_operating_profit"), F.col("prior_sales"))
     return joined.select(
         "code", "available_date", "period_type", "period_end", "disclosure_number", "n_same_day",
@@ -259,6 +270,11 @@ def derived_fundamentals(disclosures: DataFrame) -> DataFrame:
         yoy_change(now, then).alias("net_profit_yoy"),
         margin.alias("operating_margin"), (margin - before).alias("operating_margin_delta_yoy"),
         safe_ratio(now, F.col("equity")).alias("roe"), safe_ratio(now, F.col("total_assets")).alias("roa"),
+        safe_ratio(F.col("equity"), F.col("total_assets")).alias("equity_to_assets"),
+        safe_ratio(F.col("cash"), cap).alias("cash_to_market_cap"),
+        safe_ratio(F.col("cash") - F.col("debt"), cap).alias("net_cash_to_market_cap"),
+        safe_ratio(F.col("debt"), F.col("equity")).alias("debt_to_equity"),
+        safe_ratio(F.col("liabilities"), F.col("total_assets")).alias("liabilities_to_assets"),
         F.when(now.isNotNull() & then.isNotNull(), F.when((then < 0) & (now > 0), F.lit(1.0)).otherwise(F.lit(0.0))).alias("profit_turn_positive"),
         yoy_change(F.col("shares"), F.col("prior_shares")).alias("shares_change_yoy"),
         F.col("__when").isNull().alias("missing_prior_year"),

@@ -12,6 +12,7 @@ from tidepanel.operators import cross_section as xs, windows as win
 from tidepanel.operators.asof import asof_few, asof_join
 from tidepanel.operators.market_calendar import market_calendar, rebalance_dates
 from tidepanel.plans import contracts as ct, panels, research
+from tidepanel.session import materialize
 from tidepanel.plans.contracts import DISCLOSURES_SQL, EVENT_PRICES_SQL, LISTINGS_SQL, MEMBERSHIP_SQL, PRICES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +35,9 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    prices = ct.prices(spark, sf_dir)
-    calendar = market_calendar(prices)
+    """Bars, calendar and quarterly dates; bars and calendar are written once and read by every leg of a query."""
+    prices = materialize(ct.prices(spark, sf_dir), "prices")
+    calendar = materialize(market_calendar(prices), "calendar")
     return prices, calendar, rebalance_dates(calendar, "quarterly")
 
 
@@ -213,7 +215,8 @@ RULES = [xs.FilterRule("momentum_score", "exclude_bottom_pct", 20), xs.FilterRul
 
 def _scored(spark, sf_dir) -> DataFrame:
     panel, prices, calendar, statements = _universe(spark, sf_dir)
-    return panels.scored(panels.raw_factors(panel, statements, prices, calendar), WEIGHTS, RULES)
+    factors = materialize(panels.raw_factors(panel, statements, prices, calendar), "factors")
+    return panels.scored(factors, WEIGHTS, RULES)
 
 
 @query(
@@ -385,13 +388,16 @@ def _frame(n: int) -> str:
 
 @query(
     "defensive_panel",
-    f"""{WITH}, {BENCH_SQL}, {SPINE_SQL}, b AS (SELECT code, date, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS ret FROM prices),
+    f"""{WITH}, {BENCH_SQL}, {SPINE_SQL}, b AS (SELECT code, date, close, close / nullif(lag(close) OVER (PARTITION BY code ORDER BY date), 0) - 1 AS ret FROM prices),
 j AS (SELECT b.*, CASE WHEN ret IS NOT NULL THEN bench_return END AS x, CASE WHEN bench_return IS NOT NULL THEN ret END AS y FROM b LEFT JOIN bench USING (date)),
 f AS (SELECT code, date, CASE WHEN count(ret) OVER {_frame(63)} = 63 THEN stddev_samp(ret) OVER {_frame(63)} * sqrt(252) END AS realized_vol_3m, CASE WHEN count(ret) OVER {_frame(126)} = 126 THEN stddev_samp(ret) OVER {_frame(126)} * sqrt(252) END AS realized_vol_6m,
   CASE WHEN count(ret) OVER {_frame(252)} = 252 THEN stddev_samp(ret) OVER {_frame(252)} * sqrt(252) END AS realized_vol_12m, CASE WHEN count(ret) OVER {_frame(126)} = 126 THEN sqrt(avg(least(ret, 0) ** 2) OVER {_frame(126)}) * sqrt(252) END AS downside_vol_6m,
   CASE WHEN count(ret) OVER {_frame(252)} = 252 THEN sqrt(avg(least(ret, 0) ** 2) OVER {_frame(252)}) * sqrt(252) END AS downside_vol_12m, count(x) OVER {_frame(252)} AS benchmark_observations,
-  CASE WHEN count(x) OVER {_frame(252)} >= 60 THEN covar_samp(x, y) OVER {_frame(252)} / nullif(var_samp(x) OVER {_frame(252)}, 0) END AS beta_to_benchmark FROM j)
-SELECT s.rebalance_date, s.code, f.date AS latest_price_date, {', '.join(f'round({c}, 4) AS {c}' for c in ('realized_vol_3m', 'realized_vol_6m', 'realized_vol_12m', 'downside_vol_6m', 'downside_vol_12m', 'beta_to_benchmark'))}, benchmark_observations
+  CASE WHEN count(x) OVER {_frame(252)} >= 60 THEN covar_samp(x, y) OVER {_frame(252)} / nullif(var_samp(x) OVER {_frame(252)}, 0) END AS beta_to_benchmark,
+  CASE WHEN count(ret) OVER {_frame(126)} = 126 THEN list(close) OVER {_frame(127)} END AS l6, CASE WHEN count(ret) OVER {_frame(252)} = 252 THEN list(close) OVER {_frame(253)} END AS l12, count(ret) OVER {_frame(63)} = 63 AS full3 FROM j)
+SELECT s.rebalance_date, s.code, f.date AS latest_price_date, {', '.join(f'round({c}, 4) AS {c}' for c in ('realized_vol_3m', 'realized_vol_6m', 'realized_vol_12m', 'downside_vol_6m', 'downside_vol_12m', 'beta_to_benchmark'))}, benchmark_observations,
+  {', '.join(f'round(list_min(list_transform(range(1, len({l}) + 1), lambda i: {l}[i] / list_max({l}[1:i]) - 1)), 4) AS max_drawdown_{k}' for l, k in (('l6', '6m'), ('l12', '12m')))},
+  concat_ws(';', CASE WHEN NOT full3 THEN 'insufficient_history_3m' END, CASE WHEN l6 IS NULL THEN 'insufficient_history_6m' END, CASE WHEN l12 IS NULL THEN 'insufficient_history_12m' END, CASE WHEN beta_to_benchmark IS NULL THEN 'missing_beta_to_benchmark' END) AS missing_flags
 FROM spine s ASOF JOIN f ON f.code = s.code AND f.date <= s.rebalance_date""",
 )
 def defensive(spark, sf_dir):
@@ -402,12 +408,14 @@ def defensive(spark, sf_dir):
 @query(
     "derived_fundamentals",
     f"""WITH {DISCLOSURES_SQL}, r AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY code, period_type, period_end, available_date) AS n_same_day FROM disclosures WINDOW w AS (PARTITION BY code, period_type, period_end, available_date ORDER BY disclosure_number DESC)),
-d AS (SELECT * FROM r WHERE rn = 1), p AS (SELECT code AS pc, period_type AS pt, last_day(period_end + INTERVAL 12 MONTH) AS pe_last, CAST(period_end + INTERVAL 12 MONTH AS DATE) AS pe, available_date AS pa, sales AS ps, operating_profit AS po, net_profit AS pn, shares AS psh FROM d),
-j AS (SELECT d.*, p.* FROM d ASOF LEFT JOIN p ON p.pc = d.code AND p.pt = d.period_type AND p.pe = d.period_end AND p.pa <= d.available_date)
+d AS (SELECT * FROM r WHERE rn = 1), p AS (SELECT code AS pc, period_type AS pt, period_end AS pe, available_date AS pa, sales AS ps, operating_profit AS po, net_profit AS pn, shares AS psh FROM d),
+b AS (SELECT *, CAST(period_end - INTERVAL 12 MONTH AS DATE) AS year_before FROM d),
+j AS (SELECT b.*, p.* FROM b ASOF LEFT JOIN p ON p.pc = b.code AND p.pt = b.period_type AND p.pe = b.year_before AND p.pa <= b.available_date)
 SELECT code, available_date, period_type, period_end, disclosure_number, n_same_day, round((sales - ps) / nullif(abs(ps), 0), 6) AS sales_yoy, round((operating_profit - po) / nullif(abs(po), 0), 6) AS operating_profit_yoy,
   round((net_profit - pn) / nullif(abs(pn), 0), 6) AS net_profit_yoy, round(operating_profit / nullif(sales, 0), 6) AS operating_margin, 0.0 + round(operating_profit / nullif(sales, 0) - po / nullif(ps, 0), 6) AS operating_margin_delta_yoy,
   round(net_profit / nullif(equity, 0), 6) AS roe, round(net_profit / nullif(total_assets, 0), 6) AS roa, CASE WHEN net_profit IS NOT NULL AND pn IS NOT NULL THEN CASE WHEN pn < 0 AND net_profit > 0 THEN 1.0 ELSE 0.0 END END AS profit_turn_positive,
-  round((shares - psh) / nullif(abs(psh), 0), 6) AS shares_change_yoy, pa IS NULL AS missing_prior_year FROM j""",
+  round((shares - psh) / nullif(abs(psh), 0), 6) AS shares_change_yoy, round(equity / nullif(total_assets, 0), 6) AS equity_to_assets, round(cash / nullif(market_cap, 0), 6) AS cash_to_market_cap,
+  0.0 + round((cash - debt) / nullif(market_cap, 0), 6) AS net_cash_to_market_cap, round(debt / nullif(equity, 0), 6) AS debt_to_equity, round(liabilities / nullif(total_assets, 0), 6) AS liabilities_to_assets, pa IS NULL AS missing_prior_year FROM j""",
 )
 def derived(spark, sf_dir):
     return _rounded(panels.derived_fundamentals(ct.disclosures(spark, sf_dir)))
@@ -509,8 +517,10 @@ def group_baskets(spark, sf_dir):
 
 SIGNAL_SQL = f"""{BASKET_SQL}, bench AS (SELECT date, avg_r AS bench_return FROM (SELECT date, round(avg(basket_return), 8) AS avg_r FROM baskets WHERE basket_return IS NOT NULL GROUP BY date)),
 g AS (SELECT b.*, bench_return FROM baskets b LEFT JOIN bench USING (date) WHERE basket_return IS NOT NULL),
-signals AS (SELECT date, group_type, group_id, list_reduce(list_prepend(1.0::DOUBLE, list(basket_return) OVER w), lambda a, x: a * (1 + x)) - 1 AS momentum, CASE WHEN count(*) OVER w >= 2 THEN stddev_samp(basket_return) OVER w * sqrt(12) END AS volatility,
-  sqrt(avg(least(basket_return, 0) ** 2) OVER w) * sqrt(12) AS downside_volatility, covar_samp(bench_return, basket_return) OVER w / nullif(var_samp(bench_return) OVER w, 0) AS beta FROM g WINDOW w AS (PARTITION BY group_id ORDER BY date ROWS 5 PRECEDING))"""
+path AS (SELECT *, list(basket_return) OVER w AS l FROM g WINDOW w AS (PARTITION BY group_id ORDER BY date ROWS 5 PRECEDING)),
+curve AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: list_reduce(list_prepend(1.0::DOUBLE, l[1:i]), lambda a, x: a * (1 + x))) AS eq FROM path),
+signals AS (SELECT date, group_type, group_id, least(0.0, list_min(list_transform(range(1, len(eq) + 1), lambda i: eq[i] / greatest(1.0, list_max(eq[1:i])) - 1))) AS max_drawdown, list_reduce(list_prepend(1.0::DOUBLE, list(basket_return) OVER w), lambda a, x: a * (1 + x)) - 1 AS momentum, CASE WHEN count(*) OVER w >= 2 THEN stddev_samp(basket_return) OVER w * sqrt(12) END AS volatility,
+  sqrt(avg(least(basket_return, 0) ** 2) OVER w) * sqrt(12) AS downside_volatility, covar_samp(bench_return, basket_return) OVER w / nullif(var_samp(bench_return) OVER w, 0) AS beta FROM curve WINDOW w AS (PARTITION BY group_id ORDER BY date ROWS 5 PRECEDING))"""
 
 
 def _signals(spark, sf_dir) -> tuple[DataFrame, ...]:
@@ -519,9 +529,9 @@ def _signals(spark, sf_dir) -> tuple[DataFrame, ...]:
     return research.group_signals(baskets, bench), baskets, members, dates, prices
 
 
-@query("group_signals", f"""{SIGNAL_SQL} SELECT date, group_type, group_id, round(momentum, 5) AS momentum, round(volatility, 5) AS volatility, round(downside_volatility, 5) AS downside_volatility, round(beta, 5) AS beta FROM signals""")
+@query("group_signals", f"""{SIGNAL_SQL} SELECT date, group_type, group_id, round(momentum, 5) AS momentum, round(volatility, 5) AS volatility, round(downside_volatility, 5) AS downside_volatility, 0.0 + round(max_drawdown, 5) AS max_drawdown, round(beta, 5) AS beta FROM signals""")
 def group_signals(spark, sf_dir):
-    return _rounded(_signals(spark, sf_dir)[0].drop("max_drawdown"), 5)
+    return _rounded(_signals(spark, sf_dir)[0], 5)
 
 
 TILT_SQL = f"""{SIGNAL_SQL}, bw AS (SELECT date, group_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY date) AS benchmark_weight FROM signals), c AS (SELECT bw.*, round(s.momentum, 8) AS s FROM bw LEFT JOIN signals s USING (date, group_id)),
@@ -641,14 +651,14 @@ def coverage(spark, sf_dir):
 @query(
     "panel_differences",
     f"""{WITH}, a AS (SELECT code, date, volume, close FROM prices WHERE CAST(code AS BIGINT) % 10 <> 1), b AS (SELECT code, date, CASE WHEN CAST(volume AS BIGINT) % 7 = 0 THEN volume + 1 ELSE volume END AS volume, close FROM prices WHERE CAST(code AS BIGINT) % 10 <> 2)
-SELECT coalesce(a.code, b.code) AS code, coalesce(a.date, b.date) AS date, CASE WHEN a.code IS NULL OR b.code IS NULL THEN '' ELSE 'volume' END AS field, CASE WHEN a.code IS NULL THEN 'right_only' WHEN b.code IS NULL THEN 'left_only' ELSE 'value_differs' END AS kind
+SELECT coalesce(a.code, b.code) AS code, coalesce(a.date, b.date) AS date, CASE WHEN a.code IS NULL OR b.code IS NULL THEN '' ELSE 'volume' END AS field, CASE WHEN b.code IS NOT NULL THEN CAST(a.volume AS VARCHAR) END AS left_value, CASE WHEN a.code IS NOT NULL THEN CAST(b.volume AS VARCHAR) END AS right_value, CASE WHEN a.code IS NULL THEN 'right_only' WHEN b.code IS NULL THEN 'left_only' ELSE 'value_differs' END AS kind
 FROM a FULL JOIN b ON a.code = b.code AND a.date = b.date WHERE a.code IS NULL OR b.code IS NULL OR a.volume <> b.volume""",
 )
 def differences(spark, sf_dir):
     prices, code, v = ct.prices(spark, sf_dir), F.col("code").cast("long"), F.col("volume")
     left = prices.where(code % 10 != 1).select("code", "date", "volume", "close")
     right = prices.where(code % 10 != 2).select("code", "date", F.when(v.cast("long") % 7 == 0, v + 1).otherwise(v).alias("volume"), "close")
-    return research.panel_differences(left, right, ["code", "date"], ["volume", "close"]).select("code", "date", "field", "kind")
+    return research.panel_differences(left, right, ["code", "date"], ["volume", "close"]).select("code", "date", "field", "left_value", "right_value", "kind")
 
 
 # ---------------------------------------------------------------- performance
@@ -656,15 +666,15 @@ def differences(spark, sf_dir):
 
 @query(
     "performance_summary",
-    f"""{BASKET_SQL}, r AS (SELECT group_id, date, round(basket_return, 10) AS r FROM baskets WHERE basket_return IS NOT NULL), e AS (SELECT *, exp(sum(ln(1 + r)) OVER w) AS eq FROM r WINDOW w AS (PARTITION BY group_id ORDER BY date)),
+    f"""{BASKET_SQL}, r AS (SELECT group_id, date, round(basket_return, 10) AS r FROM baskets WHERE basket_return IS NOT NULL), e AS (SELECT *, product(1 + r) OVER w AS eq FROM r WINDOW w AS (PARTITION BY group_id ORDER BY date)),
 p AS (SELECT *, greatest(max(eq) OVER (PARTITION BY group_id ORDER BY date), 1.0) AS peak FROM e),
-a AS (SELECT group_id, count(*) AS periods, exp(sum(ln(1 + r))) - 1 AS total_return, stddev_samp(r) * sqrt(4) AS vol, avg(r) * 4 AS mean, sqrt(avg(least(r, 0) ** 2)) * sqrt(4) AS down, min(eq / peak - 1) AS max_drawdown, avg((r > 0)::INT) AS win_rate FROM p GROUP BY group_id)
-SELECT group_id, periods, round(total_return, 5) AS total_return, round((1 + total_return) ** (4.0 / periods) - 1, 5) AS annualized_return, round(vol, 5) AS annualized_volatility, round(mean / nullif(vol, 0), 5) AS sharpe, round(mean / nullif(down, 0), 5) AS sortino, round(max_drawdown, 5) AS max_drawdown,
+a AS (SELECT group_id, count(*) AS periods, product(1 + r) - 1 AS total_return, stddev_samp(r) * sqrt(4) AS vol, avg(r) * 4 AS mean, sqrt(avg(least(r, 0) ** 2)) * sqrt(4) AS down, min(eq / peak - 1) AS max_drawdown, avg((r > 0)::INT) AS win_rate FROM p GROUP BY group_id)
+SELECT group_id, periods, round(total_return, 2) AS total_return, round((1 + total_return) ** (4.0 / periods) - 1, 5) AS annualized_return, round(vol, 5) AS annualized_volatility, round(mean / nullif(vol, 0), 5) AS sharpe, round(mean / nullif(down, 0), 5) AS sortino, round(max_drawdown, 5) AS max_drawdown,
   round(((1 + total_return) ** (4.0 / periods) - 1) / nullif(abs(max_drawdown), 0), 5) AS calmar, round(win_rate, 5) AS win_rate FROM a""",
 )
 def performance_summary(spark, sf_dir):
     rows = _groups(spark, sf_dir)[0].withColumn("r", F.round("basket_return", 10))
-    return _rounded(research.performance(rows, ["group_id"], "date", "r", 4.0), 5)
+    return _rounded(research.performance(rows, ["group_id"], "date", "r", 4.0).withColumn("total_return", F.round("total_return", 2)), 5)
 
 
 @query(
@@ -703,25 +713,3 @@ def parsed_values(spark, sf_dir):
     x = F.when(k % 6 == 0, "1,234.5").when(k % 6 == 1, " ").when(k % 6 == 2, "nan").when(k % 6 == 3, "-7e2").when(k % 6 == 4, "12x").otherwise(k.cast("string"))
     b = F.when(k % 4 == 0, " Yes").when(k % 4 == 1, "F").when(k % 4 == 2, "maybe").otherwise("t")
     return ct.table(spark, sf_dir, "orders").select("o_orderkey", parse.parse_number(x).alias("number"), parse.parse_integer(x).alias("integer"), parse.parse_bool(b).alias("truth"), parse.strict_flag(b).alias("strict"))
-
-
-# ---------------------------------------------------------------- simulations (a fold has no SQL)
-
-
-@query("event_account")
-def event_account(spark, sf_dir):
-    from tidepanel.plans.simulate import AccountRules, event_account as simulate
-
-    prices = ct.event_prices(spark, sf_dir)
-    events = ct.table(spark, sf_dir, "events").where("event_type = 'purchase' or value > 90").select("event_id", F.col("user_id").cast("string").alias("code"), F.col("ts").alias("announced"))
-    return _rounded(simulate(events, prices, market_calendar(prices), [AccountRules("five", holding_days=5), AccountRules("ten", holding_days=10, max_positions=10)]))
-
-
-@query("walk_forward")
-def walk_forward(spark, sf_dir):
-    from tidepanel.plans.simulate import PortfolioRules, portfolio_inputs, walk_forward as simulate
-
-    panel, prices, calendar, statements = _universe(spark, sf_dir)
-    scores = panels.scored(panels.raw_factors(panel, statements, prices, calendar), WEIGHTS, RULES)
-    inputs = portfolio_inputs(scores, prices, calendar, panel)
-    return _rounded(simulate(inputs, [PortfolioRules("base"), PortfolioRules("taxed", tax_rate=0.2, max_per_sector=2)]))

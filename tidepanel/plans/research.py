@@ -298,14 +298,17 @@ def panel_differences(left: DataFrame, right: DataFrame, keys: list[str], fields
 
 
 def performance(returns: DataFrame, by: list[str], date: str, value: str, per_year: float = 12.0) -> DataFrame:
-    """Total and annualized return, volatility, Sharpe, Sortino, drawdown and Calmar of each series of returns."""
+    """Total and annualized return, volatility, Sharpe, Sortino, drawdown and Calmar of each series of returns.
+
+    Returns compound as a product, so that a loss of everything ends a series at zero.
+    """
     order = Window.partitionBy(*by).orderBy(date)
     r = F.col(value)
-    run = returns.where(r.isNotNull()).withColumn("__equity", F.exp(F.sum(F.ln(1 + r)).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    run = returns.where(r.isNotNull()).withColumn("__equity", F.product(1 + r).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("__peak", F.greatest(F.max("__equity").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0)))
     agg = run.groupBy(*by).agg(
         F.count(r).alias("periods"),
-        (F.exp(F.sum(F.ln(1 + r))) - 1).alias("total_return"),
+        (F.product(1 + r) - 1).alias("total_return"),
         (F.stddev_samp(r) * F.lit(per_year**0.5)).alias("annualized_volatility"),
         (F.avg(r) * per_year).alias("__mean"),
         (F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2))) * F.lit(per_year**0.5)).alias("__down"),
