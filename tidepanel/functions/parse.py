@@ -78,7 +78,9 @@ def filled_alias(df: DataFrame, aliases: list[str]) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    """Runs of other characters than letters and digits as one underscore, none at the ends; blank if nothing is left."""
+    text = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    return F.when(text == "", "blank").otherwise(text)
 
 
 def contains_any(c: Column, needles: list[str]) -> Column:

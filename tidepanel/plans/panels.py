@@ -222,33 +222,35 @@ YEAR = 252
 
 
 def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFrame, beta_days: int = 252, least: int = 60) -> DataFrame:
-    """Volatility, downside volatility and drawdown of trailing windows, and the beta to a benchmark.
+    """Volatility, downside volatility and drawdown of trailing windows, the beta to a benchmark, and missing flags.
 
-    A window holds n + 1 bars; one bad price in it makes it insufficient. Everything is computed on the
-    bars and joined as of the dates, so a bar serves all dates that see it as the latest.
+    A window holds n + 1 bars; one bad price in it makes it insufficient. Only the bars that are a code's
+    latest at some date get windows: they meet the bars before them by code, and each folds its own once.
     benchmark: (date, bench_return).
     """
     order = win.by_code()
     c = F.when(F.col("close") > 0, F.col("close"))
     bars = prices.select("code", "date", c.alias("close"), F.row_number().over(order).alias("rn")).withColumn("ret", safe_ratio(F.col("close"), F.lag("close").over(order)) - 1)
-    bars = bars.join(F.broadcast(benchmark), "date", "left")
-    out = {}
+    bars = bars.join(benchmark, "date", "left")
+    dated = asof_join(spine(rebalances, prices), bars.select("code", F.col("date").alias("latest_price_date"), F.col("rn").alias("__rn")), ["code"], "rebalance_date", "latest_price_date").where("__rn is not null")
+    pairs = dated.select("code", "__rn").distinct().join(bars.drop("date"), "code").where(F.col("rn").between(F.col("__rn") - max(*WINDOWS.values(), beta_days), F.col("__rn")))
+    age, ret, out, flags = F.col("__rn") - F.col("rn"), F.col("ret"), {}, []
     for label, n in WINDOWS.items():
-        full = F.count("ret").over(win.frame(order, n)) == n
-        out[f"realized_vol_{label}"] = F.when(full, F.stddev_samp("ret").over(win.frame(order, n)) * F.lit(YEAR**0.5))
+        own = F.when(age < n, ret)
+        full = F.count(own) == n
+        flags.append((~full, f"insufficient_history_{label}"))
+        out[f"realized_vol_{label}"] = F.when(full, F.stddev_samp(own) * F.lit(YEAR**0.5))
         if label != "3m":
-            path = F.collect_list("close").over(win.frame(order, n + 1))
+            out[f"downside_vol_{label}"] = F.when(full, F.sqrt(F.avg(F.pow(F.when(own < 0, own).when(own.isNotNull(), F.lit(0.0)), 2))) * F.lit(YEAR**0.5))
+            path = F.transform(F.sort_array(F.collect_list(F.when(age <= n, F.struct("rn", "close")))), lambda x: x["close"])
             out[f"max_drawdown_{label}"] = F.when(full, win.max_drawdown(path))
-            down = F.avg(F.pow(F.least(F.col("ret"), F.lit(0.0)), 2)).over(win.frame(order, n))
-            out[f"downside_vol_{label}"] = F.when(full, F.sqrt(down) * F.lit(YEAR**0.5))
-    w = win.frame(order, beta_days)
-    pair = F.col("ret").isNotNull() & F.col("bench_return").isNotNull()
-    x, y = F.when(pair, F.col("bench_return")), F.when(pair, F.col("ret"))
-    out["benchmark_observations"] = F.count(x).over(w)
-    out["beta_to_benchmark"] = F.when(F.count(x).over(w) >= least, safe_ratio(F.covar_samp(x, y).over(w), F.var_samp(x).over(w)))
-    out["missing_flags"] = reasons(*[(~(F.count("ret").over(win.frame(order, n)) == n), f"insufficient_history_{label}") for label, n in WINDOWS.items()], (out["beta_to_benchmark"].isNull(), "missing_beta_to_benchmark"))
-    features = bars.select("code", "date", *[v.alias(k) for k, v in out.items()])
-    return asof_join(spine(rebalances, prices), features.withColumnRenamed("date", "latest_price_date"), ["code"], "rebalance_date", "latest_price_date").where("latest_price_date is not null")
+    pair = ret.isNotNull() & F.col("bench_return").isNotNull() & (age < beta_days)
+    x, y = F.when(pair, F.col("bench_return")), F.when(pair, ret)
+    out["benchmark_observations"] = F.count(x)
+    out["beta_to_benchmark"] = F.when(F.count(x) >= least, safe_ratio(F.covar_samp(x, y), F.var_samp(x)))
+    flags.append((out["beta_to_benchmark"].isNull(), "missing_beta_to_benchmark"))
+    features = pairs.groupBy("code", "__rn").agg(*[v.alias(k) for k, v in out.items()], reasons(*flags).alias("missing_flags"))
+    return dated.join(features, ["code", "__rn"]).select("rebalance_date", "code", "latest_price_date", *out, "missing_flags")
 
 
 def derived_fundamentals(disclosures: DataFrame) -> DataFrame:
