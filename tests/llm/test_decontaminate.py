@@ -44,8 +44,8 @@ def test_exact_and_edited_passages(spark, monkeypatch):
     rows += [(500, None, "x"), (501, "", "x"), (502, " ".join(items[0]), "x"), (502, " ".join(items[0]), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string").repartition(3)
     bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] + [(90, None), (91, ""), (0, " ".join(items[0]))], "item_id long, text string")
-    for size in (16 << 20, 300):
-        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+    for bits in (25, 8):  # a sieve that lets most grams pass changes nothing
+        monkeypatch.setattr(dc, "SIEVE_BITS", bits)
         got = dc.benchmark_leaks(docs, bench).collect()
         pairs = [(r["doc_id"], r["item_id"]) for r in got]
         assert set(pairs) == leaks | {(502, 0)} and pairs.count((502, 0)) == 2
@@ -66,8 +66,38 @@ def test_every_text_of_an_id_is_searched(spark, monkeypatch):
     bench = spark.createDataFrame([(i % 4, t) for i, t in enumerate(texts[:8])] + [(None, t) for t in texts[8:]] + [(0, texts[0]), (0, near)], "item_id long, text string")
     docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (50, "nothing of it")], "doc_id long, text string").repartition(2)
     want = sorted([(i, i % 4 if i < 8 else -1, 1.0) for i in range(12)] + [(0, 0, 1.0)])
-    for size in (16 << 20, 300):
-        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+    for bits in (25, 8):
+        monkeypatch.setattr(dc, "SIEVE_BITS", bits)
         got = dc.benchmark_leaks(docs, bench).collect()
         assert sorted((r["doc_id"], -1 if r["item_id"] is None else r["item_id"], r["score"]) for r in got) == want
     assert [r["doc_id"] for r in dc.decontaminated(docs, bench).collect()] == [50]
+
+
+def test_seeds_lose_no_edited_copy_against_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"u{i}" for i in range(400)]
+    items = {i: rng.choices(words, k=rng.randrange(12, 40)) for i in range(8)}
+    rows = []
+    for d in range(160):
+        text = rng.choices(words, k=rng.randrange(5, 90))
+        if d % 2:
+            part = [rng.choice(words) if rng.random() < 0.2 else w for w in items[d % 8] if rng.random() > 0.08]
+            at = rng.randrange(len(text))
+            text[at:at] = part
+        rows.append((f"d{d}", " ".join(text)))
+    #: ties: the passage twice, and a text of over a megabyte
+    rows.append(("twice", " ".join([*items[1], "between", *items[1]])))
+    rows.append(("long", " ".join(rng.choices(words, k=260_000) + items[2])))
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, key int").repartition(3)
+    bench = spark.createDataFrame([(str(k), " ".join(v)) for k, v in items.items()], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in dc.benchmark_leaks(docs, bench).collect()}
+    want = {}
+    for doc, text in rows[:-1]:
+        for k, item in items.items():
+            score = plain_score(item, text.split()) / (2 * len(item))
+            if score >= 0.5:
+                want[doc, str(k)] = score
+    assert len(want) > 60
+    assert {p: r["score"] for p, r in got.items() if p[0] != "long"} == want
+    assert (got["twice", "1"]["first_word"], got["twice", "1"]["end_word"]) == (0, len(items[1]))
+    assert got["long", "2"]["score"] == 1.0

@@ -1,33 +1,34 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Seeds are n-grams of benchmark words. Their document frequency is counted over the whole
-corpus; of every STRIDE consecutive n-grams of an item the rarest becomes a seed, so an item has
-seeds along its whole length and no seed is dropped for being frequent. A document's passages
-around seed hits are aligned with the item by Smith-Waterman over words (match 2, mismatch -1,
-gap -1); the score is the alignment's part of a perfect one, 1 for an exact copy.
-
-The benchmark is a stated query set against all documents. It is taken in blocks of at most
-BLOCK_BYTES of text, each of which travels to the tasks; documents never move.
+"""Benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment.
+
+1. Items become rows of n-grams. A sieve of fixed size, all that is broadcast, tells the documents'
+   n-grams that may be of an item; those become rows as well.
+2. An n-gram's document frequency is counted over the whole corpus. Of every STRIDE consecutive
+   n-grams of an item the rarest that occurs becomes a seed, so an item has seeds along its whole
+   length and no seed is dropped for being frequent.
+3. Seeds join the documents' n-grams to items. Each document cuts the passages around its hits; they
+   join the items' words and are aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1).
+   The score is the alignment's part of a perfect one, 1 for an exact copy.
+
+Documents are read twice whatever the benchmark's size, and their texts are not moved unless they
+hold a hit. A passage that shares no seed with an item is not aligned with it.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.llm.texthash import _STEP, doc_chunks, mix, text_buffer, word_hashes
-from tidepanel.session import materialize
+from tidepanel.session import drop_tables, materialize
 
 SEED_WORDS, STRIDE, LEAST_SCORE = 3, 2, 0.5
-BLOCK_BYTES = 16 << 20
+#: bits of the sieve, as a power of two: 4 MB whatever the benchmark
+SIEVE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
 _U = np.uint64
-_SHIFT = _U(44)
 
 
 def item_words(text: str | None) -> np.ndarray:
@@ -66,50 +67,19 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
     return best
 
 
-class Block:
-    """The items of a block and their n-grams, as every task needs them."""
-
-    def __init__(self, items: list[tuple[int | None, str]], n: int):
-        self.ids = [i for i, _ in items]
-        self.words = [item_words(t) for _, t in items]
-        #: an item of fewer than n words is looked up by as many as it has
-        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
-        found = [(g, k, at) for k, w in enumerate(self.words) if len(w) for at, g in enumerate(grams(w, min(n, len(w))).tolist())]
-        self.postings = sorted(found)
-        self.seeds = np.unique(np.array([g for g, _, _ in found], _U))
-        self._filter()
-
-    def _filter(self) -> None:
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[(self.seeds >> _SHIFT).astype(np.int64)] = True
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in words at which a seed begins, and the seeds' indexes."""
-        where, which = [], []
-        for n in self.sizes:
-            rolled = grams(words, n)
-            at = np.flatnonzero(self.sieve[(rolled >> _SHIFT).astype(np.int64)])
-            seed = np.searchsorted(self.seeds, rolled[at])
-            ok = (seed < len(self.seeds)) & (self.seeds[np.minimum(seed, len(self.seeds) - 1)] == rolled[at])
-            where.append(at[ok])
-            which.append(seed[ok])
-        return np.concatenate(where), np.concatenate(which)
-
-    def keep_rarest(self, frequency: np.ndarray, stride: int) -> None:
-        """Of every `stride` consecutive n-grams of an item keep the rarest (the first among equals)."""
-        of = {int(g): int(f) for g, f in zip(self.seeds, frequency, strict=True)}
-        by_item: dict[int, list[tuple[int, int]]] = {}
-        for g, k, at in self.postings:
-            by_item.setdefault(k, []).append((at, g))
-        kept = set()
-        for k, row in by_item.items():
-            row.sort()
-            for lo in range(max(1, len(row) - stride + 1)):
-                at, g = min(row[lo : lo + stride], key=lambda x: (of[x[1]], x[0]))
-                kept.add((g, k, at))
-        self.postings = sorted(kept)
-        self.seeds = np.unique(np.array([g for g, _, _ in kept], _U))
-        self._filter()
+def _item_grams(n: int):
+    """(key, text) to the n-grams of each item; one of fewer than n words is a single gram of all it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = item_words(text)
+                width = min(n, len(words))
+                found = grams(words, width).view(np.int64) if width else np.zeros(0, np.int64)
+                m = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), pa.array(found), pa.array(np.arange(m)), pa.array(np.full(m, width)), pa.array(np.full(m, len(words)))], ["key", "gram", "at", "width", "size"])
+
+    return run
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -119,124 +89,116 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield lo, hi, words, first
 
 
-def _count(block: Block):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(block.seeds), np.int64)
-        for batch in batches:
-            for _, _, words, first in _chunks(batch):
-                where, which = block.hits(words)
-                owner = np.searchsorted(first, where, side="right")
-                pairs = np.unique(owner * len(block.seeds) + which)
-                total += np.bincount(pairs % len(block.seeds), minlength=len(block.seeds))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["seed", "docs"])
-
-    return run
+def _sieve(items: DataFrame) -> np.ndarray:
+    """A bit for each value of the first SIEVE_BITS bits of a gram's hash, set for the items' grams."""
+    word, bit = F.shiftrightunsigned("gram", 64 - SIEVE_BITS + 6), F.shiftrightunsigned("gram", 64 - SIEVE_BITS).bitwiseAND(F.lit(63)).cast("int")
+    packed = items.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    out = np.zeros(1 << (SIEVE_BITS - 6), _U)
+    rows = packed.toArrow()  # 2**(SIEVE_BITS - 6) rows at most
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(_U)
+    return out
 
 
-def _align(block: Block, least: float):
-    bounds = np.searchsorted(np.array([g for g, _, _ in block.postings], _U), block.seeds)
-    ends = np.r_[bounds[1:], len(block.postings)]
-
-    def leaks(words: np.ndarray, where: np.ndarray, which: np.ndarray) -> Iterator[tuple]:
-        near: dict[int, list[int]] = {}
-        for at, seed in zip(where.tolist(), which.tolist(), strict=True):
-            for _, k, offset in block.postings[bounds[seed] : ends[seed]]:
-                near.setdefault(k, []).append(at - offset)
-        for k, begins in near.items():
-            item = block.words[k]
-            slack = len(item) // 2 + 4
-            best, begins = (0.0, 0, 0), sorted(set(begins))
-            lo = hi = None
-            for begin in [*begins, None]:
-                if begin is not None and hi is not None and begin - slack <= hi:
-                    hi = begin + len(item) + slack
-                    continue
-                if hi is not None:
-                    start = max(0, lo)
-                    score, a, b = smith_waterman(item, words[start : max(0, hi)])
-                    best = max(best, (score / (MATCH * len(item)), start + a, start + b), key=lambda x: x[0])
-                if begin is not None:
-                    lo, hi = begin - slack, begin + len(item) + slack
-            if best[0] >= least:
-                yield block.ids[k], *best
-
-    def by_item(found: Iterator[tuple]) -> list[tuple]:
-        """The best row over the texts of an id; texts without one are items of their own."""
-        best: dict[int, tuple] = {}
-        alone = []
-        for row in found:
-            if row[0] is None:
-                alone.append(row)
-            elif row[0] not in best or row[1] > best[row[0]][1]:
-                best[row[0]] = row
-        return [*best.values(), *alone]
+def _hits(sieve, widths: list[int]):
+    """(text's hash, text) to the places of grams that pass the sieve; `fresh` marks a gram's first in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
         for batch in batches:
-            ids, out = batch.column(0), []
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, words, first in _chunks(batch):
-                where, which = block.hits(words)
-                owner = np.searchsorted(first, where, side="right") - 1
-                for d in np.unique(owner):
-                    mine = owner == d
-                    own = words[first[d] : first[d + 1]]
-                    rows = by_item(leaks(own, where[mine] - first[d], which[mine]))
-                    if rows:
-                        name = int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little", signed=True)
-                        out += [(ids[int(lo + d)].as_py(), *x, name) for x in rows]
-            columns = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word", "words"])
+                for width in widths:
+                    rolled = grams(words, width)
+                    slot = rolled >> _U(64 - SIEVE_BITS)
+                    at = np.flatnonzero((bits[(slot >> _U(6)).astype(np.int64)] >> (slot & _U(63))) & _U(1))
+                    owner = np.searchsorted(first, at, side="right") - 1
+                    inside = at + width <= first[owner + 1]
+                    at, owner = at[inside], owner[inside]
+                    found = rolled[at].view(np.int64)
+                    order = np.lexsort((at, found, owner))
+                    at, owner, found = at[order], owner[order], found[order]
+                    fresh = np.ones(len(at), bool)
+                    fresh[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[lo + owner]), pa.array(found), pa.array(at - first[owner]), pa.array(fresh)], ["text_hash", "gram", "place", "fresh"])
 
     return run
 
 
-def _best_of_blocks(found: list[DataFrame]) -> DataFrame:
-    """The rows of all blocks, one for each document and item although an item's texts lie in several.
-
-    Rows of one id and equal words are alike, so that as many are returned as one block gives.
-    """
-    rows = reduce(DataFrame.unionByName, [part.withColumn("block", F.lit(at)) for at, part in enumerate(found)])
-    rows = materialize(rows, "block-leaks")
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("low"), "end_word"))
-    each = rows.where("item_id is not null").groupBy("doc_id", "words", "item_id", "block").agg(best.alias("best"), F.count(F.lit(1)).cast("int").alias("copies"))
-    each = each.groupBy("doc_id", "words", "item_id").agg(F.max("best").alias("best"), F.max("copies").alias("copies"))
-    each = each.withColumn("best", F.explode(F.array_repeat("best", F.col("copies"))))
-    each = each.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.low")).alias("first_word"), F.col("best.end_word").alias("end_word"))
-    return each.unionByName(rows.where("item_id is null").drop("words", "block"))
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text, wanted (key, size, begins)) to the passages around the places where an item may begin."""
+    for batch in batches:
+        rows, weight = [], 0
+        for row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            words = item_words(text.as_py())
+            for want in wanted.as_py():
+                size, slack = want["size"], want["size"] // 2 + 4
+                begins = np.unique(np.array(want["begins"], np.int64))
+                #: places whose stretches meet share a passage
+                cut = np.flatnonzero(np.r_[True, np.diff(begins) > size + 2 * slack])
+                for a, b in zip(begins[cut].tolist(), begins[np.r_[cut[1:], len(begins)] - 1].tolist(), strict=True):
+                    lo, hi = max(0, a - slack), min(len(words), b + size + slack)
+                    rows.append((row, want["key"], lo, words[lo:hi].tobytes()))
+                    weight += 8 * (hi - lo)
+                if weight > 1 << 21:
+                    yield _batch(rows, ["row", "key", "begin", "words"], (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+                    rows, weight = [], 0
+        yield _batch(rows, ["row", "key", "begin", "words"], (pa.int64(), pa.int64(), pa.int64(), pa.binary()))
+
+
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, key, begin, words, item's text) to the best alignment of each passage."""
+    for batch in batches:
+        out = []
+        for row, key, begin, words, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            item = item_words(text)
+            score, first, end = smith_waterman(item, np.frombuffer(words, _U))
+            out.append((row, key, score / (MATCH * len(item)), begin + first, begin + end))
+        yield _batch(out, ["row", "key", "score", "first_word", "end_word"], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = SEED_WORDS, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, score, first_word, end_word): the passages of docs that copy a benchmark item.
 
     A row for each document and item whose best alignment scores `least` or more, with the range of
-    words it covers. Null and blank texts and items match nothing; repeated documents give repeated
-    rows, an exact repeat of an item counts once; other columns are left aside; an empty table on
-    either side gives an empty result. All texts of an id are searched, and the row is that of the
-    best; each text with a null id is an item of its own, with a row of its own.
+    words it covers; of equal ones the first, then the longer. Null and blank texts and items match
+    nothing; texts of any length are searched whole; repeated documents give repeated rows, an exact
+    repeat of an item counts once; ids keep their types and may be null; other columns are left aside;
+    an empty table on either side gives an empty result. All texts of an item's id are searched, and
+    the row is that of the best; each text with a null id is an item of its own, with a row of its own.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    items = materialize(items, "benchmark-items")
-    weight = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-weight // BLOCK_BYTES)
-    found = []
-    for at in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == at).orderBy("item", "text").collect()  # BLOCK_BYTES on average
-        block = Block([(r["item"], r["text"]) for r in part], n)
-        if not len(block.seeds):
-            continue
-        counts = rows.mapInArrow(_count(block), "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).collect()
-        frequency = np.zeros(len(block.seeds), np.int64)
-        for r in counts:
-            frequency[r["seed"]] = r["docs"]
-        block.keep_rarest(frequency, stride)
-        found.append(rows.mapInArrow(_align(block, least), "doc_id long, item_id long, score double, first_word long, end_word long, words long"))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long").withColumnRenamed("doc_id", id_col)
-    out = found[0].drop("words") if len(found) == 1 else _best_of_blocks(found)
-    return out.withColumnRenamed("doc_id", id_col)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
+    items = materialize(items.withColumn("key", F.monotonically_increasing_id()), "leak-items")
+    of_items = materialize(items.select("key", "text").mapInArrow(_item_grams(n), "key long, gram long, at long, width long, size long"), "leak-grams")
+    widths = sorted(r["width"] for r in of_items.select("width").distinct().collect())  # n values at most
+    sieve = spark.sparkContext.broadcast(_sieve(of_items.select("gram").distinct()))
+    hits = materialize(rows.select("text_hash", "text").mapInArrow(_hits(sieve, widths), "text_hash long, gram long, place long, fresh boolean"), "leak-hits")
+
+    frequency = hits.where("fresh").groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
+    known = of_items.join(frequency, "gram", "left")
+    order = Window.partitionBy("key").orderBy("at")
+    rarest = F.min(F.when(F.col("docs").isNotNull(), F.struct("docs", "at", "gram"))).over(order.rowsBetween(0, stride - 1))
+    chosen = known.select("key", "size", "at", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"), rarest.alias("best")).where((F.col("at") <= F.greatest(F.lit(0), F.col("n") - stride)) & F.col("best").isNotNull())
+    seeds = materialize(chosen.select("key", "size", F.col("best.at").alias("at"), F.col("best.gram").alias("gram")).distinct(), "leak-seeds")
+
+    near = hits.join(seeds, "gram").groupBy("text_hash", "key", "size").agg(F.collect_set(F.col("place") - F.col("at")).alias("begins"))
+    wanted = materialize(near.groupBy("text_hash").agg(F.collect_list(F.struct("key", "size", "begins")).alias("wanted")), "leak-wanted")
+    #: numbered where they are written, so that repeated documents stay apart
+    asked = materialize(rows.join(wanted, "text_hash").select("doc", "text", "wanted").withColumn("row", F.monotonically_increasing_id()), "leak-docs")
+    passages = materialize(asked.select("row", "text", "wanted").mapInArrow(_passages, "row long, key long, begin long, words binary"), "leak-passages")
+    aligned = passages.join(items.select("key", "text"), "key").select("row", "key", "begin", "words", "text").mapInArrow(_align, "row long, key long, score double, first_word long, end_word long")
+    found = aligned.where(F.col("score") >= least).join(items.select("key", "item"), "key")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("low"), "end_word")).alias("best")
+    each = found.groupBy("row", "item", F.when(F.col("item").isNull(), F.col("key")).alias("own")).agg(best)
+    out = materialize(each.join(asked.select("row", "doc"), "row").select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), F.col("best.score").alias("score"), (-F.col("best.low")).alias("first_word"), F.col("best.end_word").alias("end_word")), "leaks")
+    drop_tables(items, of_items, hits, seeds, wanted, asked, passages)
+    sieve.unpersist()
+    return out
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -244,5 +206,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Rows with a null id or text are kept; of rows that share an id all go if one leaks.
     """
-    leaks = materialize(benchmark_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leaked_id")).distinct(), "leaks")
+    leaks = benchmark_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leaked_id")).distinct()
     return docs.join(leaks, docs[id_col] == leaks["__leaked_id"], "left_anti")
