@@ -26,7 +26,7 @@ def digest(html):
 
 @pytest.mark.parametrize("per_file", [1000, 2])
 def test_round_trip(spark, monkeypatch, per_file):
-    monkeypatch.setattr(warc, "RECORDS_PER_FILE", per_file)
+    monkeypatch.setattr(warc, "CLASSES", ((1000, per_file), (None, 1)))
     pages = spark.createDataFrame([(*p, "clash") for p in PAGES], "page_id long, url string, html string, digest string").repartition(2)
     got = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
     assert len(got) == len(PAGES)
@@ -40,20 +40,26 @@ def test_round_trip(spark, monkeypatch, per_file):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
 
 
-def test_repeated_rows(spark):
-    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "v", "same")], "page_id long, url string, html string")
-    got = sorted((r["page_id"], r["record_type"]) for r in warc.archive_round_trip(pages).collect())
-    assert got == [(1, "response"), (1, "response"), (2, "revisit")]
+def test_repeated_rows_and_a_large_page(spark):
+    large = "é" * 3_000_000
+    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (3, "w", large), (4, "w", large + "!")], "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response"), (1, "response"), (2, "revisit"), (3, "response"), (4, "response")]
+    assert len({r["record_id"] for r in got}) == 5
+    assert {r["page_id"]: r["payload_bytes"] for r in got if r["page_id"] > 2} == {3: 6_000_000, 4: 6_000_001}
 
 
 def test_both_arc_versions_and_damage(spark):
     for version in (1, 2):
         data = (warc.arc_version_block(version) + "\n" + warc.arc_record(version, "http://a/", 4, "body é\nmore") + "\n").encode()
-        assert [(u, p.decode()) for u, _, _, _, p in warc.parse_arc(data)] == [("http://a/#page-4", "body é\nmore")]
-        with pytest.raises(ValueError):
-            list(warc.parse_arc(data[:-4]))
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://a/ 0.0.0.0 20200101000000 text/html 4\nbody\n"))
+        assert [(h["url"], p.decode(), why) for _, h, p, why in warc.parse_arc(data)] == [("http://a/#page-4", "body é\nmore", None)]
+        spaced = data.replace(b"text/html", b"text/html; charset=utf-8").replace(b"http://a/#", b"http://a/b c#")
+        (_, header, _, why), = warc.parse_arc(spaced)
+        assert (header["url"], header["kind"], why) == ("http://a/b c#page-4", "text/html; charset=utf-8", None)
+        assert [why for *_, why in warc.parse_arc(data[:-4])] != [None]
+        odd = data + b"http://odd/ no-date 4\nbody\n" + warc.arc_record(version, "http://b/", 5, "next").encode()
+        assert [why is None for *_, why in warc.parse_arc(odd)] == [True, False, True]
+    assert [why for *_, why in warc.parse_arc(b"http://a/ 0.0.0.0 20200101000000 text/html 4\nbody\n")] == ["no version block of a known version"]
     with pytest.raises(ValueError):
         list(warc.parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nbody\r\n\r\n"))
     folder = shared_path(spark, "own-arc").removeprefix("file://")
@@ -61,6 +67,11 @@ def test_both_arc_versions_and_damage(spark):
 
     os.makedirs(folder)
     with gzip.open(f"{folder}/old.arc.gz", "wb") as f:
-        f.write((warc.arc_version_block(1) + "\nhttp://old/ 1.2.3.4 19990203040506 text/plain 3\nabc\n").encode())
-    row = warc.read_arc(spark, f"file://{folder}").first()
-    assert (row["uri"], row["date"], row["page_id"], row["n_bytes"]) == ("http://old/", "1999-02-03T04:05:06Z", None, 3)
+        f.write((warc.arc_version_block(1) + "\nhttp://old/ 1.2.3.4 19990203040506 text/plain 3\nabc\nhttp://bad/ 1.2.3.4 19991503040506 text/plain 3\nxyz\nrubbish\n").encode())
+    rows = {r["n_bytes"]: r for r in warc.read_arc(spark, f"file://{folder}").where("reject is null").collect()}
+    assert (rows[3]["uri"], rows[3]["date"], rows[3]["page_id"], rows[3]["ip"]) == ("http://old/", "1999-02-03T04:05:06Z", None, "1.2.3.4")
+    reasons = sorted(r["reject"] for r in warc.read_arc(spark, f"file://{folder}").where("reject is not null").collect())
+    assert reasons == ["a header without length", "no date: 19991503040506"]
+    out = shared_path(spark, "own-warc")
+    warc.write_warc(warc.read_arc(spark, f"file://{folder}"), out)
+    assert [r["target_uri"] for r in warc.read_warc(spark, out).collect()] == ["http://old/"]

@@ -6,9 +6,11 @@ ARC files open with a version block; its first number tells which header line ev
     2: URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length
 
 The converter reads the declared lengths and synthesises for each record a WARC identifier,
-timestamp, type and payload digest. Records of equal payload become one response and revisits
-of it. Archives are written by Spark's text writer, so that a file appears whole or not at all,
-with gzip and at most RECORDS_PER_FILE records each; they are read as whole files by task.
+timestamp, type and payload digest. Types and URLs may hold spaces; records that don't parse become
+rejects with a reason, and the conversion goes on. Records of equal payload become one response and
+revisits of it. Archives are written by Spark's text writer, so that a file appears whole or not at
+all, with gzip. Files are cut by records, as many as their size class allows, so that a file holds
+CLASSES' bytes at most or a single record; they are read as whole files by task.
 
 A page's id travels as the fragment `#page-<id>` of an ARC record's URL, and in WARC records as
 the header WARC-Page-Id; the full payload's length as WARC-Payload-Length.
@@ -26,16 +28,21 @@ from datetime import datetime
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidepanel.session import materialize, shared_path
 
-RECORDS_PER_FILE = 1000
+#: (bytes of a payload below which a record is in the class, records in a file); 64 MB a file, or one record
+CLASSES = ((64 << 10, 1000), (4 << 20, 16), (None, 1))
 ARC_DATE = "20200101000000"
 _FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+_HEADER = {
+    1: re.compile(r"(?P<url>.+?) (?P<ip>\S+) (?P<date>\d{8,14}) (?P<kind>.*) (?P<length>\d+)"),
+    2: re.compile(r"(?P<url>.+?) (?P<ip>\S+) (?P<date>\d{8,14}) (?P<kind>.*) \S+ \S+ \S+ \S+ \S+ (?P<length>\d+)"),
+}
 _PAGE = re.compile(r"#page-(-?\d*)$")
 _NAMESPACE = uuid.UUID("7d0f5c58-7f3e-5d0b-9c7e-2f7a1b0c4d11")
 
@@ -80,56 +87,85 @@ def _arc_lines(per_file: int):
     return run
 
 
+def _classes(rows: DataFrame, size: Column, known: DataFrame | None = None) -> Iterator[tuple[DataFrame, int]]:
+    """The rows of each size class that has some, and how many records a file of them holds. known: a table with the sizes, cheaper to read."""
+    low, tests = 0, []
+    for high, per_file in CLASSES:
+        tests.append(((size >= low) if high is None else (size >= low) & (size < high), per_file))
+        low = high
+    there = (known or rows).agg(*[F.coalesce(F.bool_or(test), F.lit(False)).alias(str(k)) for k, (test, _) in enumerate(tests)]).first()
+    for k, (test, per_file) in enumerate(tests):
+        if there[k] or k == 0:  # an empty table still has a folder
+            yield rows.where(test), per_file
+
+
 def write_arc(pages: DataFrame, folder: str) -> None:
     """Legacy archives of (page, url, html), files of version 1 and 2 in turn."""
-    lines = pages.mapInArrow(_arc_lines(RECORDS_PER_FILE), "value string")
-    lines.write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
+    for rows, per_file in _classes(pages, F.coalesce(F.octet_length("html"), F.lit(0))):
+        lines = rows.mapInArrow(_arc_lines(per_file), "value string")
+        lines.write.mode("append").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[str, str, str, str, bytes]]:
-    """(url, ip, date, type, payload) of each record of an ARC file, the version block left out."""
+def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """(offset, header, payload, None) of each record of an ARC file, the version block left out.
+
+    What can't be read gives (offset, {}, the bytes, reason): a header of another form skips the record if its
+    last field is a length, else the rest of the file, as does a record that is cut off.
+    """
     at, version = 0, None
     while at < len(data):
         if data[at] in b"\r\n":
             at += 1
             continue
-        end = data.index(b"\n", at)
-        fields = data[at:end].decode("utf-8", "replace").strip().split(" ")
-        length = int(fields[-1])
-        payload = data[end + 1 : end + 1 + length]
-        if len(payload) < length:
-            raise ValueError(f"an ARC record declares {length} bytes, and {len(payload)} follow")
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        header = data[at:end].decode("utf-8", "replace").strip()
+        length = header.rsplit(" ", 1)[-1]
+        if not (length.isascii() and length.isdigit()):
+            yield at, {}, data[at:], "a header without length"
+            return
+        payload = data[end + 1 : end + 1 + int(length)]
+        if len(payload) < int(length):
+            yield at, {}, data[at:], f"a record declares {length} bytes, and {len(payload)} follow"
+            return
         if version is None:
-            if not fields[0].startswith("filedesc://"):
-                raise ValueError("an ARC file starts without a version block")
-            version = int(payload.split(b" ", 1)[0])
-            if version not in _FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-        elif len(fields) != len(_FIELDS[version].split()):
-            raise ValueError(f"not an ARC {version} header: {data[at:end][:200]!r}")
+            number = payload.split(b" ", 1)[0]
+            if not header.startswith("filedesc://") or number not in (b"1", b"2"):
+                yield at, {}, data[at:], "no version block of a known version"
+                return
+            version = int(number)
         else:
-            yield fields[0], fields[1], fields[2], fields[3], payload
-        at = end + 1 + length
+            fields = _HEADER[version].fullmatch(header)
+            yield (at, fields.groupdict(), payload, None) if fields else (at, {}, data[at : end + 1 + int(length)], f"not an ARC {version} header")
+        at = end + 1 + int(length)
 
 
 def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "uri", "ip", "date", "content_type", "record_id", "digest", "n_bytes", "payload"]
-    types = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+    names = ["page_id", "uri", "ip", "date", "content_type", "record_id", "digest", "n_bytes", "payload", "reject"]
+    types = [pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.string()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types, strict=True)], names)
 
+    def fields(file: str, at: int, header: dict[str, str], payload: bytes, reason: str | None) -> tuple:
+        record = uuid.uuid5(_NAMESPACE, f"{file} {at}").urn  # a file's name and a place in it are told apart from all others
+        if reason is None:
+            try:
+                when = datetime.strptime(header["date"].ljust(14, "0") if len(header["date"]) > 8 else header["date"] + "000000", "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+            except ValueError:
+                reason = f"no date: {header['date']}"
+        if reason is not None:
+            return None, None, None, None, None, record, payload_digest(payload), len(payload), payload, reason
+        page = _PAGE.search(header["url"])
+        uri = header["url"][: page.start()] if page else header["url"]
+        return int(page[1]) if page and page[1] else None, uri, header["ip"], when, header["kind"], record, payload_digest(payload), len(payload), payload, None
+
     for batch in batches:
-        for content in batch.column(0):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data, rows, weight = content.as_py(), [], 0
-            for url, ip, date, kind, payload in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                page = _PAGE.search(url)
-                uri = url[: page.start()] if page else url
-                digest = payload_digest(payload)
-                record = uuid.uuid5(_NAMESPACE, f"{url} {date} {digest}").urn
-                when = datetime.strptime(date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-                rows.append((int(page[1]) if page and page[1] else None, uri, ip, when, kind, record, digest, len(payload), payload))
-                weight += len(payload)
+            for found in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                rows.append(fields(path.rsplit("/", 1)[-1], *found))
+                weight += len(found[2])
                 if weight > 1 << 22:
                     yield packed(rows)
                     rows, weight = [], 0
@@ -138,9 +174,12 @@ def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all ARC files of a folder, with what their WARC equivalents need."""
-    files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInArrow(_arc_rows, "page_id long, uri string, ip string, date string, content_type string, record_id string, digest string, n_bytes long, payload binary")
+    """The records of all ARC files of a folder, with what their WARC equivalents need.
+
+    Bytes that are no record have a reason in `reject` and nulls for the header's fields.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    return files.mapInArrow(_arc_rows, "page_id long, uri string, ip string, date string, content_type string, record_id string, digest string, n_bytes long, payload binary, reject string")
 
 
 # ---------------------------------------------------------------- WARC
@@ -154,7 +193,8 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """
     sized = records.where((F.col("n_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("record_id", "page_id", "digest", "n_bytes")
     first = sized.groupBy("digest", "n_bytes").agg(F.min(F.struct("page_id", "record_id")).alias("first"), F.count(F.lit(1)).alias("records")).where("records > 1")
-    return sized.join(first, ["digest", "n_bytes"]).where("page_id > first.page_id").select("record_id", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_to_id")).dropDuplicates(["record_id"])
+    first = materialize(first, "warc-first")  # both sides of the join as they lie, so that a common payload can be split
+    return sized.join(first, ["digest", "n_bytes"]).where("page_id > first.page_id").select("record_id", F.col("first.page_id").alias("refers_to"), F.col("first.record_id").alias("refers_to_id"))
 
 
 def warc_text(records: DataFrame) -> DataFrame:
@@ -180,10 +220,13 @@ def warc_text(records: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, folder: str, least_bytes: int = 0) -> None:
-    """WARC files of the records of read_arc(), equal payloads once as response, else as revisit."""
-    again = materialize(revisits(records, least_bytes), "warc-revisits")
-    typed = records.join(again.hint("shuffle_hash"), "record_id", "left")
-    warc_text(typed).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(folder)
+    """WARC files of the records of read_arc(), equal payloads once as response, else as revisit; rejects are left out."""
+    good = records.where("reject is null")
+    known = materialize(good.select("record_id", "page_id", "digest", "n_bytes"), "warc-records")
+    again = materialize(revisits(known, least_bytes), "warc-revisits")
+    typed = good.join(again.hint("shuffle_hash"), "record_id", "left")
+    for rows, per_file in _classes(typed, F.col("n_bytes"), known):
+        warc_text(rows).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -229,7 +272,7 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "pa
     """Pages to legacy archives, those to WARC, and the WARC files' records.
 
     Null html is an empty payload, a null url becomes about:blank, a null page id stays null and its
-    record a response. Rows that share the smallest page id of equal payloads are all responses. Other
+    record a response. Payloads may be as long as a row of Spark may be. Rows that share the smallest page id of equal payloads are all responses. Other
     columns are left aside; an empty table gives an empty result.
     """
     spark = pages.sparkSession
