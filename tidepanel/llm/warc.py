@@ -34,6 +34,8 @@ from tidepanel.session import materialize, shared_path
 
 #: (bytes of a payload below which a record is in the class, records in a file); 64 MB a file, or one record
 CLASSES = ((64 << 10, 1000), (4 << 20, 16), (None, 1))
+#: fast gzip; a level of the writer's codec
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 ARC_DATE = "20200101000000"
 _FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -103,7 +105,7 @@ def write_arc(pages: DataFrame, folder: str) -> None:
     """Legacy archives of (page, url, html), files of version 1 and 2 in turn."""
     for rows, per_file in _classes(pages, F.coalesce(F.octet_length("html"), F.lit(0))):
         lines = rows.mapInArrow(_arc_lines(per_file), "value string")
-        lines.write.mode("append").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
+        lines.write.mode("append").option("maxRecordsPerFile", per_file).options(**GZIP).text(folder)
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
@@ -226,7 +228,7 @@ def write_warc(records: DataFrame, folder: str, least_bytes: int = 0) -> None:
     again = materialize(revisits(known, least_bytes), "warc-revisits")
     typed = good.join(again.hint("shuffle_hash"), "record_id", "left")
     for rows, per_file in _classes(typed, F.col("n_bytes"), known):
-        warc_text(rows).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(folder)
+        warc_text(rows).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).options(**GZIP).text(folder)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
