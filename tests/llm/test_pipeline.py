@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -44,3 +45,48 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     kept = [r["source"] for r in got.collect()]
     assert len(kept) == len(set(kept)) == 6 and {"f", "g", "h", "i"} <= set(kept)
     assert len({"a", "b"} & set(kept)) == 1 and len({"d", "e"} & set(kept)) == 1 and "c" not in kept
+
+
+def _tables(spark, folder, labels, items):
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, ties and columns that the stages might use themselves."""
+    rng = random.Random(31)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    item = say(30)
+    rows = [(i, say(40), None if i % 5 == 0 else "en", None if i % 7 == 0 else "web", 7) for i in range(60)]
+    rows += [(100, None, None, None, None), (101, "", "en", "web", 0), (101, "", "en", "web", 0), (None, None, None, None, None), (None, say(25), "en", "web", 1)]
+    rows += [(200, rows[3][1], "en", "web", 7), (200, rows[3][1], "en", "web", 7), (201, f"{say(15)} {item} {say(15)}", "en", "web", 7), (202, " ".join(f"z{rng.randrange(90_000)}" for _ in range(250_000)), "en", "web", 7)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, row long, key long, node long, tokens long, words string, shard int, size int"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, "x", 5, 6) for r in rows], names).repartition(4)
+    labels = [(i, int(i % 10 != 0), 0) for i in range(0, 60, 2)] + [(1, None, None), (None, 1, 0), (2, 0, 0), (999, 1, 1)]
+    place = _tables(spark, corpus_pipeline.shared_path(spark, "odd"), labels, [(1, item), (None, None), (2, "")])
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = corpus_pipeline.shared_path(spark, "odd-stage")
+        stage(spark, left, place).write.parquet(path)
+        before, left = left, spark.read.parquet(path)
+        assert left.columns == docs.columns and left.count() <= before.count(), name
+        ids = [r["doc_id"] for r in left.select("doc_id").collect()]
+        if name == "near-duplicates":
+            assert ids.count(200) == 0 and ids.count(3) == 1 and ids.count(101) == 2 and ids.count(None) == 2 and 202 in ids
+        if name == "decontamination":
+            assert 201 not in ids and len(ids) == len(rows) - 3
+    out = corpus_pipeline.shard(spark, left, place)
+    assert out.count() == left.count()
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    place = _tables(spark, corpus_pipeline.shared_path(spark, "empty"), [], [])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, place)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.shard(spark, docs, place).count() == 0
+    some = spark.createDataFrame([(1, "a few words of a text", "en", "web", 21)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, some, place).count() == 1, name

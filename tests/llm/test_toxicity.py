@@ -48,7 +48,7 @@ def test_empty_tables_and_filter(spark):
     rows, labels = corpus(600)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {r["score"] for r in toxicity.score(docs.limit(3), none).collect()} == {0.5}
+    assert all(r["score"] < 1e-9 and not r["predicted"] for r in toxicity.score(docs.limit(3), none).collect())
     model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     kept = toxicity.without_toxic(docs, model)
     assert kept.schema == docs.schema

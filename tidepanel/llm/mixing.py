@@ -92,7 +92,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Word odds and Gaussian class densities with a common floor on variances.
 
     Fitted on about `sample` labelled rows at most, taken by a hash of the id. Labels of unknown
-    documents are left aside. Without any label there is one domain.
+    documents are left aside. Without any label there is one domain, and rates stay at their start.
     """
     known = known_labels(labels, id_col, label_col)
     count = known.count()
@@ -198,6 +198,8 @@ def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float], most:
     features = with_features(docs, model.odds, id_col, text_col, keep)
     names = [F.col(f"f{k}") for k in range(len(SHAPE) + len(model.domains) - 1)]
     table = materialize(features.select("row", "tokens", *[x.alias(f"p{k}") for k, x in enumerate(model.posteriors(names))]), "mix-members")
+    if not any(model.odds):  # no label told domains apart, so there is nothing to balance
+        return table, model, [0.0], 0.0
     return table, model, *fit_rates(table.drop("row"), model.domains, targets, most, budget)
 
 

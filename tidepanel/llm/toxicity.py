@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows that are not held out.
 
     Labels that are null or belong to no document are left aside; an id with several labels counts
-    as toxic if one of them says so. Without any label the model scores every text 0.5.
+    as toxic if one of them says so. Without any label nothing is known to be toxic, and texts score next to 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("doc")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("label"))
     total = known.count()
@@ -122,6 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z, n = np.zeros((1 << BUCKETS_LOG2) + 1), np.zeros((1 << BUCKETS_LOG2) + 1)
     at = states.column("at").to_numpy()
     z[at], n[at] = states.column("z").to_numpy(), states.column("n").to_numpy()
+    if not n[-1]:  # no row was learnt from
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0)
     w = Ftrl(z, n).weights(slice(None))
     some = np.flatnonzero(w[:-1])
     return Model(some, w[some].astype(np.float32), float(w[-1]))
@@ -155,7 +157,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores the threshold or more; columns stay as they are."""
+    """docs without the rows whose text scores the threshold or more; columns stay as they are. Null texts are empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.dense()
         for batch in batches:
