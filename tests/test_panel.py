@@ -9,10 +9,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+from tidepanel.plans import more_queries  # noqa: F401  adds to QUERIES and SQL
 from tidepanel.plans.queries import QUERIES, SQL
 
 PLACE = "/root/testdata/sf0.001"
-NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values"]
+NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values", "group_signals", "pit_snapshot_universe", "rebalance_disclosures", "grouped_diagnostics", "universe_profile"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(PLACE), reason="the driver's tables are absent")
 
 

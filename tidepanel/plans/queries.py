@@ -339,10 +339,52 @@ def quantile_buckets(spark, sf_dir):
 # ---------------------------------------------------------------- price-volume, defensive, fundamentals
 
 
-@query("price_volume_panel")
+def _over(agg: str, x: str, n: int) -> str:
+    """An aggregate of the last n rows of a code, null unless all n have a value."""
+    return f"CASE WHEN count({x}) {W.format(n=n - 1)} = {n} THEN {agg} {W.format(n=n - 1)} END"
+
+
+def _place_sql(x: str, n: int) -> str:
+    """The scaled average rank of the last of n values."""
+    listed = f"list({x}) {W.format(n=n - 1)}"
+    return f"CASE WHEN count({x}) {W.format(n=n - 1)} = {n} THEN (len(list_filter({listed}, lambda q: q < {x})) + (len(list_filter({listed}, lambda q: q = {x})) - 1) / 2.0) / {n - 1} END"
+
+
+def _corr_sql(x: str, y: str, n: int) -> str:
+    w, both = W.format(n=n - 1), f"CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN {{}} END"
+    x, y = both.format(x), both.format(y)
+    return f"CASE WHEN count({x}) {w} = {n} THEN covar_samp({x}, {y}) {w} / nullif(stddev_samp({x}) {w} * stddev_samp({y}) {w}, 0) END"
+
+
+RANKED_SQL = {
+    "open_vwap": "open - vwap", "abs_gap": "abs(close - vwap)", "max_gap": "gmax", "min_gap": "gmin", "dv3": "d3v", "neg_ret": "-ret", "ratio": "s5 / nullif(s20, 0)", "dc": "d1c", "minus": "vwap - close", "plus": "vwap + close",
+    "inv": "1.0 / nullif(close, 0)", "hc": "high - close", "cv": "cp * volume", "am": "am10",
+}
+ALPHAS_SQL = {
+    "005": "-r_open_vwap * r_abs_gap", "011": "(r_max_gap + r_min_gap) * r_dv3", "012": "-d1c * CASE WHEN d1v >= 0 THEN 1.0 WHEN d1v < 0 THEN -1.0 END", "024": "-(close - m20)", "028": "-corr5 + close / nullif(vwap, 0) - 1",
+    "032": "m20 - close + corr20", "033": "r_neg_ret + cp", "034": "r_ratio + r_dc", "041": "sqrt(high * low) - vwap", "042": "r_minus / nullif(r_plus, 0)", "043": "t20 * t8", "047": "r_inv * vta * r_hc", "053": "-d9",
+    "057": "-((close - vwap) / nullif(decay2, 0))", "060": "-(2 * r_cv - r_am)", "083": "t5r * t5v / nullif(t5w, 0)", "101": "cp",
+}
+PRICE_VOLUME_SQL = f"""{WITH}, {SPINE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS rn FROM prices),
+last AS (SELECT DISTINCT s.code, n.rn AS l FROM spine s ASOF JOIN n ON n.code = s.code AND n.date <= s.rebalance_date),
+tr AS (SELECT * FROM n WHERE EXISTS (SELECT 1 FROM last WHERE last.code = n.code AND n.rn > l - 80 AND n.rn <= l)),
+f1 AS (SELECT *, trading_value / nullif(volume, 0) AS vwap, close / nullif(lag(close) OVER w, 0) - 1 AS ret, {_over('avg(trading_value)', 'trading_value', 20)} AS adv20, (close - low) / nullif(high - low, 0) AS rp, (close - open) / nullif(high - low, 0) AS cp, {_over('avg(close)', 'close', 20)} AS m20,
+  close - lag(close) OVER w AS d1c, volume - lag(volume) OVER w AS d1v, volume - lag(volume, 3) OVER w AS d3v, -(close - lag(close, 7) OVER w) AS nd7, lag(close, 5) OVER w AS cd5,
+  CASE WHEN count(close) {W.format(n=9)} = 10 THEN list_position(list(close) {W.format(n=9)}, max(close) {W.format(n=9)})::DOUBLE END AS am10, CASE WHEN count(close) {W.format(n=29)} = 30 THEN list_position(list(close) {W.format(n=29)}, max(close) {W.format(n=29)})::DOUBLE END AS am30 FROM tr WINDOW w AS (PARTITION BY code ORDER BY date)),
+f2 AS (SELECT *, volume * close / nullif(adv20, 0) AS vta, vwap - close AS gap FROM f1),
+f3 AS (SELECT *, {_over('stddev_samp(ret)', 'ret', 5)} AS s5, {_over('stddev_samp(ret)', 'ret', 20)} AS s20, {_over('max(gap)', 'gap', 3)} AS gmax, {_over('min(gap)', 'gap', 3)} AS gmin, {_corr_sql('adv20', 'low', 5)} AS corr5, {_corr_sql('vwap', 'cd5', 20)} AS corr20, (2 * am30 + lag(am30) OVER w) / 3 AS decay2,
+  {_place_sql('volume', 5)} AS t5v, {_place_sql('vwap', 5)} AS t5w, {_place_sql('rp', 5)} AS t5r, {_place_sql('nd7', 8)} AS t8, {_place_sql('vta', 20)} AS t20, cp - lag(cp, 9) OVER w AS d9 FROM f2 WINDOW w AS (PARTITION BY code ORDER BY date)),
+f4 AS (SELECT *, {', '.join(f'round({x}, 10) AS x_{k}' for k, x in RANKED_SQL.items())} FROM f3),
+f5 AS (SELECT *, {', '.join(f'CASE WHEN x_{k} IS NOT NULL AND count(x_{k}) OVER (PARTITION BY date) > 1 THEN ((rank() OVER (PARTITION BY date ORDER BY x_{k} NULLS LAST) + count(x_{k}) OVER (PARTITION BY date ORDER BY x_{k} NULLS LAST)) / 2.0 - 1) / (count(x_{k}) OVER (PARTITION BY date) - 1) END AS r_{k}' for k in RANKED_SQL)} FROM f4),
+a AS (SELECT code, date, {', '.join(f'{x} AS alpha_{k}' for k, x in ALPHAS_SQL.items())} FROM f5)"""
+
+
+@query("price_volume_panel", f"{PRICE_VOLUME_SQL} SELECT s.rebalance_date, s.code, a.date AS price_date, {', '.join(f'0.0 + round(alpha_{k} + 0.00000017, 4) AS alpha_{k}' for k in ALPHAS_SQL)} FROM spine s ASOF JOIN a ON a.code = s.code AND a.date <= s.rebalance_date")
 def price_volume(spark, sf_dir):
     prices, _, dates = _market(spark, sf_dir)
-    return panels.price_volume_panel(prices, dates)
+    out = panels.price_volume_panel(prices, dates)
+    #: off the ties, which the two engines round apart
+    return _rounded(out.withColumns({c: F.col(c) + 1.7e-7 for c in out.columns if c.startswith("alpha_")}), 4)
 
 
 @query(
