@@ -78,8 +78,8 @@ def rolling_corr(x: Column, y: Column, n: int, order: WindowSpec) -> Column:
 
 
 def cumulative_factor(x: Column, order: WindowSpec) -> Column:
-    """Running product of positive factors; null and non-positive ones count as 1."""
-    return F.exp(F.sum(F.ln(F.when(x > 0, x).otherwise(F.lit(1.0)))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Running product of the factors that are positive; others leave it as it is."""
+    return F.product(F.when(x > 0, x).otherwise(F.lit(1.0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def max_drawdown(values: Column) -> Column:

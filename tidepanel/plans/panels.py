@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import prior_year, reasons, safe_ratio, yoy_change
+from tidepanel.functions.numeric import prior_year, reasons, safe_ratio, sign_up, yoy_change
 from tidepanel.functions.parse import normalize_token, parse_bool, parse_date
 from tidepanel.operators import windows as win
 from tidepanel.operators.asof import asof_join, latest_per_key
@@ -187,7 +187,7 @@ def proxy_alphas(features: DataFrame, digits: int = 10) -> DataFrame:
     f = features.withColumns({f"__x_{k}": F.round(x, digits) for k, x in ranked.items()})
     f = f.select(*features.columns, *[rank_pct(f"__x_{k}", ["date"]).alias(f"__r_{k}") for k in ranked])
     r = {k: F.col(f"__r_{k}") for k in ranked}
-    vwap, low_sign = F.col("vwap"), F.when(F.col("delta_volume_1") >= 0, F.lit(1.0)).when(F.col("delta_volume_1") < 0, F.lit(-1.0))
+    vwap, low_sign = F.col("vwap"), sign_up(F.col("delta_volume_1"))
     alphas = {
         "005": -r["open_vwap"] * r["abs_close_vwap"],
         "011": (r["max_gap"] + r["min_gap"]) * r["delta_volume"],

@@ -30,8 +30,7 @@ def effective_adjusted_close(prices: DataFrame) -> DataFrame:
 
     Factors that aren't positive leave the cumulative one as it is; adjustable() tells the bars that need one.
     """
-    factor = F.when(F.col("adjustment_factor") > 0, F.col("adjustment_factor")).otherwise(F.lit(1.0))
-    out = prices.withColumn("cumulative_factor", F.product(factor).over(win.by_code().rowsBetween(Window.unboundedPreceding, 0)))
+    out = prices.withColumn("cumulative_factor", win.cumulative_factor(F.col("adjustment_factor"), win.by_code()))
     missing = F.col("adjusted_close").isNull() & F.col("unadjusted_close").isNotNull()
     return out.withColumns({
         "effective_adjusted_close": F.when(missing, F.col("unadjusted_close") / F.col("cumulative_factor")).otherwise(F.col("adjusted_close")),
