@@ -61,7 +61,7 @@ class WordEncoder:
             starts, ends = np.r_[0, cuts + 1] * width, np.r_[cuts, len(ids)] * width
             self.known.update((w, flat[s:e]) for w, s, e in zip(some, starts.tolist(), ends.tolist(), strict=True))
         rest = [w for w in words if w not in self.known]
-        for w, found in zip(rest, self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False) if rest else [], strict=True):
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False) if rest else [], strict=True):
             self.known[w] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
