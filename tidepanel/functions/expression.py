@@ -140,10 +140,14 @@ class Definition:
     expr: str
     group: str = ""
     uses: frozenset[str] = field(default=frozenset(), compare=False)
+    include_in_score: bool = True
 
 
-def definitions(rows: list[dict]) -> list[Definition]:
-    """Checked definitions; names are unique identifiers."""
+def definitions(rows: list[dict], reserved: set[str] | frozenset[str] = frozenset()) -> list[Definition]:
+    """Checked definitions; names are unique identifiers, and none of the reserved ones.
+
+    include_in_score is true unless it reads as false: false, no, n, 0 or off in any case.
+    """
     out: list[Definition] = []
     for row in rows:
         name, expr = str(row.get("name", "")).strip(), str(row.get("expr", "")).strip()
@@ -151,13 +155,24 @@ def definitions(rows: list[dict]) -> list[Definition]:
             raise ExpressionError(f"not a definition: {row}")
         if any(d.name == name for d in out):
             raise ExpressionError(f"{name} is defined twice")
-        tree = ast.parse(expr, mode="eval")
+        if name in reserved:
+            raise ExpressionError(f"{name} is a reserved name")
+        try:
+            tree = ast.parse(expr, mode="eval")
+        except SyntaxError as error:
+            raise ExpressionError(f"not an expression: {expr}") from error
         called = {n.func.id for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name)}
         uses = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)} - called
-        out.append(Definition(name, expr, str(row.get("group", "")), frozenset(uses)))
+        scored = str(row.get("include_in_score", "true")).strip().lower() not in ("false", "no", "n", "0", "off")
+        out.append(Definition(name, expr, str(row.get("group") or "").strip(), frozenset(uses), scored))
     return out
 
 
+def names_of_group(items: list[Definition], group: str) -> list[str]:
+    """The definitions of a group that enter its score, in their order."""
+    return [d.name for d in items if d.include_in_score and d.group == group]
+
+
 def in_order(items: list[Definition], known: set[str]) -> list[Definition]:
     """Definitions after those they use."""
     names, done, out, waiting = {d.name for d in items}, set(known), [], list(items)

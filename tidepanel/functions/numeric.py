@@ -49,11 +49,16 @@ def reasons(*tests: tuple[Column, Column | str]) -> Column:
     return F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";")
 
 
-def tick_size(price: Column, ladder: tuple[tuple[float, float], ...] = ((1000.0, 1.0), (3000.0, 1.0), (5000.0, 5.0), (30000.0, 10.0), (50000.0, 50.0)), above: float = 100.0) -> Column:
-    """The step of a price ladder: (upper bound, tick) rows, and the tick beyond the last."""
+#: fixed values: below each price the tick beside it, and the tick from the last price on
+TICKS = ((1000.0, 0.1), (3000.0, 0.5), (30000.0, 1.0))
+LARGEST_TICK = 5.0
+
+
+def tick_size(price: Column, ladder: tuple[tuple[float, float], ...] = TICKS, above: float = LARGEST_TICK) -> Column:
+    """The step of a price ladder: rows of (bound, tick for prices below it), and the tick from the last bound on."""
     out = F.lit(above)
     for bound, tick in reversed(ladder):
-        out = F.when(price <= bound, F.lit(tick)).otherwise(out)
+        out = F.when(price < bound, F.lit(tick)).otherwise(out)
     return F.when(price.isNotNull(), out)
 
 

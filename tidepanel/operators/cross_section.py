@@ -94,8 +94,8 @@ class FilterRule:
     def __post_init__(self) -> None:
         if self.rule not in RULES:
             raise ValueError(f"unknown filter rule {self.rule}")
-        if self.rule.endswith("_pct") and not 0 < float(self.value) < 100:
-            raise ValueError(f"{self.rule} needs a percentage between 0 and 100")
+        if self.rule.endswith("_pct") and not 0 < float(self.value) <= 100:
+            raise ValueError(f"{self.rule} needs a percentage above 0 and up to 100")
         if self.rule.endswith("_in") and not isinstance(self.value, list | tuple):
             raise ValueError(f"{self.rule} needs a list")
 
@@ -126,14 +126,20 @@ def _equals(c: Column, value: object) -> Column:
     return F.coalesce(parse_number(text) == F.lit(number), text == F.lit(str(value).strip()), F.lit(False))
 
 
-def apply_filters(df: DataFrame, rules: list[FilterRule], by: list[str], tie: str = "code") -> DataFrame:
+def apply_filters(df: DataFrame, rules: list[FilterRule], by: list[str], tie: str = "code", among: Column | None = None, components: Column | None = None) -> DataFrame:
     """df with filter_status (pass, filtered) and filter_reasons; a rule judges the rows that still pass.
 
+    With `among`, only rows for which it holds pass from the start, others and rows without a rule's value have the
+    status missing_required_score, the reason is the field's name, and the array `components` with the fields missed
+    becomes the text missing_score_components.
+
     A row without a value for a rule's field is filtered as missing_required_score. Percentages are of
     the passing rows of a section: bottom and top drop ceil(n x pct / 100) rows by (value, code), above
     and below compare strictly with the interpolated percentile.
     """
-    out = df.withColumn("__ok", F.lit(True)).withColumn("__why", F.array().cast("array<string>"))
+    named = among is not None
+    out = df.withColumn("__ok", among if named else F.lit(True)).withColumn("__why", F.array().cast("array<string>")).withColumn("__lost", F.array().cast("array<string>") if components is None else components)
+    out = out.withColumn("__lack", ~F.col("__ok"))
     for rule in rules:
         c = F.col(rule.field)
         text = F.trim(c.cast("string"))
@@ -142,7 +148,7 @@ def apply_filters(df: DataFrame, rules: list[FilterRule], by: list[str], tie: st
             number = parse_number(text)
             present = number.isNotNull()
             out = out.withColumn("__v", F.when(F.col("__ok") & present, number))
-        among = F.col("__ok") & present
+        judged = F.col("__ok") & present
         section = Window.partitionBy(*by)
         match rule.rule:
             case "require_not_missing":
@@ -168,7 +174,11 @@ def apply_filters(df: DataFrame, rules: list[FilterRule], by: list[str], tie: st
                 down = rule.rule == "exclude_top_pct"
                 order = Window.partitionBy(*by, F.col("__v").isNull()).orderBy(F.col("__v").desc() if down else F.col("__v").asc(), F.col(tie))
                 bad = F.row_number().over(order) <= F.ceil(F.count("__v").over(section) * float(rule.value) / 100)
-        why = F.when(F.col("__ok") & ~present, F.lit("missing_required_score")).when(among & bad, F.lit(rule.reason))
+        lack = F.col("__ok") & ~present
+        why = F.when(lack, F.lit(rule.field if named else "missing_required_score")).when(judged & bad, F.lit(rule.reason))
+        if named:
+            out = out.withColumn("__lost", F.when(lack, F.array_append("__lost", F.lit(rule.field))).otherwise(F.col("__lost"))).withColumn("__lack", F.col("__lack") | lack)
         out = out.withColumn("__new", why).withColumn("__why", F.when(F.col("__new").isNotNull(), F.array_append("__why", F.col("__new"))).otherwise(F.col("__why"))).withColumn("__ok", F.col("__ok") & F.col("__new").isNull())
-    status = F.when(F.col("__ok"), "pass").otherwise("filtered")
-    return out.select(*df.columns, status.alias("filter_status"), F.array_join(F.array_distinct("__why"), ";").alias("filter_reasons"))
+    status = F.when(F.col("__ok"), "pass").when(F.col("__lack") & F.lit(named), "missing_required_score").otherwise("filtered")
+    told = [F.array_join(F.array_distinct("__lost"), ";").alias("missing_score_components")] if named else []
+    return out.select(*df.columns, status.alias("filter_status"), F.array_join(F.array_distinct("__why"), ";").alias("filter_reasons"), *told)

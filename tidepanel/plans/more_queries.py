@@ -282,7 +282,7 @@ def basket_drawdowns(spark, sf_dir):
 
 @query(
     "trading_costs",
-    f"""{WITH} SELECT code, date, round(abs(-50000) * (CASE WHEN close <= 3000 THEN 1.0 WHEN close <= 5000 THEN 5.0 WHEN close <= 30000 THEN 10.0 WHEN close <= 50000 THEN 50.0 ELSE 100.0 END) / close, 4) AS spread_cost, round(50000 * least(50000 / trading_value, 0.02::DOUBLE), 4) AS impact_cost FROM prices""",
+    f"""{WITH} SELECT code, date, round(abs(-50000) * (CAST(CASE WHEN close < 1000 THEN 0.1 WHEN close < 3000 THEN 0.5 WHEN close < 30000 THEN 1.0 ELSE 5.0 END AS DOUBLE)) / close, 4) AS spread_cost, round(50000 * least(50000 / trading_value, 0.02::DOUBLE), 4) AS impact_cost FROM prices""",
 )
 def trading_costs(spark, sf_dir):
     spread, impact = dg.cost_components(F.lit(-50000.0), F.col("close"), F.col("trading_value"), tick_size(F.col("close")))

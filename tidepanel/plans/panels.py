@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import prior_year, reasons, safe_ratio, sign_up, yoy_change
+from tidepanel.functions.numeric import positive_ratio, prior_year, reasons, safe_ratio, sign_up, yoy_change
 from tidepanel.functions.parse import normalize_token, parse_bool, parse_date
 from tidepanel.operators import windows as win
 from tidepanel.operators.asof import asof_join, latest_per_key
 from tidepanel.operators.cross_section import FilterRule, apply_filters, order_rank, rank_pct, weighted_score, winsorized_z
 from tidepanel.operators.market_calendar import offset_date, with_calendar_index
+from tidepanel.operators.merge import merge_panels
 
 
 def spine(rebalances: DataFrame, codes: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def skip_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, span
     at = asof_join(at, prices.select("code", F.col("date").alias("__d"), F.col("close").alias("__close")), ["code"], "__date", "__d")
     closes = [F.max(F.when(F.col("__days") == d, F.col("__close"))).alias(f"__close_{d}") for d in offsets]
     folded = at.groupBy("rebalance_date", "code").agg(F.first("__own").alias("__own"), *closes)
-    values = [(safe_ratio(F.col(f"__close_{skip}"), F.col(f"__close_{lookback}")) - 1).alias(out) for out, (lookback, skip) in spans.items()]
+    values = [(positive_ratio(F.col(f"__close_{skip}"), F.col(f"__close_{lookback}")) - 1).alias(out) for out, (lookback, skip) in spans.items()]
     return folded.select("__own.*", *values)
 
 
@@ -96,8 +97,11 @@ FACTORS = {
 }
 
 
-def raw_factors(panel: DataFrame, disclosures: DataFrame, prices: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The included rows of a universe panel with the six base factors; a close of 0 counts as missing."""
+def raw_factors(panel: DataFrame, disclosures: DataFrame, prices: DataFrame, calendar: DataFrame, dated: bool = False) -> DataFrame:
+    """The included rows of a universe panel with the six base factors; a close of 0 counts as missing.
+
+    With `dated`, fundamentals_available_date tells when the statement behind them came out.
+    """
     rows = panel.where("included_flag").select("rebalance_date", "code", "sector", "latest_close")
     rows = point_in_time_disclosures(rows, disclosures)
     cap = F.nullif("latest_close", F.lit(0.0)) * F.col("shares")
@@ -107,6 +111,7 @@ def raw_factors(panel: DataFrame, disclosures: DataFrame, prices: DataFrame, cal
         safe_ratio(F.col("equity"), F.col("total_assets")).alias("equity_to_assets"),
         safe_ratio(F.col("net_profit"), cap).alias("earnings_yield"),
         safe_ratio(F.col("equity"), cap).alias("book_to_market"),
+        *([F.col("available_date").alias("fundamentals_available_date")] if dated else []),
     )
     return skip_returns(rows, prices, calendar, {"return_12_1": (252, 21), "return_6_1": (126, 21)})
 
@@ -123,6 +128,31 @@ def scored(rows: DataFrame, weights: dict[str, float], rules: list[FilterRule],
     return out.withColumn("rank", order_rank("composite_score", "code", ["rebalance_date"], F.col("filter_status") == "pass"))
 
 
+def full_panel(universe: DataFrame, factors: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row for each row of a universe panel with its factors and scores, excluded rows with their reasons and nulls.
+
+    Columns that several parts have come from the last part with the row: scores before factors before the universe.
+    Adds fundamental_available_date, rank_score and candidate_rank; an included row has no exclusion reason.
+    A universe without included_flag, rows that repeat a date and code, and columns of two types raise.
+    """
+    if "included_flag" not in universe.columns:
+        raise ValueError("the universe has no included_flag")
+    keys, parts = ["rebalance_date", "code"], {"universe": universe, "factors": factors, "scores": scores}
+    shared = [c for c in {c for p in parts.values() for c in p.columns} - set(keys) if sum(c in p.columns for p in parts.values()) > 1]
+    out = merge_panels(parts, keys, of="universe", override=shared)
+    named = lambda c, kind: F.col(c) if c in out.columns else F.lit(None).cast(kind)
+    unread = F.when(F.col("included_flag").isNull(), F.raise_error(F.lit("a universe row has no included_flag")))
+    out = out.where(unread.isNull())
+    return out.withColumns(
+        {
+            "exclusion_reason": F.when(F.col("included_flag"), "").otherwise(F.coalesce("exclusion_reason", F.lit(""))),
+            "fundamental_available_date": named("fundamentals_available_date", "date"),
+            "rank_score": named("composite_score", "double"),
+            "candidate_rank": named("rank", "int"),
+        }
+    )
+
+
 def daily_features(prices: DataFrame) -> DataFrame:
     """The inputs of the price-volume proxies; every window is over the rows of a code."""
     order = win.by_code()

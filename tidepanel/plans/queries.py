@@ -736,7 +736,7 @@ def relative(spark, sf_dir):
 
 @query(
     "order_sizing",
-    f"""{WITH} SELECT code, date, CAST(CASE WHEN close > 0 THEN floor(1000000 / (close * 100)) * 100 ELSE 0 END AS BIGINT) AS shares, CASE WHEN close <= 3000 THEN 1.0 WHEN close <= 5000 THEN 5.0 WHEN close <= 30000 THEN 10.0 WHEN close <= 50000 THEN 50.0 ELSE 100.0 END AS tick,
+    f"""{WITH} SELECT code, date, CAST(CASE WHEN close > 0 THEN floor(1000000 / (close * 100)) * 100 ELSE 0 END AS BIGINT) AS shares, CAST(CASE WHEN close < 1000 THEN 0.1 WHEN close < 3000 THEN 0.5 WHEN close < 30000 THEN 1.0 ELSE 5.0 END AS DOUBLE) AS tick,
   concat_ws(';', CASE WHEN volume < 20 THEN 'thin' END, CASE WHEN high > low * 1.2 THEN 'wide' END) AS notes FROM prices""",
 )
 def order_sizing(spark, sf_dir):
