@@ -49,6 +49,13 @@ def reasons(*tests: tuple[Column, Column | str]) -> Column:
     return F.array_join(F.array_distinct(F.array_compact(F.array(*texts))), ";")
 
 
+def more_reasons(own: Column, *tests: tuple[Column, str]) -> Column:
+    """The texts in `own` and then those of the tests that hold, each once; a null `own` has none."""
+    texts = [F.when(test, F.lit(text)) for test, text in tests]
+    held = F.filter(F.split(F.coalesce(own, F.lit("")), ";"), lambda x: x != "")
+    return F.array_join(F.array_distinct(F.concat(held, F.array_compact(F.array(*texts)))), ";")
+
+
 #: fixed values: below each price the tick beside it, and the tick from the last price on
 TICKS = ((1000.0, 0.1), (3000.0, 0.5), (30000.0, 1.0))
 LARGEST_TICK = 5.0

@@ -47,6 +47,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, F.lit("1994-06-15")).otherwise(F.lit("")).alias("listed_date"),
         F.when(key % 17 == 0, F.lit("1996-03-29")).otherwise(F.lit("")).alias("delisted_date"),
         F.lit(100).alias("lot_size"),
+        F.when(F.col("s_acctbal") > 9500, "1997-06-30").otherwise("").alias("last_trading_date"),
+        F.when(F.col("s_acctbal").between(2000, 2300), "true").otherwise("").alias("is_etf_reit_infra"),
+        F.when(F.col("s_acctbal") < 0, "no").when(F.col("s_acctbal") > 5000, "yes").otherwise("").alias("is_common_stock"),
     )
 
 
@@ -56,7 +59,9 @@ listings AS (
     CASE WHEN s_suppkey % 11 = 0 THEN 'ETF' WHEN s_suppkey % 13 = 0 THEN 'preferred stock' ELSE 'common-stock' END AS security_type,
     CASE WHEN s_suppkey % 7 = 0 THEN '0' ELSE 'yes' END AS tradable_flag,
     CASE WHEN s_suppkey % 5 = 0 THEN '1994-06-15' ELSE '' END AS listed_date,
-    CASE WHEN s_suppkey % 17 = 0 THEN '1996-03-29' ELSE '' END AS delisted_date, 100 AS lot_size
+    CASE WHEN s_suppkey % 17 = 0 THEN '1996-03-29' ELSE '' END AS delisted_date, 100 AS lot_size,
+    CASE WHEN s_acctbal > 9500 THEN '1997-06-30' ELSE '' END AS last_trading_date, CASE WHEN s_acctbal BETWEEN 2000 AND 2300 THEN 'true' ELSE '' END AS is_etf_reit_infra,
+    CASE WHEN s_acctbal < 0 THEN 'no' WHEN s_acctbal > 5000 THEN 'yes' ELSE '' END AS is_common_stock
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import positive_ratio, prior_year, reasons, safe_ratio, sign_up, yoy_change
-from tidepanel.functions.parse import normalize_token, parse_bool, parse_date
+from tidepanel.functions.parse import first_existing, normalize_token, parse_bool, parse_date
 from tidepanel.operators import windows as win
 from tidepanel.operators.asof import asof_join, latest_per_key
 from tidepanel.operators.cross_section import FilterRule, apply_filters, order_rank, rank_pct, weighted_score, winsorized_z
@@ -44,38 +46,71 @@ def skip_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, span
     return folded.select("__own.*", *values)
 
 
+@dataclass(frozen=True)
+class UniverseRules:
+    """What a universe asks of a code: ages in bars, trading value, security types, and whether prices must be of the day itself."""
+
+    min_age: int = 252
+    lookback: int = 60
+    least_value: float | None = None
+    excluded_types: tuple[str, ...] = ("etf", "preferred_stock")
+    included_types: tuple[str, ...] = ()
+    require_tradable: bool = True
+    strict_price: bool = False
+    require_fundamentals: bool = True
+    allowed_codes: tuple[str, ...] = ()
+    denied_codes: tuple[str, ...] = ()
+
+
 def trailing_liquidity(prices: DataFrame, n: int = 60) -> DataFrame:
-    """Bars with their number within the code and the median trading value of the last n."""
+    """Bars with their number within the code and the median trading value of the last n; `tradable` if prices say nothing else."""
     order = win.by_code()
-    return prices.select("code", "date", "close", "trading_value", F.row_number().over(order).alias("age"), win.rolling(F.col("trading_value"), n, "median", order, least=1).alias("median_trading_value"))
+    held = F.col("tradable") if "tradable" in prices.columns else F.lit(True)
+    return prices.select("code", "date", "close", "trading_value", held.alias("tradable"), F.row_number().over(order).alias("age"), win.rolling(F.col("trading_value"), n, "median", order, least=1).alias("median_trading_value"))
 
 
-def universe_panel(prices: DataFrame, listings: DataFrame, disclosures: DataFrame, rebalances: DataFrame, calendar: DataFrame, min_age: int = 252, least_value: float | None = None) -> DataFrame:
-    """The price and universe panel with every reason that excludes a code.
+def universe_panel(prices: DataFrame, listings: DataFrame, disclosures: DataFrame, rebalances: DataFrame, calendar: DataFrame, rules: UniverseRules = UniverseRules()) -> DataFrame:
+    """The price and universe panel with every reason that excludes a code, in a fixed order.
 
-    The latest bar carries its age and liquidity, so one as-of join brings all of a bar's features.
+    The latest bar carries its age and liquidity, so one as-of join brings all of a bar's features. Columns that
+    listings don't have (last_trading_date, is_etf_reit_infra, is_common_stock) give no reason.
     """
-    bars = trailing_liquidity(prices)
+    bars = trailing_liquidity(prices, rules.lookback)
     panel = spine(rebalances, listings).join(listings, "code")
-    rows = bars.select("code", F.col("date").alias("latest_price_date"), F.col("close").alias("latest_close"), F.col("age").alias("ipo_age"), F.col("median_trading_value").alias("median_value"))
+    rows = bars.select("code", F.col("date").alias("latest_price_date"), F.col("close").alias("latest_close"), F.col("tradable").alias("__tradable"), F.col("age").alias("ipo_age"), F.col("median_trading_value").alias("median_value"))
     panel = asof_join(panel, rows, ["code"], "rebalance_date", "latest_price_date")
     panel = with_calendar_index(panel, calendar, "rebalance_date", "__now")
     panel = panel.join(calendar.select(F.col("date").alias("latest_price_date"), F.col("cal_idx").alias("__then")), "latest_price_date", "left")
     first = disclosures.groupBy("code").agg(F.min("available_date").alias("__first"))
     panel = panel.join(first, "code", "left")
-    listed, delisted, rd = parse_date(F.col("listed_date")), parse_date(F.col("delisted_date")), F.col("rebalance_date")
-    kind, age = normalize_token(F.col("security_type")), F.coalesce(F.col("ipo_age"), F.lit(0))
+    rd = F.col("rebalance_date")
+    day = lambda c: parse_date(first_existing(listings, [c]))
+    flag = lambda c: parse_bool(first_existing(listings, [c]))
+    listed, last, delisted = day("listed_date"), day("last_trading_date"), day("delisted_date")
+    kind, age, common = F.coalesce(normalize_token(F.col("security_type")), F.lit("")), F.coalesce(F.col("ipo_age"), F.lit(0)), flag("is_common_stock")
     has = F.coalesce(F.col("__first") <= rd, F.lit(False))
-    low = (F.col("median_value").isNull() | (F.col("median_value") < least_value)) if least_value is not None else F.lit(False)
+    low = (F.col("median_value").isNull() | (F.col("median_value") < rules.least_value)) if rules.least_value is not None else F.lit(False)
+    today = F.coalesce(F.col("latest_price_date") == rd, F.lit(False))
+    named = lambda name, value: F.concat(F.lit(f"{name}:"), value.cast("string"))
+    short = lambda name, least: F.concat(F.lit(f"{name}:"), age.cast("string"), F.lit(f"<{least}"))
     why = reasons(
-        (listed > rd, F.concat(F.lit("listed_after_rebalance:"), listed.cast("string"))),
-        (delisted < rd, F.concat(F.lit("delisted_before_rebalance:"), delisted.cast("string"))),
-        (kind.isin("etf", "preferred_stock"), F.concat(F.lit("excluded_security_type:"), kind)),
-        (~parse_bool(F.col("tradable_flag")), "listing_not_tradable"),
-        (age < min_age, F.concat(F.lit("insufficient_ipo_age_trading_days:"), age.cast("string"), F.lit(f"<{min_age}"))),
-        (low, "below_min_median_trading_value"),
+        (listed > rd, named("listed_after_rebalance", listed)),
+        (last < rd, named("last_trading_before_rebalance", last)),
+        (delisted < rd, named("delisted_before_rebalance", delisted)),
+        (flag("is_etf_reit_infra"), "excluded_instrument_flag"),
+        (kind.isin(*rules.excluded_types) if rules.excluded_types else F.lit(False), named("excluded_security_type", kind)),
+        (~common, "not_common_stock"),
+        ((kind != "") & ~kind.isin(*rules.included_types) & ~F.coalesce(common, F.lit(False)) if rules.included_types else F.lit(False), named("not_in_included_security_types", kind)),
+        (~parse_bool(F.col("tradable_flag")) if rules.require_tradable else F.lit(False), "listing_not_tradable"),
+        (age < rules.min_age, short("insufficient_ipo_age_trading_days", rules.min_age)),
+        (age < rules.lookback, short("insufficient_liquidity_lookback", rules.lookback)),
+        (low, named("below_min_median_trading_value", F.coalesce(F.col("median_value").cast("string"), F.lit("None")))),
         (F.col("latest_price_date").isNull(), "no_price_on_or_before_rebalance"),
-        (~has, "missing_point_in_time_fundamentals"),
+        (F.col("latest_price_date").isNotNull() & ~today if rules.strict_price else F.lit(False), "no_price_on_rebalance_date"),
+        (today & ~F.coalesce(F.col("__tradable"), F.lit(False)) if rules.strict_price else F.lit(False), "price_not_tradable_on_rebalance_date"),
+        (~has if rules.require_fundamentals else F.lit(False), "missing_point_in_time_fundamentals"),
+        (F.col("code").isin(*rules.denied_codes) if rules.denied_codes else F.lit(False), "denied_code"),
+        (~F.col("code").isin(*rules.allowed_codes) if rules.allowed_codes else F.lit(False), "not_an_allowed_code"),
     )
     return panel.select(
         "rebalance_date", "code", "market", "sector", "latest_price_date", "latest_close",

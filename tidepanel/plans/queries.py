@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -116,29 +117,38 @@ def momentum(spark, sf_dir):
 
 # ---------------------------------------------------------------- universe, factors and scores
 
-UNIVERSE_SQL = f"""{WITH}, {LISTINGS_SQL}, {DISCLOSURES_SQL},
-bars AS (SELECT code, date, close, row_number() OVER w AS age, median(trading_value) OVER (PARTITION BY code ORDER BY date ROWS 59 PRECEDING) AS median_value FROM prices WINDOW w AS (PARTITION BY code ORDER BY date)),
+def _universe_sql(included: str = "", strict: bool = False) -> str:
+    """The panel with its reasons in the order they are told."""
+    return f"""{WITH}, {LISTINGS_SQL}, {DISCLOSURES_SQL},
+bars AS (SELECT code, date, close, volume >= 3 AS tradable, row_number() OVER w AS age, median(trading_value) OVER (PARTITION BY code ORDER BY date ROWS 59 PRECEDING) AS median_value FROM prices WINDOW w AS (PARTITION BY code ORDER BY date)),
 first AS (SELECT code, min(available_date) AS d FROM disclosures GROUP BY code),
 joined AS (
   SELECT r.rebalance_date, l.*, b.date AS latest_price_date, b.close AS latest_close, coalesce(b.age, 0) AS ipo_age, b.median_value, c1.cal_idx - c0.cal_idx AS staleness,
-    coalesce(f.d <= r.rebalance_date, false) AS has_fundamentals, TRY_CAST(nullif(l.listed_date, '') AS DATE) AS ld, TRY_CAST(nullif(l.delisted_date, '') AS DATE) AS dd,
-    replace(replace(lower(trim(l.security_type)), ' ', '_'), '-', '_') AS kind
+    coalesce(f.d <= r.rebalance_date, false) AS has_fundamentals, TRY_CAST(nullif(l.listed_date, '') AS DATE) AS ld, TRY_CAST(nullif(l.delisted_date, '') AS DATE) AS dd, TRY_CAST(nullif(l.last_trading_date, '') AS DATE) AS lt,
+    coalesce(b.date = r.rebalance_date, false) AS today, b.tradable, replace(replace(lower(trim(l.security_type)), ' ', '_'), '-', '_') AS kind
   FROM rebalances r CROSS JOIN listings l ASOF LEFT JOIN bars b ON b.code = l.code AND b.date <= r.rebalance_date
   LEFT JOIN calendar c1 ON c1.date = r.rebalance_date LEFT JOIN calendar c0 ON c0.date = b.date LEFT JOIN first f ON f.code = l.code),
 universe AS (
   SELECT rebalance_date, code, market, sector, latest_price_date, latest_close, staleness, CAST(ipo_age AS BIGINT) AS ipo_age, median_value, has_fundamentals,
-    concat_ws(';', CASE WHEN ld > rebalance_date THEN 'listed_after_rebalance:' || ld END, CASE WHEN dd < rebalance_date THEN 'delisted_before_rebalance:' || dd END,
-      CASE WHEN kind IN ('etf', 'preferred_stock') THEN 'excluded_security_type:' || kind END, CASE WHEN tradable_flag = '0' THEN 'listing_not_tradable' END,
-      CASE WHEN ipo_age < 252 THEN 'insufficient_ipo_age_trading_days:' || ipo_age || '<252' END,
-      CASE WHEN median_value IS NULL OR median_value < 20000 THEN 'below_min_median_trading_value' END,
-      CASE WHEN latest_price_date IS NULL THEN 'no_price_on_or_before_rebalance' END, CASE WHEN NOT has_fundamentals THEN 'missing_point_in_time_fundamentals' END) AS exclusion_reason
+    concat_ws(';', CASE WHEN ld > rebalance_date THEN 'listed_after_rebalance:' || ld END, CASE WHEN lt < rebalance_date THEN 'last_trading_before_rebalance:' || lt END, CASE WHEN dd < rebalance_date THEN 'delisted_before_rebalance:' || dd END,
+      CASE WHEN is_etf_reit_infra = 'true' THEN 'excluded_instrument_flag' END, CASE WHEN kind IN ('etf', 'preferred_stock') THEN 'excluded_security_type:' || kind END, CASE WHEN is_common_stock = 'no' THEN 'not_common_stock' END,
+      {f"CASE WHEN kind <> '' AND kind NOT IN ({included}) AND is_common_stock <> 'yes' THEN 'not_in_included_security_types:' || kind END," if included else ""} CASE WHEN tradable_flag = '0' THEN 'listing_not_tradable' END,
+      CASE WHEN ipo_age < 252 THEN 'insufficient_ipo_age_trading_days:' || ipo_age || '<252' END, CASE WHEN ipo_age < 60 THEN 'insufficient_liquidity_lookback:' || ipo_age || '<60' END,
+      CASE WHEN median_value IS NULL OR median_value < 20000 THEN 'below_min_median_trading_value:' || coalesce(median_value::VARCHAR, 'None') END,
+      CASE WHEN latest_price_date IS NULL THEN 'no_price_on_or_before_rebalance' END,
+      {"CASE WHEN latest_price_date IS NOT NULL AND NOT today THEN 'no_price_on_rebalance_date' END, CASE WHEN today AND NOT tradable THEN 'price_not_tradable_on_rebalance_date' END," if strict else ""}
+      CASE WHEN NOT has_fundamentals THEN 'missing_point_in_time_fundamentals' END) AS exclusion_reason
   FROM joined)"""
 
 
+UNIVERSE_SQL = _universe_sql()
+UNIVERSE_RULES = panels.UniverseRules(least_value=20000.0)
+
+
 def _universe(spark, sf_dir) -> tuple[DataFrame, ...]:
     prices, calendar, dates = _market(spark, sf_dir)
     listed, statements = ct.listings(spark, sf_dir), ct.disclosures(spark, sf_dir)
-    return panels.universe_panel(prices, listed, statements, dates, calendar, 252, 20000.0), prices, calendar, statements
+    return panels.universe_panel(prices, listed, statements, dates, calendar, UNIVERSE_RULES), prices, calendar, statements
 
 
 @query(
@@ -150,6 +160,15 @@ def universe(spark, sf_dir):
     return _rounded(_universe(spark, sf_dir)[0])
 
 
+@query("strict_universe_panel", f"""{_universe_sql("'common_stock'", strict=True)} SELECT rebalance_date, code, latest_price_date, round(median_value, 6) AS median_value, exclusion_reason = '' AS included_flag, exclusion_reason FROM universe""")
+def strict_universe(spark, sf_dir):
+    """Every reason at work: prices of the day itself, tradable ones, and listed security types only."""
+    prices, calendar, dates = _market(spark, sf_dir)
+    rules = replace(UNIVERSE_RULES, included_types=("common_stock",), strict_price=True)
+    panel = panels.universe_panel(prices.withColumn("tradable", F.col("volume") >= 3), ct.listings(spark, sf_dir), ct.disclosures(spark, sf_dir), dates, calendar, rules)
+    return _rounded(panel.select("rebalance_date", "code", "latest_price_date", "median_value", "included_flag", "exclusion_reason"))
+
+
 @query("exclusion_reason_counts", f"""{UNIVERSE_SQL} SELECT rebalance_date, split_part(reason, ':', 1) AS reason, count(*) AS n FROM (SELECT rebalance_date, unnest(string_split(exclusion_reason, ';')) AS reason FROM universe) WHERE reason <> '' GROUP BY ALL""")
 def exclusion_counts(spark, sf_dir):
     return research.reason_counts(_universe(spark, sf_dir)[0])
@@ -622,22 +641,45 @@ def attribution(spark, sf_dir):
 
 # ---------------------------------------------------------------- crowding, lifecycle, quality
 
-BALANCE_SQL = "balances AS (SELECT code, date AS available_date, trading_value / 10 AS long_balance, volume FROM prices WHERE CAST(code AS BIGINT) % 3 <> 0)"
+BALANCE_SQL = """balances AS (SELECT code, date AS available_date, trading_value / 10 AS long_margin_balance, nullif(high - low, 0) * 50 AS short_margin_balance, CASE WHEN volume >= 10 THEN open END AS short_interest, CASE WHEN volume < 30 THEN volume END AS volume FROM prices)"""
+
+
+def _balances(prices: DataFrame) -> DataFrame:
+    """Margin balances told by bars: days of one trade have no short balance, thin ones no short interest, busy ones no volume of their own."""
+    volume = F.col("volume")
+    return prices.select("code", F.col("date").alias("available_date"), (F.col("trading_value") / 10).alias("long_margin_balance"), (F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * 50).alias("short_margin_balance"), F.when(volume >= 10, F.col("open")).alias("short_interest"), F.when(volume < 30, volume).alias("volume"))
 
 
 @query(
     "crowding_panel",
-    f"""{WITH}, {SPINE_SQL}, {BALANCE_SQL}, j AS (SELECT s.rebalance_date, s.code, CASE WHEN s.rebalance_date - b.available_date <= 30 THEN long_balance END AS long_balance, CASE WHEN s.rebalance_date - b.available_date <= 30 THEN volume END AS volume FROM spine s ASOF LEFT JOIN balances b ON b.code = s.code AND b.available_date <= s.rebalance_date),
-c AS (SELECT *, CASE WHEN volume > 0 THEN round(long_balance / volume, 8) END AS crowding, concat_ws(';', CASE WHEN long_balance IS NULL THEN 'missing_long_balance' END, CASE WHEN volume IS NULL THEN 'missing_volume' END) AS missing_flags FROM j),
-k AS (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) AS k FROM rebalances), x AS (SELECT c.*, k FROM c JOIN k USING (rebalance_date))
-SELECT x.rebalance_date, x.code, round(x.crowding, 6) AS crowding, round(CASE WHEN count(x.crowding) OVER w >= 2 AND stddev_samp(x.crowding) OVER w > 1e-12 THEN (x.crowding - avg(x.crowding) OVER w) / stddev_samp(x.crowding) OVER w END, 5) AS crowding_z, round(x.crowding - y.crowding, 6) AS crowding_change, x.missing_flags
-FROM x LEFT JOIN x y ON y.k = x.k - 1 AND y.code = x.code WINDOW w AS (PARTITION BY x.rebalance_date)""",
+    f"""{WITH}, {SPINE_SQL}, {BALANCE_SQL}, j AS (SELECT s.rebalance_date, s.code, b.available_date, b.long_margin_balance, b.short_margin_balance, b.short_interest, coalesce(b.volume, p.volume) AS volume
+  FROM spine s ASOF JOIN balances b ON b.code = s.code AND b.available_date <= s.rebalance_date LEFT JOIN prices p ON p.code = b.code AND p.date = b.available_date AND p.volume > 0 AND p.volume < 45 WHERE s.rebalance_date - b.available_date <= 30),
+r AS (SELECT *, long_margin_balance / volume AS buy, short_margin_balance / volume AS sell, short_interest / volume AS short FROM j),
+c AS (SELECT *, round((coalesce(buy, 0) + coalesce(sell, 0) + coalesce(short, 0)) / nullif((buy IS NOT NULL)::INT + (sell IS NOT NULL)::INT + (short IS NOT NULL)::INT, 0), 10) AS raw FROM r),
+k AS (SELECT rebalance_date, row_number() OVER (ORDER BY rebalance_date) AS k FROM rebalances), x AS (SELECT c.*, k FROM c JOIN k USING (rebalance_date)),
+z AS (SELECT x.*, x.raw - y.raw AS change, CASE WHEN count(x.raw) OVER w >= 2 AND stddev_samp(x.raw) OVER w > 1e-12 THEN (x.raw - avg(x.raw) OVER w) / stddev_samp(x.raw) OVER w END AS score FROM x LEFT JOIN x y ON y.k = x.k - 1 AND y.code = x.code WINDOW w AS (PARTITION BY x.rebalance_date))
+SELECT rebalance_date, code, available_date, round(buy, 6) AS margin_buy_balance_to_volume, round(sell, 6) AS margin_sell_balance_to_volume, round(short, 6) AS short_interest_to_volume, round(raw, 6) AS crowding_raw, round(score, 5) AS crowding_zscore, round(change, 6) AS crowding_change,
+  concat_ws(';', CASE WHEN volume IS NULL THEN 'missing_volume' END, CASE WHEN buy IS NULL THEN 'margin_buy_balance_to_volume' END, CASE WHEN sell IS NULL THEN 'margin_sell_balance_to_volume' END, CASE WHEN short IS NULL THEN 'short_interest_to_volume' END,
+    CASE WHEN raw IS NULL THEN 'crowding_raw' END, CASE WHEN raw IS NOT NULL AND score IS NULL THEN 'crowding_zscore' END) AS missing_flags FROM z""",
 )
 def crowding(spark, sf_dir):
     prices, _, dates = _market(spark, sf_dir)
-    balances = prices.where(F.col("code").cast("long") % 3 != 0).select("code", F.col("date").alias("available_date"), (F.col("trading_value") / 10).alias("long_balance"), "volume")
-    out = research.crowding_panel(panels.spine(dates, prices), balances)
-    return out.select("rebalance_date", "code", F.round("crowding", 6).alias("crowding"), F.round("crowding_z", 5).alias("crowding_z"), F.round("crowding_change", 6).alias("crowding_change"), "missing_flags")
+    out = research.crowding_panel(dates, _balances(prices), prices.where("volume < 45"))
+    return _rounded(out.withColumn("crowding_zscore", F.round("crowding_zscore", 5)))
+
+
+@query(
+    "external_asof_panel",
+    f"""{WITH}, {SPINE_SQL}, {BALANCE_SQL}, j AS (SELECT s.rebalance_date, s.code, CASE WHEN s.rebalance_date - b.available_date <= 20 THEN b.short_interest END AS short_interest, CASE WHEN s.rebalance_date - b.available_date <= 20 THEN b.volume END AS volume, p.close IS NULL AS unpriced
+  FROM spine s ASOF LEFT JOIN balances b ON b.code = s.code AND b.available_date <= s.rebalance_date LEFT JOIN prices p ON p.code = s.code AND p.date = s.rebalance_date)
+SELECT rebalance_date, code, round(short_interest, 6) AS short_interest, volume, concat_ws(';', CASE WHEN unpriced THEN 'volume' END, CASE WHEN short_interest IS NULL THEN 'short_interest' END, CASE WHEN volume IS NULL AND NOT unpriced THEN 'volume' END) AS missing_flags FROM j""",
+)
+def external_asof_panel(spark, sf_dir):
+    """Balances as of each date, at most 20 days old; a code without a bar that day has the flag `volume` already."""
+    prices, _, dates = _market(spark, sf_dir)
+    priced = prices.select("code", F.col("date").alias("rebalance_date"), F.lit("").alias("missing_flags"))
+    probes = panels.spine(dates, prices).join(priced, ["code", "rebalance_date"], "left").na.fill({"missing_flags": "volume"})
+    return _rounded(research.external_asof(probes, _balances(prices), ["short_interest", "volume"], 20).select("rebalance_date", "code", "short_interest", "volume", "missing_flags"))
 
 
 @query(

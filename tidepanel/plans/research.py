@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import safe_ratio
+from tidepanel.functions.numeric import average_available, more_reasons, positive_ratio, reasons, safe_ratio
 from tidepanel.functions.parse import parse_date, parse_number
 from tidepanel.operators import windows as win
-from tidepanel.operators.asof import asof_join
+from tidepanel.operators.asof import assert_unique, asof_join
 from tidepanel.operators.cross_section import average_rank, quantile_bucket, sample_z
 from tidepanel.operators.market_calendar import offset_date, with_calendar_index
 from tidepanel.plans.panels import spine
@@ -198,23 +198,51 @@ def allocation_attribution(targets: DataFrame, baskets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- crowding and external panels
 
 
-def external_asof(probes: DataFrame, panel: DataFrame, fields: list[str], max_lag: int, key: str = "code") -> DataFrame:
-    """probes with the fields of the newest panel row by the date; rows older than max_lag days give nulls, with a flag."""
-    joined = asof_join(probes, panel.select(key, "available_date", *fields), [key], "rebalance_date", "available_date")
-    fresh = F.datediff("rebalance_date", "available_date") <= max_lag
+def external_asof(probes: DataFrame, panel: DataFrame, fields: list[str], max_lag: int | None, key: str = "code", flags: str = "missing_flags") -> DataFrame:
+    """probes with the fields of the newest panel row by the date; where that is older than max_lag days they are null.
+
+    Null fields are added to the flags by their names, each once. Rows without a date count for nothing; two rows of
+    a key and date, and fields that probes have, are errors.
+    """
+    if clash := sorted(set(fields) & set(probes.columns)):
+        raise ValueError(f"columns exist already: {', '.join(clash)}")
+    known = panel.where(F.col("available_date").isNotNull()).select(key, F.col("available_date").alias("__available"), *fields)
+    assert_unique(known, [key, "__available"], "the external panel")
+    joined = asof_join(probes, known, [key], "rebalance_date", "__available")
+    fresh = F.col("__available").isNotNull() if max_lag is None else F.datediff("rebalance_date", "__available") <= max_lag
     values = [F.when(fresh, F.col(f)).alias(f) for f in fields]
-    flags = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(fresh, F.lit(False)) | F.col(f).isNull(), F.lit(f"missing_{f}")) for f in fields])), ";")
-    return joined.select(*probes.columns, *values, flags.alias("missing_flags"))
-
-
-def crowding_panel(probes: DataFrame, balances: DataFrame, max_lag: int = 30) -> DataFrame:
-    """Long-to-volume crowding as of each date, its score across codes, and the change since the rebalance just before."""
-    rows = external_asof(probes, balances, ["long_balance", "volume"], max_lag).withColumn("crowding", F.round(F.when(F.col("volume") > 0, F.col("long_balance") / F.col("volume")), 8))
-    dates = probes.select("rebalance_date").distinct().withColumn("k", F.row_number().over(Window.orderBy("rebalance_date")))
-    rows = rows.join(F.broadcast(dates), "rebalance_date")
-    before = rows.select((F.col("k") + 1).alias("k"), "code", F.col("crowding").alias("__before"))
-    rows = rows.join(before, ["k", "code"], "left")
-    return rows.select("rebalance_date", "code", "crowding", sample_z("crowding", ["rebalance_date"]).alias("crowding_z"), (F.col("crowding") - F.col("__before")).alias("crowding_change"), "missing_flags")
+    own = F.col(flags) if flags in probes.columns else F.lit("")
+    out = joined.select(*[c for c in probes.columns if c != flags], own.alias("__own"), *values)
+    return out.select(*[c for c in probes.columns if c != flags], *fields, more_reasons(F.col("__own"), *[(F.col(f).isNull(), f) for f in fields]).alias(flags))
+
+
+#: fixed values: each ratio to the volume and the balance it has
+CROWDING = {"margin_buy_balance_to_volume": "long_margin_balance", "margin_sell_balance_to_volume": "short_margin_balance", "short_interest_to_volume": "short_interest"}
+
+
+def crowding_panel(rebalances: DataFrame, balances: DataFrame, volumes: DataFrame | None = None, max_lag: int = 30) -> DataFrame:
+    """For each date the codes with a balance row at most max_lag days old: its ratios to volume, their mean, score and change.
+
+    A row without a volume takes that of `volumes` (code, date, volume) of its own day, if above zero. The mean is of the ratios present;
+    its score is by the sample deviation across the codes of a date, its change since the rebalance just before. Flags name what is missing.
+    """
+    if max_lag < 0:
+        raise ValueError("max_lag can't be negative")
+    rows = balances.where("code is not null and available_date is not null")
+    if volumes is not None:
+        known = volumes.where("volume > 0").groupBy("code", F.col("date").alias("available_date")).agg(F.max("volume").alias("__volume"))
+        rows = rows.join(known, ["code", "available_date"], "left").withColumn("volume", F.coalesce("volume", "__volume")).drop("__volume")
+    at = asof_join(spine(rebalances, rows), rows.select("code", "available_date", "volume", *CROWDING.values()), ["code"], "rebalance_date", "available_date")
+    at = at.where(F.datediff("rebalance_date", "available_date") <= max_lag)
+    at = at.withColumns({ratio: positive_ratio(F.col(balance), F.col("volume")) for ratio, balance in CROWDING.items()})
+    at = at.withColumn("crowding_raw", F.round(average_available(*[F.col(r) for r in CROWDING]), 10))
+    dates = rebalances.select("rebalance_date").distinct().withColumn("k", F.row_number().over(Window.orderBy("rebalance_date")))  # one row a date
+    at = at.join(F.broadcast(dates), "rebalance_date")
+    by_code = Window.partitionBy("code").orderBy("k")
+    change = F.when(F.lag("k").over(by_code) == F.col("k") - 1, F.col("crowding_raw") - F.lag("crowding_raw").over(by_code))
+    at = at.withColumn("crowding_change", change).withColumn("crowding_zscore", sample_z("crowding_raw", ["rebalance_date"]))
+    flags = reasons((F.col("volume").isNull(), "missing_volume"), *[(F.col(r).isNull(), r) for r in CROWDING], (F.col("crowding_raw").isNull(), "crowding_raw"), (F.col("crowding_raw").isNotNull() & F.col("crowding_zscore").isNull(), "crowding_zscore"))
+    return at.select("rebalance_date", "code", "available_date", *CROWDING, "crowding_raw", "crowding_zscore", "crowding_change", flags.alias("missing_flags"))
 
 
 # ---------------------------------------------------------------- lifecycle, quality and profiles

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidepanel.functions.numeric import reasons
+from tidepanel.functions.numeric import more_reasons, reasons
 from tidepanel.functions.parse import contains_any, normalize_token, parse_bool, parse_date, parse_integer, parse_number, slug
 from tidepanel.operators import windows as win
 from tidepanel.operators.asof import assert_unique, asof_join
@@ -149,8 +149,7 @@ def external_exact(rows: DataFrame, panel: DataFrame, keys: list[str], fields: d
     assert_unique(right, [f"__{k}" for k in keys], "the external panel")
     joined = rows.join(right, [as_key(rows, k) == right[f"__{k}"] for k in keys], "left")
     own = F.col(flags) if flags in rows.columns else F.lit("")
-    parts = F.array_compact(F.array(F.when(own != "", own), *[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))
-    return joined.select(*[c for c in rows.columns if c != flags], *fields, F.array_join(parts, ";").alias(flags))
+    return joined.select(*[c for c in rows.columns if c != flags], *fields, more_reasons(own, *[(F.col(f).isNull(), f) for f in fields]).alias(flags))
 
 
 # ---------------------------------------------------------------- code lists and events
