@@ -7,10 +7,12 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.functions import expression as ex
-from tidepanel.plans import allocation, checks, contracts as ct, panels, scoring
-from tidepanel.plans.contracts import LISTINGS_SQL, table
+from tidepanel.operators.asof import asof_join
+from tidepanel.plans import allocation, attribution, checks, contracts as ct, disclosure_panels, panels, scoring
+from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, table
 from tidepanel.plans.lookback import with_price_definitions
 from tidepanel.plans.queries import FACTOR_SQL, FILTER_SQL, NAMES, RETURN_SQL, RULES, SCORE_SQL, SPINE_SQL, WEIGHTS, WITH, _market, _rounded, _universe, query
+from tidepanel.plans.snapshots import filter_disclosures
 from tidepanel.session import materialize, shared_path
 from tidepanel.sources.panel_files import read_month_panel
 
@@ -278,3 +280,101 @@ def month_panel_range(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.withColumn("origin", F.lit("parquet")).write.parquet(f"{folder}/factors_1996{month:02d}.parquet")
         rows.withColumn("origin", F.lit("csv")).write.option("header", True).csv(f"{folder}/factors_1996{month:02d}.csv")
     return _rounded(read_month_panel(spark, folder, "factors", "rebalance_date date, code string, close double, origin string", MONTHS_FROM, MONTHS_TO))
+
+
+# ---------------------------------------------------------------- disclosures on two time axes
+
+_RATIO_SQL = """round((d.sales - p.sales) / nullif(abs(p.sales), 0), 6) AS sales_yoy, round((d.operating_profit - p.operating_profit) / nullif(abs(p.operating_profit), 0), 6) AS operating_profit_yoy, round((d.net_profit - p.net_profit) / nullif(abs(p.net_profit), 0), 6) AS net_profit_yoy,
+  round(d.operating_profit / nullif(d.sales, 0), 6) AS operating_margin, 0.0 + round(d.operating_profit / nullif(d.sales, 0) - p.operating_profit / nullif(p.sales, 0), 6) AS operating_margin_delta_yoy, round(d.net_profit / nullif(d.equity, 0), 6) AS roe, round(d.net_profit / nullif(d.total_assets, 0), 6) AS roa,
+  round(d.equity / nullif(d.total_assets, 0), 6) AS equity_to_assets, round(d.cash / nullif(d.market_cap, 0), 6) AS cash_to_market_cap, 0.0 + round((d.cash - d.debt) / nullif(d.market_cap, 0), 6) AS net_cash_to_market_cap, round(d.debt / nullif(d.equity, 0), 6) AS debt_to_equity,
+  round(d.liabilities / nullif(d.total_assets, 0), 6) AS liabilities_to_assets, CASE WHEN d.net_profit IS NOT NULL AND p.net_profit IS NOT NULL THEN CASE WHEN p.net_profit < 0 AND d.net_profit > 0 THEN 1.0 ELSE 0.0 END END AS profit_turn_positive, round((d.shares - p.shares) / nullif(abs(p.shares), 0), 6) AS shares_change_yoy"""
+_RATIOS = "sales_yoy operating_profit_yoy net_profit_yoy operating_margin operating_margin_delta_yoy roe roa equity_to_assets cash_to_market_cap net_cash_to_market_cap debt_to_equity liabilities_to_assets profit_turn_positive shares_change_yoy".split()
+_RATIO_FLAGS = f"concat_ws(';', {', '.join(f'CASE WHEN {r} IS NULL THEN {r!r} END' for r in _RATIOS)}, CASE WHEN prior_available_date IS NULL THEN 'missing_prior_year' END) AS missing_flags"
+_SCOPE_SQL = "CASE WHEN consolidated_flag = 'false' THEN 'non_consolidated' ELSE lower(consolidated_flag) END AS scope"
+_CORE_SQL = "(sales IS NOT NULL)::INT + (operating_profit IS NOT NULL)::INT + (net_profit IS NOT NULL)::INT + (equity IS NOT NULL)::INT + (total_assets IS NOT NULL)::INT + (shares IS NOT NULL)::INT"
+
+
+@query(
+    "rebalance_fundamentals",
+    f"""{WITH}, {DISCLOSURES_SQL}, e AS (SELECT *, {_SCOPE_SQL}, {_CORE_SQL} AS core FROM disclosures WHERE period_type = 'F'),
+r AS (SELECT *, row_number() OVER (PARTITION BY rebalance_date, code ORDER BY period_end DESC, core > 0 DESC, available_date DESC, available_time DESC, disclosure_number DESC) AS rn FROM e JOIN rebalances ON available_date <= rebalance_date),
+d AS (SELECT *, CAST(period_end - INTERVAL 12 MONTH AS DATE) AS year_before FROM r WHERE rn = 1),
+c AS (SELECT d.rebalance_date AS rd, d.code AS cc, e.*, row_number() OVER (PARTITION BY d.rebalance_date, d.code ORDER BY e.available_date DESC, e.available_time DESC, e.disclosure_number DESC) AS k FROM d JOIN e ON e.code = d.code AND e.scope = d.scope AND e.period_end = d.year_before AND e.available_date <= d.rebalance_date),
+o AS (SELECT d.rebalance_date, d.code, d.available_date, d.period_end, d.disclosure_number, d.scope, p.available_date AS prior_available_date, {_RATIO_SQL} FROM d LEFT JOIN c p ON p.rd = d.rebalance_date AND p.cc = d.code AND p.k = 1)
+SELECT *, {_RATIO_FLAGS} FROM o""",
+)
+def rebalance_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_disclosures(ct.disclosures(spark, sf_dir), period_types=("F",))
+    out = disclosure_panels.rebalance_fundamentals(rows, _market(spark, sf_dir)[2])
+    return _rounded(out.drop("period_type", "document_type"))
+
+
+@query(
+    "event_fundamentals",
+    f"""WITH {DISCLOSURES_SQL}, e AS (SELECT *, {_SCOPE_SQL}, count(*) OVER (PARTITION BY code, available_date) AS source_disclosure_count, row_number() OVER (PARTITION BY code, available_date ORDER BY available_time DESC, period_end DESC, disclosure_number DESC) AS rn FROM disclosures),
+d AS (SELECT *, CAST(period_end - INTERVAL 12 MONTH AS DATE) AS year_before FROM e WHERE rn = 1),
+c AS (SELECT d.code AS cc, d.available_date AS ad, e.*, row_number() OVER (PARTITION BY d.code, d.available_date ORDER BY e.available_date DESC, e.available_time DESC, e.disclosure_number DESC) AS k
+  FROM d JOIN e ON e.code = d.code AND e.scope = d.scope AND e.period_type = d.period_type AND e.period_end = d.year_before AND e.available_date <= d.available_date),
+o AS (SELECT d.code, d.available_date, d.source_disclosure_count, d.period_type, d.period_end, d.disclosure_number, d.scope, p.available_date AS prior_available_date, {_RATIO_SQL} FROM d LEFT JOIN c p ON p.cc = d.code AND p.ad = d.available_date AND p.k = 1)
+SELECT *, {_RATIO_FLAGS} FROM o""",
+)
+def event_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(disclosure_panels.event_fundamentals(ct.disclosures(spark, sf_dir)).drop("document_type"))
+
+
+# ---------------------------------------------------------------- attribution
+
+_BENCHMARKS_SQL = """
+q AS (SELECT p.*, l.market, l.sector, last_day(CAST(date_trunc('quarter', p.date) AS DATE) + INTERVAL 2 MONTH) AS quarter FROM prices p JOIN listings l USING (code)),
+v AS (SELECT market, quarter AS date, sum(CAST(trading_value AS DECIMAL(18,2)))::DOUBLE / sum(volume) AS value FROM q GROUP BY ALL),
+pf AS (SELECT market AS portfolio, date, value / lag(value) OVER (PARTITION BY market ORDER BY date) - 1 AS r FROM v),
+w AS (SELECT quarter AS date, sum(CAST(trading_value AS DECIMAL(18,2)))::DOUBLE / sum(volume) AS value FROM q GROUP BY ALL),
+sec AS (SELECT date, avg(r) AS r FROM (SELECT date, value / lag(value) OVER (PARTITION BY sector ORDER BY date) - 1 AS r FROM (SELECT sector, quarter AS date, sum(CAST(trading_value AS DECIMAL(18,2)))::DOUBLE / sum(volume) AS value FROM q GROUP BY ALL)) WHERE r IS NOT NULL GROUP BY date),
+late AS (SELECT date, value / lag(value) OVER (ORDER BY date) - 1 AS r FROM w WHERE date >= DATE '1996-01-01'),
+bm AS (SELECT 'filtered_universe_benchmark' AS label, 'filtered_universe' AS kind, date, value / lag(value) OVER (ORDER BY date) - 1 AS r FROM w
+  UNION ALL SELECT 'sectors', 'market', date, r FROM sec UNION ALL SELECT 'late', 'custom', date, r FROM late UNION ALL SELECT 'short', 'custom', date, r FROM sec WHERE year(date) = 1998)"""
+
+
+@query(
+    "benchmark_attribution",
+    f"""{WITH}, {LISTINGS_SQL}, {_BENCHMARKS_SQL.strip()},
+j AS (SELECT portfolio, label, kind, pf.r AS y, bm.r AS x FROM pf JOIN bm USING (date) WHERE pf.r IS NOT NULL AND bm.r IS NOT NULL),
+a AS (SELECT portfolio, label, kind, count(*) AS n, product(1 + y) AS p, product(1 + x) AS b, avg(y) AS my, avg(x) AS mx, covar_samp(x, y) AS cov, var_samp(x) AS var, stddev_samp(y - x) AS sa, corr(x, y) AS c, avg(y) FILTER (x > 0) / avg(x) FILTER (x > 0) AS up, avg(y) FILTER (x < 0) / avg(x) FILTER (x < 0) AS down FROM j GROUP BY ALL)
+SELECT portfolio, label AS benchmark_label, kind AS benchmark_type, n AS periods, round(p - 1, 6) AS portfolio_total_return, round(b - 1, 6) AS benchmark_total_return, round(p / b - 1, 6) AS active_total_return,
+  CASE WHEN n >= 6 THEN round(cov / var, 6) END AS beta, CASE WHEN n >= 6 THEN round((my - cov / var * mx) * 4, 6) END AS alpha, CASE WHEN n >= 6 THEN round(sa * 2, 6) END AS tracking_error, CASE WHEN n >= 6 THEN round((my - mx) * 4 / (sa * 2), 6) END AS information_ratio,
+  CASE WHEN n >= 6 THEN round(c, 6) END AS correlation, CASE WHEN n >= 6 THEN round(up, 6) END AS up_capture, CASE WHEN n >= 6 THEN round(down, 6) END AS down_capture FROM a""",
+)
+def benchmark_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets' average prices by quarter against the whole, the mean of the sectors, the whole from 1996 on, and four quarters alone."""
+    quarter = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
+    bars = ct.prices(spark, sf_dir).join(ct.listings(spark, sf_dir).select("code", "market", "sector"), "code")
+    bars = materialize(bars.groupBy("market", "sector", quarter.alias("date")).agg(F.sum(F.col("trading_value").cast(ct.MONEY)).alias("money"), F.sum("volume").alias("volume")), "quarter-values")
+    value = (F.sum("money").cast("double") / F.sum("volume")).alias("value")
+    change = lambda c: F.col("value") / F.lag("value").over(panels.Window.partitionBy(c).orderBy("date")) - 1
+    portfolios = bars.groupBy("market", "date").agg(value).select(F.col("market").alias("portfolio"), "date", change("market").alias("portfolio_return"))
+    sectors = bars.groupBy("sector", "date").agg(value).withColumn("r", change("sector")).where("r is not null").groupBy("date").agg(F.avg("r").alias("return"))
+    whole = bars.groupBy("date").agg(value)
+    summary = whole.join(sectors, "date", "left").select("date", F.col("value").alias("benchmark_equity"), F.col("return").alias("market_benchmark_return"), F.when(F.year("date") < 1997, "sectors").otherwise("").alias("market_benchmark_id"))
+    series = attribution.built_in_benchmarks(summary).unionByName(attribution.benchmark_series(whole.where("date >= date'1996-01-01'"), "late")).unionByName(attribution.benchmark_series(sectors.where("year(date) = 1998"), "short"))
+    return _rounded(attribution.benchmark_attribution(portfolios, series, "quarterly", min_periods=6))
+
+
+@query(
+    "top_contributors",
+    f"""{WITH}, d AS (SELECT rebalance_date AS date, lag(rebalance_date) OVER (ORDER BY rebalance_date) AS start FROM rebalances), h AS (SELECT d.date, p.code, p0.trading_value AS held, p0.close AS c0, p.close AS c1 FROM d JOIN (SELECT DISTINCT code FROM prices) k ON d.start IS NOT NULL
+  ASOF JOIN prices p0 ON p0.code = k.code AND p0.date <= d.start ASOF JOIN prices p ON p.code = k.code AND p.date <= d.date),
+c AS (SELECT date, code, held / sum(held) OVER (PARTITION BY date) AS weight, CASE WHEN c0 > 0 THEN c1 / c0 - 1 END AS r FROM h), x AS (SELECT *, round(weight * r, 9) AS contribution FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY contribution DESC, code) AS t, row_number() OVER (PARTITION BY date ORDER BY contribution, code) AS b FROM x WHERE contribution IS NOT NULL)
+SELECT date, 'top' AS side, CAST(t AS INT) AS place, code, round(contribution, 6) AS contribution FROM k WHERE t <= 10 UNION ALL SELECT date, 'bottom', CAST(b AS INT), code, round(contribution, 6) FROM k WHERE b <= 10""",
+)
+def top_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest and smallest contributions of each quarter to a portfolio weighted by trading value at its start."""
+    prices, _, dates = _market(spark, sf_dir)
+    spans = dates.select(F.col("rebalance_date").alias("date"), F.lag("rebalance_date").over(panels.Window.orderBy("rebalance_date")).alias("start")).where("start is not null")  # one row a date
+    probes = prices.select("code").distinct().join(F.broadcast(spans))
+    opened = asof_join(probes, prices.select("code", F.col("date").alias("d0"), F.col("close").alias("c0"), F.col("trading_value").alias("held")), ["code"], "start", "d0").where("d0 is not null")
+    closed = asof_join(opened, prices.select("code", F.col("date").alias("d1"), F.col("close").alias("c1")), ["code"], "date", "d1")
+    rows = closed.withColumn("weight", F.col("held") / F.sum("held").over(panels.Window.partitionBy("date"))).withColumn("period_return", F.when(F.col("c0") > 0, F.col("c1") / F.col("c0") - 1))
+    rows = materialize(rows.select("date", "code", "weight", "period_return"), "held")
+    out = attribution.contributions(rows.select("date", "code", "weight"), rows.select("date", "code", F.round("period_return", 12).alias("period_return")), ["date"], digits=9)
+    return _rounded(attribution.top_and_bottom(out, ["date"]).withColumn("place", F.col("place").cast("int")))

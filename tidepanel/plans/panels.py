@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidepanel.functions.numeric import positive_ratio, prior_year, reasons, safe_ratio, sign_up, yoy_change
 from tidepanel.functions.parse import first_existing, normalize_token, parse_bool, parse_date
@@ -318,6 +318,31 @@ def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFra
     return dated.join(features, ["code", "__rn"]).select("rebalance_date", "code", "latest_price_date", *out, "missing_flags")
 
 
+PRIOR_FIELDS = ("sales", "operating_profit", "net_profit", "shares")
+
+
+def derived_ratios() -> dict[str, Column]:
+    """The ratios of a disclosure and its changes on prior_<field>, the values of a year before."""
+    now, then, cap = F.col("net_profit"), F.col("prior_net_profit"), F.col("market_cap")
+    margin, before = safe_ratio(F.col("operating_profit"), F.col("sales")), safe_ratio(F.col("prior_operating_profit"), F.col("prior_sales"))
+    return {
+        "sales_yoy": yoy_change(F.col("sales"), F.col("prior_sales")),
+        "operating_profit_yoy": yoy_change(F.col("operating_profit"), F.col("prior_operating_profit")),
+        "net_profit_yoy": yoy_change(now, then),
+        "operating_margin": margin,
+        "operating_margin_delta_yoy": margin - before,
+        "roe": safe_ratio(now, F.col("equity")),
+        "roa": safe_ratio(now, F.col("total_assets")),
+        "equity_to_assets": safe_ratio(F.col("equity"), F.col("total_assets")),
+        "cash_to_market_cap": safe_ratio(F.col("cash"), cap),
+        "net_cash_to_market_cap": safe_ratio(F.col("cash") - F.col("debt"), cap),
+        "debt_to_equity": safe_ratio(F.col("debt"), F.col("equity")),
+        "liabilities_to_assets": safe_ratio(F.col("liabilities"), F.col("total_assets")),
+        "profit_turn_positive": F.when(now.isNotNull() & then.isNotNull(), F.when((then < 0) & (now > 0), F.lit(1.0)).otherwise(F.lit(0.0))),
+        "shares_change_yoy": yoy_change(F.col("shares"), F.col("prior_shares")),
+    }
+
+
 def derived_fundamentals(disclosures: DataFrame) -> DataFrame:
     """Ratios and changes on the year of each disclosure, against the prior-year one known by then.
 
@@ -325,24 +350,7 @@ def derived_fundamentals(disclosures: DataFrame) -> DataFrame:
     ended on the same day a year before (28 February for the 29th) that was available no later.
     """
     rows = latest_per_key(disclosures, ["code", "period_type", "period_end", "available_date"], [F.col("disclosure_number").desc()], "n_same_day")
-    prior = rows.select("code", "period_type", F.col("period_end").alias("__end"), F.col("available_date").alias("__when"), *[F.col(x).alias(f"prior_{x}") for x in ("sales", "operating_profit", "net_profit", "shares")])
+    prior = rows.select("code", "period_type", F.col("period_end").alias("__end"), F.col("available_date").alias("__when"), *[F.col(x).alias(f"prior_{x}") for x in PRIOR_FIELDS])
     probes = rows.withColumn("__end", prior_year(F.col("period_end")))
     joined = asof_join(probes, prior, ["code", "period_type", "__end"], "available_date", "__when")
-    now, then, cap = F.col("net_profit"), F.col("prior_net_profit"), F.col("market_cap")
-    margin, before = safe_ratio(F.col("operating_profit"), F.col("sales")), safe_ratio(F.col("prior_operating_profit"), F.col("prior_sales"))
-    return joined.select(
-        "code", "available_date", "period_type", "period_end", "disclosure_number", "n_same_day",
-        yoy_change(F.col("sales"), F.col("prior_sales")).alias("sales_yoy"),
-        yoy_change(F.col("operating_profit"), F.col("prior_operating_profit")).alias("operating_profit_yoy"),
-        yoy_change(now, then).alias("net_profit_yoy"),
-        margin.alias("operating_margin"), (margin - before).alias("operating_margin_delta_yoy"),
-        safe_ratio(now, F.col("equity")).alias("roe"), safe_ratio(now, F.col("total_assets")).alias("roa"),
-        safe_ratio(F.col("equity"), F.col("total_assets")).alias("equity_to_assets"),
-        safe_ratio(F.col("cash"), cap).alias("cash_to_market_cap"),
-        safe_ratio(F.col("cash") - F.col("debt"), cap).alias("net_cash_to_market_cap"),
-        safe_ratio(F.col("debt"), F.col("equity")).alias("debt_to_equity"),
-        safe_ratio(F.col("liabilities"), F.col("total_assets")).alias("liabilities_to_assets"),
-        F.when(now.isNotNull() & then.isNotNull(), F.when((then < 0) & (now > 0), F.lit(1.0)).otherwise(F.lit(0.0))).alias("profit_turn_positive"),
-        yoy_change(F.col("shares"), F.col("prior_shares")).alias("shares_change_yoy"),
-        F.col("__when").isNull().alias("missing_prior_year"),
-    )
+    return joined.select("code", "available_date", "period_type", "period_end", "disclosure_number", "n_same_day", *[c.alias(n) for n, c in derived_ratios().items()], F.col("__when").isNull().alias("missing_prior_year"))

@@ -86,20 +86,31 @@ def filter_disclosures(rows: DataFrame, period_types: tuple[str, ...] = (), incl
     return out.where(value_count(CORE_FIELDS + OTHER_FIELDS) > 0) if useful_only else out
 
 
+def _best_by_then(rows: DataFrame, rebalances: DataFrame, rank: Column) -> DataFrame:
+    """For each date and code with a disclosure by then, the one of greatest rank.
+
+    Ranks are total, so the best so far is a running maximum over a code's disclosures; each date looks that up, and
+    no disclosure meets a date it doesn't answer.
+    """
+    names = [c for c in rows.columns if c != "code"]
+    so_far = Window.partitionBy("code").orderBy("__known").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = rows.where("available_date is not null").select("code", F.col("available_date").alias("__known"), F.struct(rank.alias("rank"), F.struct(*names).alias("row")).alias("__this"))
+    best = best.select("code", "__known", F.max_by("__this", "__this.rank").over(so_far).alias("__best"))
+    probes = rows.select("code").distinct().join(F.broadcast(rebalances.select("rebalance_date").distinct()))  # dates are few
+    found = asof_join(probes, best, ["code"], "rebalance_date", "__known").where("__best is not null")
+    return found.select("rebalance_date", "code", "__best.row.*")
+
+
 def rebalance_disclosures(rows: DataFrame, rebalances: DataFrame) -> DataFrame:
     """For each date and code the last disclosure of the latest period known by then.
 
     Of a period, those with core values come before those with any value, before the rest; then the latest
-    by date, time, period, number and count of values. Few dates, so pairs of a code are ranked at once.
+    by date, time, period, number and count of values.
     """
     core, useful = value_count(CORE_FIELDS), value_count(CORE_FIELDS + OTHER_FIELDS)
     end = F.coalesce("period_end", F.lit("0001-01-01").cast("date"))
     rank = F.struct(end.alias("end"), "period_type", F.when(core > 0, 2).when(useful > 0, 1).otherwise(0).alias("kind"), "available_date", F.coalesce("available_time", F.lit("")).alias("time"), number_key(F.col("disclosure_number")).alias("number"), useful.alias("useful"))
-    ranked = rows.where("available_date is not null").withColumn("__rank", rank)
-    pairs = ranked.join(F.broadcast(rebalances), F.col("available_date") <= F.col("rebalance_date"))  # a row a date
-    names = [c for c in rows.columns if c != "code"]
-    best = pairs.groupBy("rebalance_date", "code").agg(F.max_by(F.struct(*names), "__rank").alias("__row"))
-    return best.select("rebalance_date", "code", "__row.*")
+    return _best_by_then(rows, rebalances, rank)
 
 
 def assert_one_period_type(panel: DataFrame) -> None:
@@ -113,9 +124,7 @@ def latest_useful(rows: DataFrame, rebalances: DataFrame) -> DataFrame:
     """For each date and code the latest disclosure, one with values before one without."""
     useful = (value_count(CORE_FIELDS) > 0).cast("int")
     rank = F.struct(useful.alias("useful"), "available_date", F.coalesce("available_time", F.lit("")).alias("time"), "period_end", number_key(F.col("disclosure_number")).alias("number"))
-    pairs = rows.where("available_date is not null").withColumn("__rank", rank).join(F.broadcast(rebalances), F.col("available_date") <= F.col("rebalance_date"))  # a row a date
-    names = [c for c in rows.columns if c != "code"]
-    return pairs.groupBy("rebalance_date", "code").agg(F.max_by(F.struct(*names), "__rank").alias("__row")).select("rebalance_date", "code", "__row.*")
+    return _best_by_then(rows, rebalances, rank)
 
 
 # ---------------------------------------------------------------- external panels
