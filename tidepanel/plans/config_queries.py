@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidepanel.functions import expression as ex
 from tidepanel.operators.asof import asof_join
-from tidepanel.plans import allocation, attribution, checks, contracts as ct, disclosure_panels, panels, scoring
+from tidepanel.plans import allocation, attribution, checks, contracts as ct, disclosure_panels, group_panels, panels, profile, scoring
 from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, table
 from tidepanel.plans.lookback import with_price_definitions
 from tidepanel.plans.queries import FACTOR_SQL, FILTER_SQL, NAMES, RETURN_SQL, RULES, SCORE_SQL, SPINE_SQL, WEIGHTS, WITH, _market, _rounded, _universe, query
@@ -378,3 +378,83 @@ def top_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(rows.select("date", "code", "weight", "period_return"), "held")
     out = attribution.contributions(rows.select("date", "code", "weight"), rows.select("date", "code", F.round("period_return", 12).alias("period_return")), ["date"], digits=9)
     return _rounded(attribution.top_and_bottom(out, ["date"]).withColumn("place", F.col("place").cast("int")))
+
+
+# ---------------------------------------------------------------- memberships and profiles
+
+
+def _memberships(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """A code's sector by the quarters it traded in, with its share of trading days as purity."""
+    quarter = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
+    days = ct.prices(spark, sf_dir).groupBy("code", quarter.alias(at)).agg(F.count(F.lit(1)).alias("days"), F.sum("volume").alias("membership_weight"))
+    rows = days.join(ct.listings(spark, sf_dir).select("code", "sector", "market"), "code").where("days >= 3")
+    return rows.select(at, "code", F.lit("sector").alias("group_type"), F.when(F.col("days") % 2 == 0, F.col("sector")).otherwise(F.col("market")).alias("group_id"), "membership_weight", F.least(F.col("days") / 60, F.lit(1.0)).alias("purity_score"))
+
+
+_MEMBERS_SQL = """
+dm AS (SELECT p.code, last_day(CAST(date_trunc('quarter', date) AS DATE) + INTERVAL 2 MONTH) AS day, count(*) AS days, sum(volume) AS weight FROM prices p GROUP BY ALL),
+mm AS (SELECT day, code, CASE WHEN days % 2 = 0 THEN sector ELSE market END AS group_id, weight, least(days / 60, 1.0::DOUBLE) AS purity FROM dm JOIN listings USING (code) WHERE days >= 3),
+wanted AS (SELECT DATE '1994-01-15' AS date UNION ALL SELECT DATE '1996-09-30' UNION ALL SELECT DATE '1999-12-30'),
+snap AS (SELECT w.date, max(m.day) AS day FROM wanted w JOIN mm m ON m.day <= w.date GROUP BY w.date),
+ranked AS (SELECT w.date, m.*, row_number() OVER (PARTITION BY w.date, m.code, m.group_id ORDER BY m.day DESC) AS rn FROM wanted w JOIN mm m ON m.day <= w.date),
+held AS (SELECT 'exact' AS mode, s.date, m.code, m.group_id, m.weight, m.purity, m.day FROM snap s JOIN mm m ON m.day = s.day UNION ALL SELECT 'asof', date, code, group_id, weight, purity, day FROM ranked WHERE rn = 1)"""
+
+
+@query("memberships_by_mode", f"""{WITH}, {LISTINGS_SQL}, {_MEMBERS_SQL.strip()} SELECT mode, date, code, 'sector' AS group_type, group_id, weight AS membership_weight, round(purity, 6) AS purity_score, day AS effective_date FROM held""")
+def memberships_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.createDataFrame([(date(1994, 1, 15),), (date(1996, 9, 30),), (date(1999, 12, 30),)], "date date")
+    parts = []
+    for mode, at in (("exact", "rebalance_date"), ("asof", "available_date")):
+        held = group_panels.members_at(wanted, group_panels.membership_panel(_memberships(spark, sf_dir, at)))
+        parts.append(held.drop("group_name").withColumn("mode", F.lit(mode)))
+    return _rounded(parts[0].unionByName(parts[1]))
+
+
+@query(
+    "group_external_signals",
+    f"""{WITH}, {LISTINGS_SQL}, q AS (SELECT 'sector' AS group_type, l.sector AS group_id, last_day(CAST(date_trunc('quarter', date) AS DATE) + INTERVAL 2 MONTH) AS date, max(high) AS top, min(low) AS floor FROM prices p JOIN listings l USING (code) WHERE volume > 40 GROUP BY ALL),
+g AS (SELECT r.date, 'sector' AS group_type, s.group_id FROM (SELECT DISTINCT last_day(CAST(date_trunc('quarter', date) AS DATE) + INTERVAL 2 MONTH) AS date FROM prices) r CROSS JOIN (SELECT DISTINCT sector AS group_id FROM listings) s)
+SELECT g.date, g.group_type, g.group_id, round(e.top, 6) AS top, round(a.floor, 6) AS floor, concat_ws(';', CASE WHEN e.top IS NULL THEN 'top' END, CASE WHEN a.floor IS NULL THEN 'floor' END) AS missing_flags
+FROM g LEFT JOIN q e ON e.date = g.date AND e.group_id = g.group_id ASOF LEFT JOIN q a ON a.group_id = g.group_id AND a.date <= g.date""",
+)
+def group_external_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sectors by quarter with the highest price of busy days that quarter, and the lowest of the newest quarter that had any."""
+    quarter = F.last_day(F.add_months(F.trunc("date", "quarter"), 2))
+    listed = ct.listings(spark, sf_dir).select("code", "sector")
+    bars = ct.prices(spark, sf_dir)
+    busy = bars.where("volume > 40").join(listed, "code").groupBy(F.lit("sector").alias("group_type"), F.col("sector").alias("group_id"), quarter.alias("date")).agg(F.max("high").alias("top"), F.min("low").alias("floor"))
+    busy = materialize(busy, "busy")
+    groups = bars.select(quarter.alias("date")).distinct().join(F.broadcast(listed.select(F.lit("sector").alias("group_type"), F.col("sector").alias("group_id")).distinct()))  # sectors are few
+    out = group_panels.with_group_external(groups, busy.drop("floor"), ["top"])
+    return _rounded(group_panels.with_group_external(out, busy.drop("top").withColumnRenamed("date", "available_date"), ["floor"]))
+
+
+@query(
+    "scale_profile",
+    """WITH t AS (SELECT 'prices' AS data, count(*) AS rows, count(DISTINCT l_suppkey) AS codes, min(l_shipdate)::DATE AS first_date, max(l_shipdate)::DATE AS last_date FROM lineitem
+  UNION ALL SELECT 'fundamentals', count(*), count(DISTINCT o_custkey), min(o_orderdate)::DATE, max(o_orderdate)::DATE FROM orders)
+SELECT *, round(rows / codes, 6) AS rows_per_code, CAST(floor(rows / codes * target_codes) AS BIGINT) AS projected_rows FROM t, (SELECT unnest([1000, 4000]) AS target_codes)""",
+)
+def scale_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda df, c: df.withColumn(c, F.col(c).cast("date"))
+    tables = {"prices": (day(table(spark, sf_dir, "lineitem"), "l_shipdate"), "l_suppkey", "l_shipdate"), "fundamentals": (day(table(spark, sf_dir, "orders"), "o_orderdate"), "o_custkey", "o_orderdate")}
+    return _rounded(profile.scale_profile(tables, [1000, 4000]))
+
+
+@query(
+    "sketched_coverage",
+    """WITH e AS (SELECT count(*) AS rows, count(DISTINCT o_custkey) AS codes FROM orders WHERE year(o_orderdate) >= 1996),
+q AS (SELECT unnest([0.1, 0.5, 0.9]) AS share) SELECT q.share, e.rows, true AS codes_within, true AS value_within FROM e, q""",
+)
+def sketched_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from 1996 on, profiled from sketches by year, and whether each estimate keeps to its stated error."""
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    shares = [0.1, 0.5, 0.9]
+    slices = materialize(profile.sketch_slices(orders, "year", "o_custkey", "o_totalprice"), "slices")
+    told = profile.merged_profile(slices.where("year >= 1996"), shares)
+    recent = orders.where("year >= 1996").join(F.broadcast(told))  # one row
+    near = lambda s: F.avg((F.col("o_totalprice") <= F.col(f"p{round(100 * s):02d}")).cast("double"))
+    truth = recent.agg(F.count_distinct("o_custkey").alias("true_codes"), F.first("rows").alias("rows"), F.first("codes").alias("codes"), F.first("code_error").alias("code_error"), F.first("rank_error").alias("rank_error"), *[near(s).alias(f"r{i}") for i, s in enumerate(shares)])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"r{i}").alias("rank")) for i, s in enumerate(shares)])).alias("x")
+    slack = F.col("rank_error") + 1 / F.col("rows")
+    return truth.select("*", each).select("x.share", "rows", (F.abs(F.col("codes") - F.col("true_codes")) <= F.col("code_error") * F.col("true_codes")).alias("codes_within"), (F.abs(F.col("x.rank") - F.col("x.share")) <= slack).alias("value_within"))
