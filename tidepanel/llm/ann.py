@@ -8,6 +8,7 @@ bounded size, and each block reranks exactly and keeps a query's nearest rows, s
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -135,7 +136,7 @@ def _entries(hashing: Hashing, probing: bool):
 
 
 def _nearest(width: int, k: int):
-    """The k nearest of a block's rows for each of its probes, own ids left out."""
+    """The k nearest of a block's rows for each of its probes, own ids left out; a probe is told by its id and its vector's digest."""
 
     def run(rows: pa.Table, probes: pa.Table) -> pa.Table:
         ids = rows["id"].to_numpy(), probes["id"].to_numpy()
@@ -152,7 +153,8 @@ def _nearest(width: int, k: int):
                 first = np.lexsort((ids[0][at], -score))[:k]
                 found.append((np.full(len(first), i), at[first], score[first]))
         i, at, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        columns = [probes["id"].combine_chunks().take(pa.array(i)), probes["vector"].combine_chunks().take(pa.array(i)), rows["id"].combine_chunks().take(pa.array(at)), pa.array(score)]
+        marks = pa.array([hashlib.md5(v).digest() for v in probes["vector"].to_pylist()], pa.binary())
+        columns = [probes["id"].combine_chunks().take(pa.array(i)), marks.take(pa.array(i)), rows["id"].combine_chunks().take(pa.array(at)), pa.array(score)]
         return pa.table(columns, names=["query_id", "query", "vec_id", "score"])
 
     return run
@@ -200,10 +202,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 5, id_co
     drop_tables(probes, rows)
     served = found.groupBy("query_id", "query").agg(F.count(F.lit(1)).alias("got")).where(F.col("got") >= k)
     one = Hashing(hashing.width, (1,), 1)
-    alone = asked.mapInArrow(_entries(one, False), schema).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    short = materialize(alone.join(served, ["query_id", "query"], "left_anti").select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), F.col("query_id").alias("id"), F.col("query").alias("vector")), "ann-short")
+    alone = asked.mapInArrow(_entries(one, False), schema).select(F.col("id").alias("query_id"), F.unhex(F.md5("vector")).alias("query"), "vector")
+    short = materialize(alone.join(served, ["query_id", "query"], "left_anti").select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), F.col("query_id").alias("id"), "vector", "query"), "ann-short")
     if not short.isEmpty():
         whole = entered.where("table = 0").withColumn("bucket", F.lit(0).cast("long"))
-        rest = materialize(_in_blocks(whole, short, hashing.width, k), "ann-rest")
-        found = found.join(short.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), ["query_id", "query"], "left_anti").unionByName(rest)
+        rest = materialize(_in_blocks(whole, short.drop("query"), hashing.width, k), "ann-rest")
+        found = found.join(short.select(F.col("id").alias("query_id"), "query"), ["query_id", "query"], "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")
