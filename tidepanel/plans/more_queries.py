@@ -9,6 +9,7 @@ from tidepanel.operators.market_calendar import offset_date, with_calendar_index
 from tidepanel.plans import contracts as ct, diagnostics as dg, panels, research, snapshots as sn
 from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, MEMBERSHIP_SQL
 from tidepanel.plans.queries import MOM_FORWARD_SQL, SPINE_SQL, UNIVERSE_SQL, WITH, _groups, _market, _rounded, _universe, query
+from tidepanel.session import materialize
 
 SNAPSHOT_DATES = ("1994-01-31", "1996-01-31", "1997-06-30")
 SNAPSHOTS_SQL = f"""{LISTINGS_SQL},
@@ -202,7 +203,7 @@ def _observed(spark, sf_dir) -> DataFrame:
     prices, calendar, dates = _market(spark, sf_dir)
     rows = panels.skip_return(panels.spine(dates, prices), prices, calendar, 126, 21, "factor")
     out = research.forward_returns(rows, prices, calendar, 21).withColumns({"factor": F.round("factor", 8), "forward_return": F.round("forward_return", 8)})
-    return out.join(ct.listings(spark, sf_dir).select("code", "market"), "code")
+    return materialize(out.join(ct.listings(spark, sf_dir).select("code", "market"), "code"), "observed")
 
 
 OBSERVED_SQL = f"{MOM_FORWARD_SQL}, {LISTINGS_SQL}, ob AS (SELECT obs.*, market FROM obs JOIN listings USING (code))"

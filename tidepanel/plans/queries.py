@@ -568,7 +568,7 @@ def _groups(spark, sf_dir) -> tuple[DataFrame, ...]:
     prices, _, dates = _market(spark, sf_dir)
     dates = dates.withColumnRenamed("rebalance_date", "date")
     members = ct.membership(spark, sf_dir)
-    return research.basket_returns(members, prices, dates), members, dates, prices
+    return materialize(research.basket_returns(members, prices, dates), "baskets"), members, dates, prices
 
 
 @query("group_basket_returns", f"""{BASKET_SQL} SELECT date, group_type, group_id, round(basket_return, 6) AS basket_return, round(coverage, 6) AS coverage, CAST(missing AS BIGINT) AS missing, round(turnover, 6) AS turnover, round(top_weight, 6) AS top_weight, round(concentration, 6) AS concentration, members FROM baskets""")
