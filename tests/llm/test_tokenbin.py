@@ -43,3 +43,13 @@ def test_cache_is_bounded(monkeypatch):
     whole = tokenizers.Tokenizer.from_file(path)
     for text in ("one two three four five", "six one seven two", "eight one five"):
         assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_any_tokenizer_gives_the_librarys_ids(name):
+    path = public.path(name)
+    whole, encoder = tokenizers.Tokenizer.from_file(path), tokenbin.WordEncoder(path, "<u4")
+    texts = ["two words  here", "", " a\tb\n\nc ", "l'été  中文", "very long text, " * 70_000]
+    assert encoder.splits == name.startswith("word")
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -35,14 +35,20 @@ class WordEncoder:
 
     A tokenizer that drops white space and never joins what it separates, like word_bpe_49k, encodes
     a text to the joined encodings of its ASCII-space separated pieces. Pieces are encoded in batches,
-    and their ids kept as bytes; the cache is emptied when it holds WORDS_KEPT pieces.
+    and their ids kept as bytes; the cache is emptied when it holds WORDS_KEPT pieces. Any other tokenizer,
+    told by its encodings of SPACED, gets the texts whole.
     """
 
+    #: texts of words in all kinds of ASCII space, single, repeated and at the ends
+    SPACED = ("two words  here", " at\tboth\n\nends ", "a \x0b b\x0cc\rd", "It's 12 o'clock, (x) y.", "\u00e9t\u00e9 \u4e2d\u6587 caf\u00e9")
+
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {}
         self.between = self.tokenizer.token_to_id(_BETWEEN)
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.splits = all(ids(t) == [i for w in t.encode().split() for i in ids(w.decode())] for t in self.SPACED)
 
     def learn(self, words: list[bytes]) -> None:
         if len(self.known) > WORDS_KEPT:
@@ -65,6 +71,8 @@ class WordEncoder:
             self.known[w] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = [t.encode().split() for t in texts]
         new = set().union(*pieces).difference(self.known) if pieces else set()
         if new:
