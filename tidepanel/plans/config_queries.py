@@ -11,8 +11,9 @@ from tidepanel.operators.asof import asof_join
 from tidepanel.plans import allocation, attribution, checks, contracts as ct, disclosure_panels, group_panels, panels, profile, scoring
 from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, table
 from tidepanel.plans.lookback import with_price_definitions
-from tidepanel.plans.queries import FACTOR_SQL, FILTER_SQL, NAMES, RETURN_SQL, RULES, SCORE_SQL, SPINE_SQL, WEIGHTS, WITH, _market, _rounded, _universe, query
-from tidepanel.plans.snapshots import filter_disclosures
+from tidepanel.plans.more_queries import SPLIT_SQL, _splits
+from tidepanel.plans.queries import ALPHAS_SQL, FACTOR_SQL, FILTER_SQL, NAMES, PRICE_VOLUME_SQL, RULES, SCORE_SQL, SPINE_SQL, WEIGHTS, WITH, _market, _rounded, _universe, query
+from tidepanel.plans.snapshots import effective_adjusted_close, fallback_lookback, filter_disclosures
 from tidepanel.session import materialize, shared_path
 from tidepanel.sources.panel_files import read_month_panel
 
@@ -458,3 +459,28 @@ def sketched_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"r{i}").alias("rank")) for i, s in enumerate(shares)])).alias("x")
     slack = F.col("rank_error") + 1 / F.col("rows")
     return truth.select("*", each).select("x.share", "rows", (F.abs(F.col("codes") - F.col("true_codes")) <= F.col("code_error") * F.col("true_codes")).alias("codes_within"), (F.abs(F.col("x.rank") - F.col("x.share")) <= slack).alias("value_within"))
+
+
+# ---------------------------------------------------------------- price-volume flags
+
+_ROLLED = "OVER (PARTITION BY code ORDER BY date ROWS {} PRECEDING)"
+
+
+@query(
+    "price_volume_flags",
+    f"""{PRICE_VOLUME_SQL}, {SPLIT_SQL}, fb AS (SELECT code, date, adjusted_close IS NULL AS fallback, sum((adjusted_close IS NULL)::INT) {_ROLLED.format(20)} AS used FROM splits),
+own AS (SELECT code, date, volume >= 49 AS at_limit, CASE WHEN count(*) {_ROLLED.format(19)} = 20 THEN avg(trading_value) {_ROLLED.format(19)} END AS adv20, CASE WHEN count(*) {_ROLLED.format(59)} = 60 THEN avg(trading_value) {_ROLLED.format(59)} END AS adv60,
+  trading_value AS dollar_volume, trading_value / volume AS vwap_proxy, close / open - 1 AS intraday_return, close / (trading_value / volume) - 1 AS close_to_vwap, high / low - 1 AS high_low_range FROM prices),
+j AS (SELECT s.rebalance_date, s.code AS c, a.*, a.date AS price_date FROM spine s ASOF LEFT JOIN a ON a.code = s.code AND a.date <= s.rebalance_date)
+SELECT j.rebalance_date, j.c AS code, j.price_date, round(own.dollar_volume, 4) AS dollar_volume, round(own.adv20, 4) AS adv20, round(own.adv60, 4) AS adv60, round(own.vwap_proxy, 6) AS vwap_proxy, 0.0 + round(own.intraday_return, 6) AS intraday_return, 0.0 + round(own.close_to_vwap, 6) AS close_to_vwap, 0.0 + round(own.high_low_range, 6) AS high_low_range,
+  concat_ws(';', CASE WHEN j.price_date IS NULL THEN 'missing_price_on_or_before_rebalance' END, {', '.join(f"CASE WHEN alpha_{k} IS NULL THEN 'alpha_{k}' END" for k in ALPHAS_SQL)}) AS missing_flags,
+  concat_ws(';', CASE WHEN own.at_limit THEN 'price_limit_flag' END, CASE WHEN own.adv20 IS NULL THEN 'insufficient_adv20' END, CASE WHEN own.adv60 IS NULL THEN 'insufficient_adv60' END, CASE WHEN fb.used > 0 THEN 'adjusted_close_fallback_used' END) AS coverage_flags
+FROM j LEFT JOIN own ON own.code = j.c AND own.date = j.price_date LEFT JOIN fb ON fb.code = j.c AND fb.date = j.price_date""",
+)
+def price_volume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices, _, dates = _market(spark, sf_dir)
+    effective = fallback_lookback(effective_adjusted_close(_splits(spark, sf_dir))).select("code", "date", "effective_close_flag", "fallback_lookback_count")
+    bars = prices.join(effective, ["code", "date"]).withColumn("price_limit_flag", F.when(F.col("volume") >= 49, "yes").otherwise("no"))
+    out = panels.price_volume_report(bars, dates)
+    measures = ["dollar_volume", "adv20", "adv60", "vwap_proxy", "intraday_return", "close_to_vwap", "high_low_range"]
+    return out.select("rebalance_date", "code", "price_date", *[(F.round(c, 4 if c in measures[:3] else 6) + 0.0).alias(c) for c in measures], "missing_flags", "coverage_flags")

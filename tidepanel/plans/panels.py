@@ -13,6 +13,7 @@ from tidepanel.operators.asof import asof_join, latest_per_key
 from tidepanel.operators.cross_section import FilterRule, apply_filters, order_rank, rank_pct, weighted_score, winsorized_z
 from tidepanel.operators.market_calendar import offset_date, with_calendar_index
 from tidepanel.operators.merge import merge_panels
+from tidepanel.plans.snapshots import price_volume_flags
 
 
 def spine(rebalances: DataFrame, codes: DataFrame) -> DataFrame:
@@ -282,6 +283,27 @@ def price_volume_panel(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
     return joined.where("price_date is not null")
 
 
+def price_volume_report(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """Every code at every rebalance date with its latest bar's proxies, the bar's own measures, and flags of what is missing or thin.
+
+    bars also carry effective_close_flag, fallback_lookback_count and price_limit_flag. A code without a bar by then keeps its row.
+    """
+    extra = ["effective_close_flag", "fallback_lookback_count", "price_limit_flag"]
+    kept = trimmed(bars, rebalances)
+    features, v, money = daily_features(kept.drop(*extra)), F.col("volume"), F.col("trading_value")
+    alphas = proxy_alphas(features)
+    names = [c for c in alphas.columns if c.startswith("alpha_")]
+    order, c, vwap = win.by_code(), F.col("close"), safe_ratio(money, v)
+    dollar = F.coalesce(money, c * v)
+    own = kept.select(
+        "code", "date", *extra, dollar.alias("dollar_volume"), win.rolling(dollar, 20, "mean", order).alias("adv20"), win.rolling(dollar, 60, "mean", order).alias("adv60"), vwap.alias("vwap_proxy"),
+        (safe_ratio(c, F.col("open")) - 1).alias("intraday_return"), (safe_ratio(c, vwap) - 1).alias("close_to_vwap"), (safe_ratio(F.col("high"), F.col("low")) - 1).alias("high_low_range"),
+        F.when(v.isNull(), "missing_volume").when(v == 0, "zero_volume").when(money.isNull(), "missing_trading_value").otherwise("").alias("vwap_proxy_flag"),
+    )
+    rows = alphas.select("code", "date", *names).join(own, ["code", "date"]).withColumnRenamed("date", "price_date")
+    return price_volume_flags(asof_join(spine(rebalances, bars), rows, ["code"], "rebalance_date", "price_date"), names)
+
+
 WINDOWS = {"3m": 63, "6m": 126, "12m": 252}
 YEAR = 252
 
