@@ -14,6 +14,7 @@ from tidepanel.operators.cross_section import FilterRule, apply_filters, order_r
 from tidepanel.operators.market_calendar import offset_date, with_calendar_index
 from tidepanel.operators.merge import merge_panels
 from tidepanel.plans.snapshots import price_volume_flags
+from tidepanel.session import materialize
 
 
 def spine(rebalances: DataFrame, codes: DataFrame) -> DataFrame:
@@ -227,13 +228,19 @@ def daily_features(prices: DataFrame) -> DataFrame:
     })
 
 
-def trimmed(prices: DataFrame, rebalances: DataFrame, rows: int = 80) -> DataFrame:
-    """Of each code the bars that are among its last `rows` at some rebalance date.
+def latest_bars(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
+    """(rebalance_date, code, price_date, number): each code's latest bar by each date, and its number within the code."""
+    numbered = prices.select("code", F.col("date").alias("price_date"), F.row_number().over(win.by_code()).alias("number"))
+    return asof_join(spine(rebalances, prices), numbered, ["code"], "rebalance_date", "price_date").where("number is not null")
+
+
+def trimmed(prices: DataFrame, rebalances: DataFrame, rows: int = 80, latest: DataFrame | None = None) -> DataFrame:
+    """Of each code the bars that are among its last `rows` at some rebalance date; `latest` are the latest_bars(), if known.
 
     Cross-sections rank only what is kept, so this is part of the result and not only a saving.
     """
     numbered = prices.withColumn("__rn", F.row_number().over(win.by_code()))
-    last = asof_join(spine(rebalances, prices), numbered.select("code", "date", F.col("__rn").alias("__last")), ["code"], "rebalance_date", "date").where("__last is not null").select("code", "__last").distinct()
+    last = (latest_bars(prices, rebalances) if latest is None else latest).select("code", F.col("number").alias("__last")).distinct()
     #: ranges (last - rows, last] as edges, kept where the running sum is positive
     edges = last.select("code", (F.col("__last") - rows + 1).alias("__rn"), F.lit(1).alias("__edge")).unionByName(last.select("code", (F.col("__last") + 1).alias("__rn"), F.lit(-1).alias("__edge")))
     merged = numbered.withColumn("__edge", F.lit(0)).withColumn("__row", F.lit(1)).unionByName(edges.withColumn("__row", F.lit(0)), allowMissingColumns=True)
@@ -276,11 +283,17 @@ def proxy_alphas(features: DataFrame, digits: int = 10) -> DataFrame:
     return f.select("code", "date", *[x.alias(f"alpha_{k}") for k, x in alphas.items()])
 
 
+def _dated_proxies(kept: DataFrame, latest: DataFrame) -> DataFrame:
+    """The proxies of the days that hold a latest bar; other days' sections are not ranked."""
+    days = latest.select(F.col("price_date").alias("date")).distinct()
+    return proxy_alphas(daily_features(kept).join(F.broadcast(days), "date", "left_semi"))  # days are no more than the calendar's
+
+
 def price_volume_panel(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
     """The proxies at each code's latest bar as of each rebalance date."""
-    alphas = proxy_alphas(daily_features(trimmed(prices, rebalances)))
-    joined = asof_join(spine(rebalances, prices), alphas.withColumnRenamed("date", "price_date"), ["code"], "rebalance_date", "price_date")
-    return joined.where("price_date is not null")
+    latest = materialize(latest_bars(prices, rebalances), "latest-bars")  # read by three legs
+    alphas = _dated_proxies(trimmed(prices, rebalances, latest=latest), latest)
+    return latest.drop("number").join(alphas.withColumnRenamed("date", "price_date"), ["code", "price_date"])
 
 
 def price_volume_report(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
@@ -289,9 +302,9 @@ def price_volume_report(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
     bars also carry effective_close_flag, fallback_lookback_count and price_limit_flag. A code without a bar by then keeps its row.
     """
     extra = ["effective_close_flag", "fallback_lookback_count", "price_limit_flag"]
-    kept = trimmed(bars, rebalances)
-    features, v, money = daily_features(kept.drop(*extra)), F.col("volume"), F.col("trading_value")
-    alphas = proxy_alphas(features)
+    latest = materialize(latest_bars(bars, rebalances), "latest-bars")
+    kept, v, money = materialize(trimmed(bars, rebalances, latest=latest), "kept-bars"), F.col("volume"), F.col("trading_value")
+    alphas = _dated_proxies(kept.drop(*extra), latest)
     names = [c for c in alphas.columns if c.startswith("alpha_")]
     order, c, vwap = win.by_code(), F.col("close"), safe_ratio(money, v)
     dollar = F.coalesce(money, c * v)
@@ -300,8 +313,9 @@ def price_volume_report(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
         (safe_ratio(c, F.col("open")) - 1).alias("intraday_return"), (safe_ratio(c, vwap) - 1).alias("close_to_vwap"), (safe_ratio(F.col("high"), F.col("low")) - 1).alias("high_low_range"),
         F.when(v.isNull(), "missing_volume").when(v == 0, "zero_volume").when(money.isNull(), "missing_trading_value").otherwise("").alias("vwap_proxy_flag"),
     )
-    rows = alphas.select("code", "date", *names).join(own, ["code", "date"]).withColumnRenamed("date", "price_date")
-    return price_volume_flags(asof_join(spine(rebalances, bars), rows, ["code"], "rebalance_date", "price_date"), names)
+    rows = latest.drop("number").join(alphas.select(F.col("date").alias("price_date"), "code", *names), ["code", "price_date"]).join(own.withColumnRenamed("date", "price_date"), ["code", "price_date"])
+    every = spine(rebalances, bars).join(rows, ["rebalance_date", "code"], "left")
+    return price_volume_flags(every, names)
 
 
 WINDOWS = {"3m": 63, "6m": 126, "12m": 252}
