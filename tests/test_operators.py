@@ -88,7 +88,7 @@ def test_every_filter_rule(spark, rule, out):
 
 
 def test_bad_rules():
-    for args in (("x", "drop"), ("x", "exclude_top_pct", 100), ("x", "exclude_in", "a")):
+    for args in (("x", "drop"), ("x", "exclude_top_pct", 0), ("x", "exclude_top_pct", 100.5), ("x", "exclude_in", "a")):
         with pytest.raises(ValueError):
             xs.FilterRule(*args)
 
