@@ -9,11 +9,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidepanel.plans import more_queries  # noqa: F401  adds to QUERIES and SQL
+from tidepanel.plans import config_queries, more_queries  # noqa: F401  add to QUERIES and SQL
 from tidepanel.plans.queries import QUERIES, SQL
 
 PLACE = "/root/testdata/sf0.001"
-NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values", "group_signals", "pit_snapshot_universe", "rebalance_disclosures", "grouped_diagnostics", "universe_profile"]
+NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values", "group_signals", "pit_snapshot_universe", "rebalance_disclosures", "grouped_diagnostics", "universe_profile", "strict_universe_panel", "contract_checks", "memberships_by_mode", "group_allocation_constraints", "rebalance_fundamentals", "lookback_expressions"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(PLACE), reason="the driver's tables are absent")
 
 
@@ -37,5 +37,5 @@ def test_query_equals_its_sql(spark, database, name):
     ours = QUERIES[name](spark, PLACE)
     columns = sorted(ours.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in ours.collect()), key=repr)
-    found = database.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    found = database.execute("SELECT {} FROM ({})".format(", ".join(f'"{c}"' for c in columns), SQL[name])).fetchall()
     assert got == sorted((tuple(plain(x) for x in r) for r in found), key=repr)
