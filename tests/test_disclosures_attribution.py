@@ -6,7 +6,7 @@ from datetime import date
 
 import pytest
 
-from tidepanel.plans import attribution, disclosure_panels as dp, panels, research
+from tidepanel.plans import attribution, diagnostics as dg, disclosure_panels as dp, panels, research
 
 D = date
 FIELDS = "code string, available_date date, available_time string, period_end date, period_type string, document_type string, disclosure_number string, consolidated_flag string, sales double, operating_profit double, net_profit double, equity double, total_assets double, shares double, cash double, debt double, liabilities double, market_cap double"
@@ -122,3 +122,11 @@ def test_contributions_and_places(spark):
     got = {r["code"]: r for r in rows.collect()}
     assert (got["a"]["top_rank"], got["c"]["top_rank"], got["b"]["bottom_rank"], got["d"]["top_rank"]) == (1, 2, 1, None) and got["d"]["contribution"] is None
     assert sorted((r["side"], r["place"], r["code"]) for r in attribution.top_and_bottom(rows, ["date"], 1).collect()) == [("bottom", 1, "b"), ("top", 1, "a")]
+
+
+def test_tails_of_a_date_without_observations(spark):
+    rows = [(1, c, float(i), float(i)) for i, c in enumerate("abcd")] + [(1, "e", None, 1.0), (2, "a", 1.0, None), (3, "a", 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "rebalance_date int, code string, x double, forward_return double")
+    got = {r["rebalance_date"]: tuple(r)[1:] for r in dg.tail_spread(df, "x", 0.5, ["rebalance_date"]).collect()}
+    short = "insufficient_non_overlapping_observations"
+    assert got == {1: (4, 2, "ok", 2.5, 0.5, 2.0), 2: (0, 0, short, None, None, None), 3: (1, 1, short, None, None, None)}

@@ -82,16 +82,19 @@ def snapshot_members(members: DataFrame, rebalances: DataFrame) -> DataFrame:
 
 
 def tail_spread(rows: DataFrame, factor: str, share: float, by: list[str]) -> DataFrame:
-    """Means of the top and bottom ceil(n x share) by factor and their spread; no means where the tails would overlap."""
-    seen = rows.where(F.col(factor).isNotNull() & F.col("forward_return").isNotNull())
-    order = Window.partitionBy(*by)
-    n = F.count(F.lit(1)).over(order)
-    placed = seen.select(*by, "forward_return", n.alias("n"), F.row_number().over(order.orderBy(F.col(factor).desc(), "code")).alias("i")).withColumn("size", F.greatest(F.lit(1), F.ceil(F.col("n") * share)))
-    ok = F.col("n") >= 2 * F.col("size")
+    """Means of the top and bottom ceil(n x share) by factor and their spread; no means where the tails would overlap.
+
+    A section without an observation has buckets of 0 and is insufficient.
+    """
+    seen = F.col(factor).isNotNull() & F.col("forward_return").isNotNull()
+    section = rows.select(*by, "code", factor, "forward_return", seen.alias("seen"), F.count_if(seen).over(Window.partitionBy(*by)).alias("n"))
+    place = F.when(F.col("seen"), F.row_number().over(Window.partitionBy(*by, "seen").orderBy(F.col(factor).desc(), "code")))
+    placed = section.withColumn("i", place).withColumn("size", F.when(F.col("n") > 0, F.greatest(F.lit(1), F.ceil(F.col("n") * share))).otherwise(F.lit(0)))
+    ok = (F.col("n") > 0) & (F.col("n") >= 2 * F.col("size"))
     mean = lambda c: F.avg(F.when(ok & c, F.col("forward_return")))
     top, bottom = mean(F.col("i") <= F.col("size")), mean(F.col("i") > F.col("n") - F.col("size"))
     status = F.when(F.bool_and(ok), "ok").otherwise("insufficient_non_overlapping_observations")
-    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("observations"), F.max("size").alias("bucket_size"), status.alias("bucket_status"), top.alias("top_return"), bottom.alias("bottom_return"), (top - bottom).alias("spread"))
+    return placed.groupBy(*by).agg(F.count("i").alias("observations"), F.max("size").alias("bucket_size"), status.alias("bucket_status"), top.alias("top_return"), bottom.alias("bottom_return"), (top - bottom).alias("spread"))
 
 
 def grouped_diagnostics(rows: DataFrame, factor: str, group: str, digits: int = 8) -> DataFrame:

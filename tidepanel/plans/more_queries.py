@@ -212,8 +212,8 @@ OBSERVED_SQL = f"{MOM_FORWARD_SQL}, {LISTINGS_SQL}, ob AS (SELECT obs.*, market
 @query(
     "tail_spread",
     f"""{MOM_FORWARD_SQL}, r AS (SELECT rebalance_date, y, row_number() OVER (PARTITION BY rebalance_date ORDER BY x DESC, code) AS i, count(*) OVER (PARTITION BY rebalance_date) AS n FROM obs WHERE x IS NOT NULL), z AS (SELECT *, greatest(1, CAST(ceil(n * 0.3::DOUBLE) AS BIGINT)) AS size FROM r)
-SELECT rebalance_date, count(*) AS observations, max(size) AS bucket_size, CASE WHEN max(n) >= 2 * max(size) THEN 'ok' ELSE 'insufficient_non_overlapping_observations' END AS bucket_status,
-  round(avg(y) FILTER (n >= 2 * size AND i <= size), 6) AS top_return, round(avg(y) FILTER (n >= 2 * size AND i > n - size), 6) AS bottom_return FROM z GROUP BY rebalance_date""",
+SELECT d.rebalance_date, count(z.i) AS observations, coalesce(max(size), 0) AS bucket_size, CASE WHEN max(n) >= 2 * max(size) THEN 'ok' ELSE 'insufficient_non_overlapping_observations' END AS bucket_status,
+  round(avg(y) FILTER (n >= 2 * size AND i <= size), 6) AS top_return, round(avg(y) FILTER (n >= 2 * size AND i > n - size), 6) AS bottom_return FROM (SELECT DISTINCT rebalance_date FROM obs) d LEFT JOIN z USING (rebalance_date) GROUP BY d.rebalance_date""",
 )
 def tails(spark, sf_dir):
     return _rounded(dg.tail_spread(_observed(spark, sf_dir), "factor", 0.3, ["rebalance_date"]).drop("spread"))
