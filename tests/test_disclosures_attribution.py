@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.plans import attribution, diagnostics as dg, disclosure_panels as dp, panels, research
 
@@ -130,3 +131,22 @@ def test_tails_of_a_date_without_observations(spark):
     got = {r["rebalance_date"]: tuple(r)[1:] for r in dg.tail_spread(df, "x", 0.5, ["rebalance_date"]).collect()}
     short = "insufficient_non_overlapping_observations"
     assert got == {1: (4, 2, "ok", 2.5, 0.5, 2.0), 2: (0, 0, short, None, None, None), 3: (1, 1, short, None, None, None)}
+
+
+def test_statuses_and_counters_of_forward_returns(spark):
+    days = [D(2020, 1, d) for d in range(1, 9)]
+    calendar = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, cal_idx int")
+    closes = {"a": {1: 1.0, 3: 2.0}, "b": {1: 1.0, 2: 1.0}, "c": {1: 1.0, 8: 1.0}, "d": {2: 1.0, 8: 3.0}, "e": {1: -1.0}}
+    prices = spark.createDataFrame([(c, D(2020, 1, d), x) for c, s in closes.items() for d, x in s.items()], "code string, date date, close double")
+    probes = spark.createDataFrame([(D(2020, 1, 1), c, 1.0) for c in "abcdef"] + [(D(2020, 1, 8), "d", 1.0), (D(2020, 1, 9), "d", None)], "rebalance_date date, code string, x double")
+    rows = research.forward_returns(probes, prices, calendar, 2)
+    got = {(r["rebalance_date"].day, r["code"]): (r["forward_return"], r["forward_status"]) for r in rows.collect()}
+    assert got == {
+        (1, "a"): (1.0, "ok"), (1, "b"): (None, "price_tail_gap"), (1, "c"): (None, "missing_exit_price"), (1, "d"): (None, "missing_start_price"), (1, "e"): (None, "missing_price_history"),
+        (1, "f"): (None, "missing_price_history"), (8, "d"): (None, "insufficient_forward_window"), (9, "d"): (None, "missing_start_price"),
+    }
+    counted = {r["rebalance_date"].day: r for r in research.factor_diagnostics(rows, "x").collect()}
+    assert (counted[1]["missing_forward"], counted[1]["missing_price_history"], counted[1]["price_tail_gap"]) == (5, 2, 1)
+    assert (counted[9]["missing_factor"], counted[9]["missing_forward"], counted[8]["insufficient_forward_window"]) == (1, 0, 1)
+    events = {r["code"]: r["forward_status"] for r in research.forward_returns(probes.where("rebalance_date <> date'2020-01-01'").withColumn("code", F.concat("code", F.dayofmonth("rebalance_date").cast("string"))), prices, calendar, 2, of_events=True).collect()}
+    assert events == {"d8": "missing_entry_price", "d9": "missing_entry_date"}

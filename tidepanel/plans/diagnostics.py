@@ -104,7 +104,7 @@ def grouped_diagnostics(rows: DataFrame, factor: str, group: str, digits: int =
     x = rows.withColumn("__x", F.when(both, F.round(factor, digits))).withColumn("__y", F.when(both, F.round("forward_return", digits)))
     x = x.select(*by, factor, "forward_status", "__x", "__y", average_rank("__x", by).alias("__rx"), average_rank("__y", by).alias("__ry"))
     n, seen = F.count(F.lit(1)), F.count("__x")
-    return x.groupBy(*by).agg(n.alias("n_rows"), seen.alias("observations"), (seen / n).alias("coverage"), F.sum(F.col(factor).isNull().cast("long")).alias("missing_factor"), F.sum((F.col("forward_status") != "ok").cast("long")).alias("missing_forward_return"), safe_corr(F.col("__x"), F.col("__y")).alias("pearson_ic"), safe_corr(F.col("__rx"), F.col("__ry")).alias("rank_ic"))
+    return x.groupBy(*by).agg(n.alias("n_rows"), seen.alias("observations"), (seen / n).alias("coverage"), F.sum(F.col(factor).isNull().cast("long")).alias("missing_factor"), F.count_if(F.col(factor).isNotNull() & (F.col("forward_status") != "ok")).alias("missing_forward_return"), safe_corr(F.col("__x"), F.col("__y")).alias("pearson_ic"), safe_corr(F.col("__rx"), F.col("__ry")).alias("rank_ic"))
 
 
 def neutral_quantiles(rows: DataFrame, factor: str, group: str, buckets: int = 5) -> DataFrame:

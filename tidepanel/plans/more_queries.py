@@ -221,7 +221,7 @@ def tails(spark, sf_dir):
 
 GROUPED_SQL = f"""{OBSERVED_SQL},
 k AS (SELECT *, rank() OVER (PARTITION BY rebalance_date, market, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY rebalance_date, market, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rebalance_date, market, y IS NULL ORDER BY y) + (count(*) OVER (PARTITION BY rebalance_date, market, y) - 1) / 2.0 AS ry FROM ob),
-gd AS (SELECT rebalance_date, market, count(*) AS n_rows, count(x) AS observations, count(x) / count(*) AS coverage, count(*) FILTER (factor IS NULL) AS missing_factor, count(*) FILTER (forward_status <> 'ok') AS missing_forward_return,
+gd AS (SELECT rebalance_date, market, count(*) AS n_rows, count(x) AS observations, count(x) / count(*) AS coverage, count(*) FILTER (factor IS NULL) AS missing_factor, count(*) FILTER (factor IS NOT NULL AND forward_status <> 'ok') AS missing_forward_return,
   CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END AS pearson_ic,
   CASE WHEN stddev_samp(rx) FILTER (x IS NOT NULL) * stddev_samp(ry) FILTER (x IS NOT NULL) > 0 THEN covar_samp(rx, ry) FILTER (x IS NOT NULL) / (stddev_samp(rx) FILTER (x IS NOT NULL) * stddev_samp(ry) FILTER (x IS NOT NULL)) END AS rank_ic FROM k GROUP BY ALL)"""
 

@@ -488,7 +488,7 @@ FORWARD_SQL = """tail AS (SELECT code, max(date) AS t FROM prices WHERE close >
 fwd AS (SELECT s.*, c0.date AS d0, c1.date AS d1, p0.close AS p0, p1.close AS p1, tail.t FROM {base} s
   LEFT JOIN calendar c0 ON c0.cal_idx = (SELECT min(cal_idx) FROM calendar WHERE date >= s.rebalance_date) LEFT JOIN calendar c1 ON c1.cal_idx = c0.cal_idx + 21
   LEFT JOIN prices p0 ON p0.code = s.code AND p0.date = c0.date AND p0.close > 0 LEFT JOIN prices p1 ON p1.code = s.code AND p1.date = c1.date AND p1.close > 0 LEFT JOIN tail ON tail.code = s.code),
-forward AS (SELECT *, CASE WHEN d0 IS NULL THEN 'no_entry_date' WHEN d1 IS NULL THEN 'no_exit_date' WHEN p0 IS NULL THEN 'missing_entry_price' WHEN p1 IS NULL AND t < d1 THEN 'price_tail_gap' WHEN p1 IS NULL THEN 'missing_exit_price' ELSE 'ok' END AS forward_status FROM fwd)"""
+forward AS (SELECT *, CASE WHEN t IS NULL THEN 'missing_price_history' WHEN d0 IS NULL THEN 'missing_start_price' WHEN d1 IS NULL THEN 'insufficient_forward_window' WHEN p0 IS NULL THEN 'missing_start_price' WHEN p1 IS NULL AND t < d1 THEN 'price_tail_gap' WHEN p1 IS NULL THEN 'missing_exit_price' ELSE 'ok' END AS forward_status FROM fwd)"""
 
 
 @query("forward_returns", f"""{WITH}, {SPINE_SQL}, {FORWARD_SQL.format(base='spine')} SELECT rebalance_date, code, CASE WHEN forward_status = 'ok' THEN round(p1 / p0 - 1, 6) END AS forward_return, forward_status FROM forward""")
@@ -510,7 +510,7 @@ def _rank_sql(x: str) -> str:
     f"""{MOM_FORWARD_SQL},
 r AS (SELECT *, {_rank_sql('x')} AS rx, {_rank_sql('y')} AS ry, CASE WHEN x IS NOT NULL THEN ((row_number() OVER (PARTITION BY rebalance_date, x IS NULL ORDER BY x, code) - 1) * least(5, count(x) OVER (PARTITION BY rebalance_date))) // count(x) OVER (PARTITION BY rebalance_date) + 1 END AS q FROM obs),
 t AS (SELECT *, max(q) OVER (PARTITION BY rebalance_date) AS top FROM r)
-SELECT rebalance_date, count(*) AS n_rows, count(x) AS n_observations, CAST(count(*) FILTER (factor IS NULL) AS BIGINT) AS missing_factor, CAST(count(*) FILTER (forward_status <> 'ok') AS BIGINT) AS missing_forward,
+SELECT rebalance_date, count(*) AS n_rows, count(x) AS n_observations, CAST(count(*) FILTER (factor IS NULL) AS BIGINT) AS missing_factor, count(*) FILTER (factor IS NOT NULL AND forward_status <> 'ok') AS missing_forward, {', '.join(f"count(*) FILTER (factor IS NOT NULL AND forward_status = '{g}') AS {g}" for g in research.FORWARD_GAPS)},
   round(CASE WHEN stddev_samp(x) * stddev_samp(y) > 0 THEN covar_samp(x, y) / (stddev_samp(x) * stddev_samp(y)) END, 6) AS ic, 0.0 + round(CASE WHEN stddev_samp(rx) * stddev_samp(ry) > 0 THEN covar_samp(rx, ry) / (stddev_samp(rx) * stddev_samp(ry)) END, 6) AS rank_ic,
   round(avg(y) FILTER (q = top) - avg(y) FILTER (q = 1), 6) AS top_minus_bottom FROM t GROUP BY rebalance_date""",
 )
@@ -542,7 +542,7 @@ def stability(spark, sf_dir):
 j AS (SELECT e.*, p0.close AS p0, p3.close AS p3, c0.date AS d0, c3.date AS d3, t.t FROM e LEFT JOIN event_calendar c0 ON c0.cal_idx = (SELECT min(cal_idx) FROM event_calendar WHERE date >= e.anchor) LEFT JOIN event_calendar c3 ON c3.cal_idx = c0.cal_idx + 3
   LEFT JOIN event_prices p0 ON p0.code = e.code AND p0.date = c0.date AND p0.close > 0 LEFT JOIN event_prices p3 ON p3.code = e.code AND p3.date = c3.date AND p3.close > 0 LEFT JOIN (SELECT code, max(date) AS t FROM event_prices WHERE close > 0 GROUP BY code) t ON t.code = e.code)
 SELECT event_id, code, overlapping, CASE WHEN d0 IS NOT NULL AND d3 IS NOT NULL AND p0 IS NOT NULL AND p3 IS NOT NULL THEN round(p3 / p0 - 1, 5) END AS drift_3d,
-  CASE WHEN d0 IS NULL THEN 'no_entry_date' WHEN d3 IS NULL THEN 'no_exit_date' WHEN p0 IS NULL THEN 'missing_entry_price' WHEN p3 IS NULL AND t < d3 THEN 'price_tail_gap' WHEN p3 IS NULL THEN 'missing_exit_price' ELSE 'ok' END AS status_3d FROM j""",
+  CASE WHEN d0 IS NULL THEN 'missing_entry_date' WHEN p0 IS NULL THEN 'missing_entry_price' WHEN d3 IS NULL THEN 'insufficient_forward_window' WHEN p3 IS NULL AND t < d3 THEN 'price_tail_gap' WHEN p3 IS NULL THEN 'missing_exit_price' ELSE 'ok' END AS status_3d FROM j""",
 )
 def event_drift(spark, sf_dir):
     prices = ct.event_prices(spark, sf_dir)

@@ -25,11 +25,16 @@ def safe_corr(x: Column, y: Column) -> Column:
 # ---------------------------------------------------------------- forward returns
 
 
-def forward_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, holding: int, at: str = "rebalance_date") -> DataFrame:
+#: fixed values: why a forward return is missing
+FORWARD_GAPS = ("price_tail_gap", "missing_price_history", "missing_start_price", "missing_exit_price", "insufficient_forward_window")
+
+
+def forward_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, holding: int, at: str = "rebalance_date", of_events: bool = False) -> DataFrame:
     """probes with forward_return and forward_status: enter on or after the date, leave `holding` trading days later.
 
-    Prices are those of the exact dates. Status: ok, no_entry_date, no_exit_date, missing_entry_price,
-    missing_exit_price, and price_tail_gap where the code has no price from the exit on.
+    Prices are those of the exact dates, and positive. Status: ok or one of FORWARD_GAPS; price_tail_gap is a code without
+    a price from the exit on, missing_price_history one without any, and a date after the calendar's end has no start price.
+    Returns of events tell the entry first: missing_entry_date, missing_entry_price, then the rest.
     """
     rows = with_calendar_index(probes, calendar, at, "__entry", mode="on_or_after")
     rows = offset_date(offset_date(rows, calendar, "__entry", 0, "__d0"), calendar, "__entry", holding, "__d1")
@@ -39,17 +44,20 @@ def forward_returns(probes: DataFrame, prices: DataFrame, calendar: DataFrame, h
         rows = rows.join(leg, (F.col("code") == F.col(f"__code{k}")) & (F.col(f"__d{k}") == F.col(f"__date{k}")), "left")
     tail = good.groupBy(F.col("code").alias("__tail_code")).agg(F.max("date").alias("__tail"))
     rows = rows.join(tail, F.col("code") == F.col("__tail_code"), "left")
-    status = (
-        F.when(F.col("__d0").isNull(), "no_entry_date").when(F.col("__d1").isNull(), "no_exit_date").when(F.col("__p0").isNull(), "missing_entry_price")
-        .when(F.col("__p1").isNull() & (F.col("__tail") < F.col("__d1")), "price_tail_gap").when(F.col("__p1").isNull(), "missing_exit_price").otherwise("ok")
-    )
+    gap = F.when(F.col("__p1").isNull() & (F.col("__tail") < F.col("__d1")), "price_tail_gap").when(F.col("__p1").isNull(), "missing_exit_price").otherwise("ok")
+    start, end = F.col("__p0").isNull(), F.col("__d1").isNull()
+    if of_events:
+        status = F.when(F.col("__d0").isNull(), "missing_entry_date").when(start, "missing_entry_price").when(end, "insufficient_forward_window").otherwise(gap)
+    else:
+        status = F.when(F.col("__tail").isNull(), "missing_price_history").when(F.col("__d0").isNull(), "missing_start_price").when(end, "insufficient_forward_window").when(start, "missing_start_price").otherwise(gap)
     return rows.select(*probes.columns, F.when(status == "ok", safe_ratio(F.col("__p1"), F.col("__p0")) - 1).alias("forward_return"), status.alias("forward_status"))
 
 
 def factor_diagnostics(rows: DataFrame, factor: str, buckets: int = 5, digits: int = 8) -> DataFrame:
     """A row for each date: counts, information coefficients and the spread of the outer buckets.
 
-    rows: (rebalance_date, code, <factor>, forward_return, forward_status). Values are rounded before ranking.
+    rows: (rebalance_date, code, <factor>, forward_return, forward_status). Values are rounded before ranking. Rows without
+    the factor count as such alone; of the others missing_forward counts those without a return, and one column each why.
     """
     both = F.col(factor).isNotNull() & F.col("forward_return").isNotNull()
     rows = rows.withColumn("__x", F.when(both, F.round(factor, digits))).withColumn("__y", F.when(both, F.round("forward_return", digits)))
@@ -57,11 +65,13 @@ def factor_diagnostics(rows: DataFrame, factor: str, buckets: int = 5, digits: i
     rows = rows.select("rebalance_date", factor, "forward_status", "__x", "__y", average_rank("__x", by).alias("__rx"), average_rank("__y", by).alias("__ry"), quantile_bucket("__x", "code", by, buckets).alias("__q"))
     top = F.max("__q").over(Window.partitionBy(*by))
     rows = rows.withColumn("__top", top)
+    lacks = F.col(factor).isNotNull() & (F.col("forward_status") != "ok")
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("__x").alias("n_observations"),
         F.sum(F.col(factor).isNull().cast("long")).alias("missing_factor"),
-        F.sum((F.col("forward_status") != "ok").cast("long")).alias("missing_forward"),
+        F.count_if(lacks).alias("missing_forward"),
+        *[F.count_if(lacks & (F.col("forward_status") == g)).alias(g) for g in FORWARD_GAPS],
         safe_corr(F.col("__x"), F.col("__y")).alias("ic"),
         safe_corr(F.col("__rx"), F.col("__ry")).alias("rank_ic"),
         (F.avg(F.when(F.col("__q") == F.col("__top"), F.col("__y"))) - F.avg(F.when(F.col("__q") == 1, F.col("__y")))).alias("top_minus_bottom"),
@@ -95,7 +105,7 @@ def event_drift(events: DataFrame, prices: DataFrame, calendar: DataFrame, windo
     near = Window.partitionBy("code").orderBy(F.unix_date(day)).rangeBetween(-5, 5)
     rows = events.withColumn("anchor", F.when(late, F.date_add(day, 1)).otherwise(day)).withColumn("overlapping", F.count(F.lit(1)).over(near) - 1)
     for w in windows:
-        rows = forward_returns(rows, prices, calendar, w, at="anchor").withColumnsRenamed({"forward_return": f"drift_{w}d", "forward_status": f"status_{w}d"})
+        rows = forward_returns(rows, prices, calendar, w, at="anchor", of_events=True).withColumnsRenamed({"forward_return": f"drift_{w}d", "forward_status": f"status_{w}d"})
     return rows
 
 
