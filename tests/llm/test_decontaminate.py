@@ -101,3 +101,45 @@ def test_seeds_lose_no_edited_copy_against_all_pairs(spark):
     assert {p: r["score"] for p, r in got.items() if p[0] != "long"} == want
     assert (got["twice", "1"]["first_word"], got["twice", "1"]["end_word"]) == (0, len(items[1]))
     assert got["long", "2"]["score"] == 1.0
+
+
+def test_phrases_of_many_items_align_no_pairs(spark):
+    rng = random.Random(5)
+    phrase = "which of the following is true".split()
+    items = {i: [f"q{rng.randrange(3000)}" for _ in range(15)] + phrase + [f"q{rng.randrange(3000)}" for _ in range(9)] for i in range(100)}
+    rows = [[f"d{rng.randrange(3000)}" for _ in range(20)] + phrase + [f"d{rng.randrange(3000)}" for _ in range(20)] for _ in range(400)]
+    for d in range(0, 400, 20):  # copies, whole and with every eighth word replaced
+        rows[d] += [w if d % 40 or i % 8 != 3 else "other" for i, w in enumerate(items[d // 20])]
+    docs = spark.createDataFrame([(d, " ".join(r)) for d, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    texts = dc.materialize(bench.select(dc.F.col("item_id").alias("key"), "text"), "texts")
+    numbered = docs.select(dc.F.col("doc_id").alias("doc"), "text", dc.F.xxhash64("text").alias("text_hash"))
+    assert dc._candidates(numbered, texts, 3, 2)[1].count() < 1000
+    assert {(r["doc_id"], r["item_id"]) for r in dc.benchmark_leaks(docs, bench).collect()} == {(d, d // 20) for d in range(0, 400, 20)}
+
+
+def test_items_of_one_body_and_ids_of_one_text(spark):
+    rng = random.Random(6)
+    body = [f"b{i}" for i in range(30)]
+    items = [(i, " ".join([*body, f"last{i}"])) for i in range(20)] + [(100 + i, "short item of six words here") for i in range(12)]
+    rows = [(1, " ".join([f"d{rng.randrange(99)}" for _ in range(30)] + body)), (1, "clean text"), (None, "so: short item of six words here"), (None, None), (2, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.benchmark_leaks(docs, bench).collect()}
+    assert got == {(1, i) for i in range(20)} | {(None, 100 + i) for i in range(12)}
+    assert {(r["doc_id"], r["text"]) for r in dc.decontaminated(docs, bench).collect()} == {(1, "clean text"), (None, None), (2, "another text")}
+
+
+def test_recall_with_a_third_of_the_words_replaced(spark):
+    """Against all pairs with 25 to 35 % of the words replaced at random, 0.9 of the alignments of 0.5 or more are found."""
+    rng = random.Random(7)
+    items = {i: [f"u{rng.randrange(900)}" for _ in range(30)] for i in range(10)}
+    rows = []
+    for d in range(300):
+        share = rng.uniform(0.25, 0.35)
+        rows.append((d, " ".join([f"u{rng.randrange(900)}" for _ in range(20)] + [f"u{rng.randrange(900)}" if rng.random() < share else w for w in items[d % 10]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    want = {(d, d % 10) for d, text in rows if plain_score(items[d % 10], text.split()) >= 30}
+    got = {(r["doc_id"], r["item_id"]) for r in dc.benchmark_leaks(docs, bench).collect()}
+    assert len(want) > 150 and len(want & got) >= 0.9 * len(want)

@@ -2,12 +2,15 @@
 
 1. Items become rows of n-grams. A sieve of fixed size, all that is broadcast, tells the documents'
    n-grams that may be of an item; those become rows as well.
-2. An n-gram's document frequency is counted over the whole corpus. Of every STRIDE consecutive
-   n-grams of an item the rarest that occurs becomes a seed, so an item has seeds along its whole
-   length and no seed is dropped for being frequent.
+2. An n-gram that more than SHARED item texts hold is a phrase of the benchmark and gives way to the
+   LONG times longer gram from the same place (moved to the left where the item ends before); items
+   with fewer words keep it. Document frequencies are counted over the whole corpus. Of every STRIDE
+   consecutive grams of an item the rarest that occurs becomes a seed, so an item has seeds along its
+   whole length and no seed is dropped for being frequent in the corpus.
 3. Seeds join the documents' n-grams to items. Each document cuts the passages around its hits; they
    join the items' words and are aligned by Smith-Waterman over words (match 2, mismatch -1, gap -1).
-   The score is the alignment's part of a perfect one, 1 for an exact copy.
+   The score is the alignment's part of a perfect one, 1 for an exact copy. A passage with fewer of the
+   item's words than the least score needs is not aligned.
 
 Documents are read twice whatever the benchmark's size, and their texts are not moved unless they
 hold a hit. A passage that shares no seed with an item is not aligned with it.
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidepanel.llm.texthash import _STEP, doc_chunks, mix, text_buffer, word_hashes
-from tidepanel.session import drop_tables, materialize
+from tidepanel.session import drop_tables, materialize, ship_package
 
 SEED_WORDS, STRIDE, LEAST_SCORE = 3, 2, 0.5
+#: a gram that more item texts hold than SHARED is replaced by one of LONG times as many words
+SHARED, LONG = 8, 3
 #: bits of the sieve, as a power of two: 4 MB whatever the benchmark
 SIEVE_BITS = 25
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -68,16 +73,21 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int
 
 
 def _item_grams(n: int):
-    """(key, text) to the n-grams of each item; one of fewer than n words is a single gram of all it has."""
+    """(key, text) to the grams of n and LONG * n words at each place of an item; one of fewer than n words is a single gram of all it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = item_words(text)
-                width = min(n, len(words))
+                width, long = min(n, len(words)), LONG * n
                 found = grams(words, width).view(np.int64) if width else np.zeros(0, np.int64)
                 m = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), pa.array(found), pa.array(np.arange(m)), pa.array(np.full(m, width)), pa.array(np.full(m, len(words)))], ["key", "gram", "at", "width", "size"])
+                longer, begin = np.zeros(m, np.int64), np.full(m, -1)
+                if len(words) >= long:
+                    begin = np.minimum(np.arange(m), len(words) - long)
+                    longer = grams(words, long).view(np.int64)[begin]
+                columns = [np.full(m, key), found, np.arange(m), np.full(m, width), longer, begin, np.full(m, len(words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "gram", "at", "width", "longer", "begin", "size"])
 
     return run
 
@@ -149,15 +159,39 @@ def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, key, begin, words, item's text) to the best alignment of each passage."""
-    for batch in batches:
-        out = []
-        for row, key, begin, words, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            item = item_words(text)
-            score, first, end = smith_waterman(item, np.frombuffer(words, _U))
-            out.append((row, key, score / (MATCH * len(item)), begin + first, begin + end))
-        yield _batch(out, ["row", "key", "score", "first_word", "end_word"], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))
+def _align(least: float):
+    """(row, key, begin, words, item's text) to the best alignment of each passage that scores `least` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, key, begin, words, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                item, passage = item_words(text), np.frombuffer(words, _U)
+                #: a score is MATCH times the matched words at most
+                if np.isin(item, passage).sum() < least * len(item):
+                    continue
+                score, first, end = smith_waterman(item, passage)
+                if score >= least * MATCH * len(item):
+                    out.append((row, key, score / (MATCH * len(item)), begin + first, begin + end))
+            yield _batch(out, ["row", "key", "score", "first_word", "end_word"], (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))
+
+    return run
+
+
+def _seed_grams(texts: DataFrame, n: int) -> DataFrame:
+    """(key, at, gram, width, size): the grams that may seed an item, one or none from each of its places."""
+    of_items = materialize(texts.select("key", "text").mapInArrow(_item_grams(n), "key long, gram long, at long, width long, longer long, begin long, size long"), "leak-places")
+    held = of_items.groupBy("gram").agg(F.countDistinct("key").alias("held"))
+    phrase = (F.col("held") > SHARED) & (F.col("begin") >= 0)
+    kept = of_items.join(held, "gram").select(
+        "key", "size",
+        F.when(phrase, F.col("begin")).otherwise(F.col("at")).alias("at"),
+        F.when(phrase, F.col("longer")).otherwise(F.col("gram")).alias("gram"),
+        F.when(phrase, F.lit(LONG * n)).otherwise(F.col("width")).alias("width"),
+    )
+    out = materialize(kept.distinct(), "leak-grams")
+    drop_tables(of_items)
+    return out
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = SEED_WORDS, stride: int = STRIDE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -171,19 +205,35 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
     the row is that of the best; each text with a null id is an item of its own, with a row of its own.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
-    items = materialize(items.withColumn("key", F.monotonically_increasing_id()), "leak-items")
-    of_items = materialize(items.select("key", "text").mapInArrow(_item_grams(n), "key long, gram long, at long, width long, size long"), "leak-grams")
-    widths = sorted(r["width"] for r in of_items.select("width").distinct().collect())  # n values at most
+    named = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
+    #: one key a text, whatever the number of its ids
+    texts = materialize(named.select("text").distinct().withColumn("key", F.monotonically_increasing_id()), "leak-items")
+    items = materialize(named.join(texts, "text").select("key", "item"), "leak-ids")
+    asked, passages = _candidates(rows, texts, n, stride)
+    aligned = passages.join(texts, "key").select("row", "key", "begin", "words", "text").mapInArrow(_align(least), "row long, key long, score double, first_word long, end_word long")
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("low"), "end_word")).alias("best")
+    each = aligned.join(items, "key").groupBy("row", "item", F.when(F.col("item").isNull(), F.col("key")).alias("own")).agg(best)
+    out = materialize(each.join(asked.select("row", "doc"), "row").select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), F.col("best.score").alias("score"), (-F.col("best.low")).alias("first_word"), F.col("best.end_word").alias("end_word")), "leaks")
+    drop_tables(texts, items, asked, passages)
+    return out
+
+
+def _candidates(rows: DataFrame, texts: DataFrame, n: int, stride: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables (doc, text, wanted, row) of the rows with hits and (row, key, begin, words) of the passages to align."""
+    spark = rows.sparkSession
+    of_items = _seed_grams(texts, n)
+    widths = sorted(r["width"] for r in of_items.select("width").distinct().collect())  # n + 1 values at most
     sieve = spark.sparkContext.broadcast(_sieve(of_items.select("gram").distinct()))
     hits = materialize(rows.select("text_hash", "text").mapInArrow(_hits(sieve, widths), "text_hash long, gram long, place long, fresh boolean"), "leak-hits")
 
     frequency = hits.where("fresh").groupBy("gram").agg(F.count(F.lit(1)).alias("docs"))
     known = of_items.join(frequency, "gram", "left")
-    order = Window.partitionBy("key").orderBy("at")
+    order = Window.partitionBy("key").orderBy("at", "gram")
     rarest = F.min(F.when(F.col("docs").isNotNull(), F.struct("docs", "at", "gram"))).over(order.rowsBetween(0, stride - 1))
-    chosen = known.select("key", "size", "at", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"), rarest.alias("best")).where((F.col("at") <= F.greatest(F.lit(0), F.col("n") - stride)) & F.col("best").isNotNull())
+    numbered = known.select("key", "size", F.row_number().over(order).alias("nth"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("n"), rarest.alias("best"))
+    chosen = numbered.where((F.col("nth") <= F.greatest(F.lit(1), F.col("n") - stride + 1)) & F.col("best").isNotNull())
     seeds = materialize(chosen.select("key", "size", F.col("best.at").alias("at"), F.col("best.gram").alias("gram")).distinct(), "leak-seeds")
 
     near = hits.join(seeds, "gram").groupBy("text_hash", "key", "size").agg(F.collect_set(F.col("place") - F.col("at")).alias("begins"))
@@ -191,20 +241,17 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
     #: numbered where they are written, so that repeated documents stay apart
     asked = materialize(rows.join(wanted, "text_hash").select("doc", "text", "wanted").withColumn("row", F.monotonically_increasing_id()), "leak-docs")
     passages = materialize(asked.select("row", "text", "wanted").mapInArrow(_passages, "row long, key long, begin long, words binary"), "leak-passages")
-    aligned = passages.join(items.select("key", "text"), "key").select("row", "key", "begin", "words", "text").mapInArrow(_align, "row long, key long, score double, first_word long, end_word long")
-    found = aligned.where(F.col("score") >= least).join(items.select("key", "item"), "key")
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("low"), "end_word")).alias("best")
-    each = found.groupBy("row", "item", F.when(F.col("item").isNull(), F.col("key")).alias("own")).agg(best)
-    out = materialize(each.join(asked.select("row", "doc"), "row").select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), F.col("best.score").alias("score"), (-F.col("best.low")).alias("first_word"), F.col("best.end_word").alias("end_word")), "leaks")
-    drop_tables(items, of_items, hits, seeds, wanted, asked, passages)
+    drop_tables(of_items, hits, seeds, wanted)
     sieve.unpersist()
-    return out
+    return asked, passages
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that hold a benchmark passage; columns and clean rows stay as they are.
 
-    Rows with a null id or text are kept; of rows that share an id all go if one leaks.
+    Rows are judged by their texts alone, so repeated and null ids hide no leak and take no clean row
+    with them; rows with a null text are kept.
     """
-    leaks = benchmark_leaks(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leaked_id")).distinct()
-    return docs.join(leaks, docs[id_col] == leaks["__leaked_id"], "left_anti")
+    digest = F.sha2(F.col(text_col).cast("string"), 256)
+    leaks = benchmark_leaks(docs.select(digest.alias("digest"), text_col), benchmark, id_col="digest", text_col=text_col, **options)
+    return docs.join(leaks.select(F.col("digest").alias("__leaked")).distinct(), digest == F.col("__leaked"), "left_anti")
