@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import csv
-import hashlib
-import os
-from pathlib import Path
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-MANIFEST_FIELDS = ["source", "file_path", "vendor", "schema_version", "date_range", "checksum", "row_count", "notes"]
+#: fixed values: the columns of a manifest
+MANIFEST_FIELDS = ["source", "file_path", "downloaded_at", "vendor", "schema_version", "date_range", "checksum", "notes"]
 
 
 def table_format(path: str, wanted: str = "auto") -> str:
@@ -49,48 +47,48 @@ def write_table(df: DataFrame, path: str, wanted: str = "auto", fields: list[str
         df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def checksum(path: str) -> str:
-    """SHA-256 of a local file, or of the names and contents of a folder's files in order."""
-    digest, root = hashlib.sha256(), Path(path)
-    for file in [root] if root.is_file() else sorted(p for p in root.rglob("*") if p.is_file()):
-        if root.is_dir():
-            digest.update(str(file.relative_to(root)).encode())
-        with file.open("rb") as f:
-            while block := f.read(1 << 20):
-                digest.update(block)
-    return digest.hexdigest()
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, bytes, sha256) of a file or of all files under a folder, digested where Spark reads them; a file must fit a row (2 GB)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).withColumnRenamed("path", "name")
 
 
-def append_manifest(manifest: str, **row: str) -> None:
-    """Add a provenance row to a local CSV ledger."""
+def checksum(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file; of a folder that of its lines `name below the folder:SHA-256`, in the order of names."""
+    found = file_digests(spark, path)
+    below = F.substring_index("name", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat(below, F.lit(":"), F.col("sha256")))), "\n")
+    one = found.agg(F.count(F.lit(1)).alias("files"), F.min("name").alias("name"), F.min("sha256").alias("own"), F.sha2(lines, 256).alias("all")).first()
+    if not one["files"]:
+        raise ValueError(f"no file under {path}")
+    return one["own"] if one["name"].rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1]) else one["all"]
+
+
+def append_manifest(spark: SparkSession, manifest: str, **row: str) -> None:
+    """Add a provenance row to a manifest, a folder of CSV files that several jobs may add to; downloaded_at is now if not told."""
     if unknown := set(row) - set(MANIFEST_FIELDS):
         raise ValueError(f"the manifest has no fields {sorted(unknown)}")
-    fresh = not os.path.exists(manifest)
-    with open(manifest, "a", newline="") as f:
-        writer = csv.DictWriter(f, MANIFEST_FIELDS, restval="")
-        if fresh:
-            writer.writeheader()
-        writer.writerow(row)
-
-
-def upsert_record(ledger: str, record: dict[str, str], policy: str = "fail") -> None:
-    """Put a run's record into a local CSV ledger; on a known run_id fail, allow a second row, or replace."""
-    rows: list[dict[str, str]] = []
-    if os.path.exists(ledger):
-        with open(ledger, newline="") as f:
-            rows = list(csv.DictReader(f))
-    known = [r for r in rows if r.get("run_id") == record["run_id"]]
-    if known and policy == "fail":
-        raise ValueError(f"run {record['run_id']} is in the ledger already")
+    row.setdefault("downloaded_at", datetime.now(timezone.utc).isoformat(timespec="seconds"))
+    fresh = spark.createDataFrame([tuple(row.get(f, "") for f in MANIFEST_FIELDS)], ", ".join(f"{f} string" for f in MANIFEST_FIELDS))
+    fresh.write.mode("append").option("header", True).option("emptyValue", "").csv(manifest)
+
+
+def upserted(ledger: DataFrame, records: DataFrame, policy: str = "fail", key: str = "run_id") -> DataFrame:
+    """The ledger with the records of runs added; columns that one side lacks are blank.
+
+    Records of a run that is known fail the job, stay beside the old ones (allow) or take their place (replace).
+    Runs without an id are never known.
+    """
+    if policy not in ("fail", "allow", "replace"):
+        raise ValueError(f"unknown policy {policy}")
+    runs = records.select(F.col(key).alias("__run")).where("__run is not null").distinct()
     if policy == "replace":
-        rows = [r for r in rows if r.get("run_id") != record["run_id"]]
-    rows.append(record)
-    fields = list(dict.fromkeys(k for r in rows for k in r))
-    with open(f"{ledger}.new", "w", newline="") as f:
-        writer = csv.DictWriter(f, fields, restval="")
-        writer.writeheader()
-        writer.writerows(rows)
-    os.replace(f"{ledger}.new", ledger)
+        ledger = ledger.join(runs, ledger[key] == runs["__run"], "left_anti")
+    elif policy == "fail":
+        known = ledger.select(F.col(key).alias("__run")).distinct().withColumn("__known", F.lit(True))
+        marked = records.join(known, records[key] == known["__run"], "left")
+        records = marked.where(F.when(F.col("__known"), F.raise_error(F.concat(F.lit("the ledger has run "), F.col(key))).cast("boolean")).isNull()).select(*records.columns)
+    return ledger.unionByName(records, allowMissingColumns=True).na.fill("")
 
 
 def date_range(df: DataFrame, column: str) -> str:
