@@ -8,6 +8,7 @@ from tidepanel.plans import contract_panels as cp, contracts as ct
 from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, MEMBERSHIP_SQL, table
 from tidepanel.plans.queries import WITH, _market, query
 from tidepanel.sources import vendor
+from tidepanel.streaming import event_log
 
 # ---------------------------------------------------------------- vendor tables made of the driver's tables
 
@@ -169,3 +170,16 @@ SELECT coalesce(rebalance_date, d) AS rebalance_date, CASE WHEN rebalance_date I
 def rebalance_date_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quarters' last trading days against their last calendar days."""
     return cp.date_differences(_market(spark, sf_dir)[2], cp.month_ends(spark, "1992-01-15", "1998-12-31", "quarterly"))
+
+
+@query(
+    "event_stream_counts",
+    """SELECT CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS code, event_type AS event_label, count(*) AS n FROM events
+WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY 1, 2, 3""",
+)
+def event_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed days of the event stream: those that ended a day before the newest event."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
+    events = stream.select("event_id", F.col("ts").cast("timestamp").alias("announced"), F.col("user_id").cast("string").alias("code"), F.col("event_type").alias("event_label"))
+    return event_log.drained(event_log.daily_counts(events), "event-counts")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidepanel.session import shared_path
+
 EVENT_SCHEMA = "event_id long, announced timestamp, code string, event_label string"
 
 
@@ -26,3 +28,15 @@ def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
 def with_latest_price(events: DataFrame, latest: DataFrame) -> DataFrame:
     """Events with the static latest price of their code; events without one stay."""
     return events.join(latest.select("code", F.col("close").alias("latest_close")), "code", "left")
+
+
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """The rows that a stream gives for all that its source holds now, as a table in the shared folder.
+
+    Groups that the watermark hasn't passed are still open and stay out, as do rows later than it. A job that is
+    run again goes on from the folder's checkpoint.
+    """
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, label)
+    sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", shared_path(spark, f"{label}-state"))
+    sink.trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
