@@ -151,7 +151,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last floor(n/4) code points replaced by the first as many (or all) of the
     next document in ascending id; the last document's next is the first. Rows that share an id follow
     each other in the order of their texts; a null id comes before all others. Null texts are empty, an
-    empty table gives an empty result. Rows are dealt by ranges of ids, and the first row of each range also goes
+    empty table gives an empty result. Ids are whole numbers: a text that is none ends the job. Texts of any
+    length are read whole; other columns are left aside, whatever their names. Rows are dealt by ranges of ids, and the first row of each range also goes
     to the range before, so that neighbours meet without a global sort.
     """
     spark = docs.sparkSession

@@ -192,7 +192,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles is num/den or
     more (0.8 unless given). component_id is the smallest id reachable over links. Null and blank
     texts have no shingles and link with nothing. Rows that repeat an id are documents of their own
-    that share the id. Other columns are left aside; an empty table gives an empty result.
+    that share the id, null ids among them. Ids are whole numbers: a text that is none ends the job. Texts
+    of any length are read whole. Other columns are left aside, whatever their names; an empty table gives
+    an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(source.mapInArrow(_signatures(bands, rows), "doc long, n_shingles long, node long, keys binary"), "signatures")

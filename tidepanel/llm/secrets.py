@@ -118,7 +118,8 @@ def document_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "
     """(id, n_assign, n_access, n_hex, base_sha256, spans) for each row of docs.
 
     Null and empty texts have no spans. Repeated rows give repeated rows; an empty table gives an
-    empty result. Without a ledger a new one is begun in the shared folder.
+    empty result. Texts of any length are scanned whole; ids keep their types; columns of docs beside the
+    two are left aside, whatever their names. Without a ledger a new one is begun in the shared folder.
     """
     ledger = ledger or shared_path(docs.sparkSession, "secret-ledger")
     paths = scan_versions(docs, ledger, path_col=id_col, content_col=text_col)

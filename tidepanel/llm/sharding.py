@@ -168,7 +168,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, id_c
     Rows of equal texts are linked, each to the first of its group, and stay together as far as the
     quotas allow; a group larger than a shard's quota, or than the room that larger groups left in
     every shard, is spread. Null texts count as empty ones, of size 1. Repeated
-    rows are rows of their own, each with its slot. Other columns are left aside; an empty table gives
+    rows are rows of their own, each with its slot. Texts of any length count whole, and only their digests
+    move; ids keep their types. Other columns are left aside, whatever their names; an empty table gives
     an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -141,8 +141,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     """Encode docs in ascending id into files under folder; returns the manifest.
 
     Rows that share an id follow each other in the order of their texts; a null id, stored as the
-    least 64-bit integer, comes first; null texts are empty and hold the end id alone. An empty table
-    gives an empty manifest. Manifest: (range, name, n_docs, n_tokens, base, dtype, folder).
+    least 64-bit integer, comes first; null texts are empty and hold the end id alone. Ids are whole
+    numbers: a text that is none ends the job. Texts of any length are encoded whole; other columns are
+    left aside, whatever their names. An empty table gives an empty manifest. Manifest: (range, name, n_docs, n_tokens, base, dtype, folder).
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows that are not held out.
 
     Labels that are null or belong to no document are left aside; an id with several labels counts
-    as toxic if one of them says so. Without any label nothing is known to be toxic, and texts score next to 0.
+    as toxic if one of them says so. Ids are whole numbers: a text that is none ends the job. Texts of any
+    length are read whole; other columns are left aside, whatever their names. Without any label nothing is known to be toxic, and texts score next to 0.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("doc")).agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("label"))
     total = known.count()
