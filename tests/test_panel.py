@@ -9,11 +9,11 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from tidepanel.plans import config_queries, more_queries  # noqa: F401  add to QUERIES and SQL
+from tidepanel.plans import config_queries, more_queries, vendor_queries  # noqa: F401  add to QUERIES and SQL
 from tidepanel.plans.queries import QUERIES, SQL
 
 PLACE = "/root/testdata/sf0.001"
-NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values", "group_signals", "pit_snapshot_universe", "rebalance_disclosures", "grouped_diagnostics", "universe_profile", "strict_universe_panel", "contract_checks", "memberships_by_mode", "group_allocation_constraints", "rebalance_fundamentals", "lookback_expressions"]
+NAMES = ["asof_latest_price", "expression_factors", "price_volume_plain_alphas", "derived_fundamentals", "factor_diagnostics", "parsed_values", "group_signals", "pit_snapshot_universe", "rebalance_disclosures", "grouped_diagnostics", "universe_profile", "strict_universe_panel", "contract_checks", "memberships_by_mode", "group_allocation_constraints", "rebalance_fundamentals", "lookback_expressions", "vendor_listings", "vendor_prices", "vendor_statements", "vendor_benchmark", "price_sample", "statement_numbers", "enriched_listings", "basket_values", "rebalance_date_differences", "event_stream_counts", "price_readings", "retargeted_shares"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(PLACE), reason="the driver's tables are absent")
 
 

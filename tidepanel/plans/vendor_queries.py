@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.plans import contract_panels as cp, contracts as ct
 from tidepanel.plans.contracts import DISCLOSURES_SQL, LISTINGS_SQL, MEMBERSHIP_SQL, table
+from tidepanel.plans.more_queries import SPLIT_SQL, _splits
 from tidepanel.plans.queries import WITH, _market, query
-from tidepanel.sources import vendor
+from tidepanel.session import materialize
+from tidepanel.sources import price_rows, vendor
 from tidepanel.streaming import event_log
 
 # ---------------------------------------------------------------- vendor tables made of the driver's tables
@@ -183,3 +187,44 @@ def event_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as a stream's plain path must be a folder
     events = stream.select("event_id", F.col("ts").cast("timestamp").alias("announced"), F.col("user_id").cast("string").alias("code"), F.col("event_type").alias("event_label"))
     return event_log.drained(event_log.daily_counts(events), "event-counts")
+
+
+# ---------------------------------------------------------------- bars as panels read them
+
+_RAW = "raw AS (SELECT code, date, CASE WHEN v % 4 = 0 THEN '' WHEN v % 9 = 0 THEN 'n/a' WHEN v % 10 = 0 THEN '-5' ELSE CAST(c * 2 AS VARCHAR) END AS adjusted_close, CASE WHEN v % 6 = 0 THEN NULL ELSE CAST(c AS VARCHAR) END AS unadjusted_close, CAST(c + 1 AS VARCHAR) AS close, v FROM (SELECT code, date, CAST(volume AS BIGINT) AS v, CAST(floor(trading_value / volume) AS BIGINT) AS c FROM prices))"
+
+
+def _raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of strings whose closes are blank, no number or below zero on some days."""
+    v, c = F.col("volume").cast("long"), F.floor(F.col("trading_value") / F.col("volume"))
+    adjusted = F.when(v % 4 == 0, F.lit("")).when(v % 9 == 0, F.lit("n/a")).when(v % 10 == 0, F.lit("-5")).otherwise((c * 2).cast("string"))
+    return ct.prices(spark, sf_dir).select("code", F.col("date").cast("string").alias("date"), adjusted.alias("adjusted_close"), F.when(v % 6 != 0, c.cast("string")).alias("unadjusted_close"), (c + 1).cast("string").alias("close"), v.cast("string").alias("volume"))
+
+
+@query(
+    "price_readings",
+    f"""{WITH}, {_RAW}, n AS (SELECT code, date, v, nullif(adjusted_close, '') AS told, TRY_CAST(nullif(adjusted_close, '') AS DOUBLE) AS a, TRY_CAST(unadjusted_close AS DOUBLE) AS u, TRY_CAST(close AS DOUBLE) AS c FROM raw)
+SELECT 'universe' AS reading, code, date, coalesce(u, c) AS close, CAST(v AS DOUBLE) AS volume FROM n UNION ALL SELECT 'group_beta', code, date, coalesce(a, c), v FROM n
+UNION ALL SELECT 'forward_returns', code, date, CASE WHEN told IS NOT NULL THEN a ELSE coalesce(u, c) END AS x, v FROM n WHERE x > 0 UNION ALL SELECT 'event_drift', code, date, CASE WHEN told IS NOT NULL THEN a ELSE u END AS x, v FROM n WHERE x > 0""",
+)
+def price_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = materialize(_raw_bars(spark, sf_dir), "raw-bars")
+    parts = [price_rows.closes(raw, r).select(F.lit(r).alias("reading"), "code", "date", "close", "volume") for r in price_rows.READINGS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "retargeted_shares",
+    f"""{WITH}, {SPLIT_SQL}, e AS (SELECT code, date, unadjusted_close AS u, coalesce(adjusted_close, unadjusted_close / product(adjustment_factor) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING)) AS a FROM splits),
+r AS (SELECT code, date, u / a AS ratio, lead(date) OVER w AS fill_date, lead(u / a) OVER w AS fill_ratio FROM e WINDOW w AS (PARTITION BY code ORDER BY date))
+SELECT code, date, fill_date, round(ratio, 6) AS ratio, CAST(round_even(1000 * ratio / fill_ratio, 0) AS BIGINT) AS shares FROM r WHERE fill_date IS NOT NULL""",
+)
+def retargeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target of 1000 shares of each day in shares of the code's next day."""
+    bars = _splits(spark, sf_dir)
+    closed = price_rows.adjusted_bars(bars).select("code", "date", F.col("close").alias("adjusted"))
+    order = Window.partitionBy("code").orderBy("date")
+    ratio = price_rows.adjustment_ratio(F.col("unadjusted_close"), F.col("adjusted"))
+    rows = bars.join(closed, ["code", "date"]).withColumn("ratio", ratio)
+    rows = rows.withColumns({"fill_date": F.lead("date").over(order), "fill_ratio": F.lead("ratio").over(order)}).where("fill_date is not null")
+    return rows.select("code", "date", "fill_date", F.round("ratio", 6).alias("ratio"), price_rows.retargeted_shares(F.lit(1000.0), F.col("ratio"), F.col("fill_ratio")).alias("shares"))
