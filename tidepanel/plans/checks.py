@@ -31,6 +31,7 @@ class Contract:
     required: groups of aliases, one of which must be a column; filled: groups whose first filled alias must not be blank.
     dates, numbers, bools: columns that must parse where they are filled and exist. key: the key's columns, and
     adaptive: further key columns, each with the columns of which any must be filled somewhere for it to count.
+    A key with a blank part is no key; with blank_adaptive this holds for the columns of `key` only, and a blank adaptive part is a value.
     """
 
     dataset: str
@@ -45,6 +46,7 @@ class Contract:
     needed_numbers: tuple[tuple[str, ...], ...] = ()
     blank_marks: tuple[str, ...] = ("",)
     code: tuple[str, ...] = field(default=("code",))
+    blank_adaptive: bool = False
 
 
 #: fixed values: columns and aliases of the optional contracts
@@ -151,7 +153,7 @@ def check_table(df: DataFrame, contract: Contract) -> DataFrame:
     """(dataset, check, column, severity, n, example): how many rows break each rule, and the least code among them.
 
     Rules without a breach have no row. Missing columns are told without reading anything; an empty table is the
-    breach empty_table. duplicate_key counts the keys with several rows; a key with a blank part counts for none,
+    breach empty_table. duplicate_key counts the keys with several rows; a key with a blank part counts for none (see blank_adaptive),
     and n of an empty table's other rules is none.
     """
     spark = df.sparkSession
@@ -183,7 +185,7 @@ def _duplicates(df: DataFrame, contract: Contract, code: Column) -> DataFrame:
     base = len(contract.key)
     whole = reduce(lambda a, b: a & b, [F.col(f"k{i}") != "" for i in range(base)])
     # one row a table: for each choice of adaptive columns the keys that repeat, of which the table's own choice is taken
-    blank = sum((F.when(F.col(f"k{base + i}") == "", F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(more))), F.lit(0))
+    blank = sum((F.when(F.col(f"k{base + i}") == "", F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(more) if not contract.blank_adaptive else 0)), F.lit(0))
     kinds = [F.count_if(whole & (F.col("rows") > 1) & (blank.bitwiseAND(F.lit(mask)) == 0)).alias(f"n{mask}") for mask in range(1 << len(more))]
     firsts = [F.min(F.when(whole & (F.col("rows") > 1) & (blank.bitwiseAND(F.lit(mask)) == 0), F.col("code"))).alias(f"e{mask}") for mask in range(1 << len(more))]
     one = groups.agg(*kinds, *firsts, *[F.coalesce(F.max(f"f{i}"), F.lit(False)).alias(f"f{i}") for i in range(len(more))])
