@@ -6,7 +6,9 @@ import os
 from dataclasses import replace
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tidepanel.functions.numeric import rounded
 from tidepanel.plans import checks, config_queries  # noqa: F401  adds to QUERIES and SQL
 from tidepanel.plans.queries import QUERIES, SQL
 
@@ -39,3 +41,13 @@ def test_blank_adaptive_parts_count_where_asked(spark):
     plain = checks.fundamentals_contract()
     repeats = lambda c: [(r["n"], r["example"]) for r in checks.check_table(df, c).where("check = 'duplicate_key'").collect()]
     assert repeats(plain) == [] and repeats(replace(plain, blank_adaptive=True)) == [(1, "a")]
+
+
+def test_doubles_round_as_the_sql_rounds_them(spark):
+    """Scores of eight decimals that lie half way between two of six."""
+    ties = [(s * (k / 10**8 + 50 / 10**8 + 0.519)).__round__(8) for k in range(0, 40_000, 100) for s in (1, -1)] + [-0.5192545, 0.49999999999999994e-6, 2.5e-6, 1e300, 4.4e15, None, float("inf")]
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0] for x in ties]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(ties)], "i int, x double")
+    got = [r["y"] for r in df.select("i", rounded(F.col("x"), 6).alias("y")).orderBy("i").collect()]
+    assert got == want and got[ties.index(-0.5192545)] == -0.519254

@@ -18,6 +18,18 @@ def positive_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b.cast("double"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals: scaled up, halves away from zero, scaled down, as the SQL of the queries has it.
+
+    F.round looks at the decimal text of x instead, so that -0.5192545, which scales to -519254.49999999994, would go the other way.
+    """
+    scaled = x * F.lit(10.0**digits)
+    whole = F.rint(scaled)
+    half = F.abs(scaled - whole) == 0.5
+    whole = F.when(half, F.signum(scaled) * F.ceil(F.abs(scaled))).otherwise(whole)
+    return F.when(F.abs(scaled) < float("inf"), whole / F.lit(10.0**digits)).otherwise(x)
+
+
 def yoy_change(now: Column, then: Column) -> Column:
     return F.try_divide((now - then).cast("double"), F.abs(then).cast("double"))
 
