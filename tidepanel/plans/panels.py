@@ -248,17 +248,43 @@ def trimmed(prices: DataFrame, rebalances: DataFrame, rows: int = 80, latest: Da
     return merged.withColumn("__depth", depth).where("__row = 1 and __depth > 0").select(*prices.columns)
 
 
-def proxy_alphas(features: DataFrame, digits: int = 10) -> DataFrame:
-    """The seventeen price-volume proxies; ranks are across the codes of a day, of values rounded to `digits`."""
+def ranked_values() -> dict[str, Column]:
+    """What the proxies rank across the codes of a day."""
     c, v = F.col("close"), F.col("volume")
-    ranked = {
+    return {
         "open_vwap": F.col("open") - F.col("vwap"), "abs_close_vwap": F.abs(c - F.col("vwap")), "max_gap": F.col("ts_max_gap_3"), "min_gap": F.col("ts_min_gap_3"),
         "delta_volume": F.col("delta_volume_3"), "neg_returns": -F.col("returns"), "std_ratio": safe_ratio(F.col("std_returns_5"), F.col("std_returns_20")), "delta_close": F.col("delta_close_1"),
         "vwap_minus": F.col("vwap") - c, "vwap_plus": F.col("vwap") + c, "inv_close": safe_ratio(F.lit(1.0), c), "high_close": F.col("high") - c,
         "candle_volume": F.col("candle_pressure") * v, "argmax_10": F.col("argmax_close_10"),
     }
+
+
+def section_ranks(rows: DataFrame, values: list[str], by: str, wanted: str) -> DataFrame:
+    """(code, by, __r_<value>...) of the rows that are `wanted`: rank_pct of each value among all rows of the section.
+
+    The section's rows are dealt once and opened to a row for each value within the task, so one sort of narrow rows
+    takes the place of a sort of whole rows for each value; only wanted rows are folded back. rows: unique by code and section.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col(v).alias("x")) for i, v in enumerate(values)]))
+    long = rows.select(by, F.when(F.col(wanted), F.col("code")).alias("code"), each.alias("__e")).select(by, "code", "__e.k", "__e.x").where("x is not null")
+    placed = long.select(by, "code", "k", rank_pct("x", [by, "k"]).alias("r")).where("code is not null")
+    return placed.groupBy(by, "code").agg(*[F.max(F.when(F.col("k") == i, F.col("r"))).alias(f"__r_{v}") for i, v in enumerate(values)])
+
+
+def proxy_alphas(features: DataFrame, digits: int = 10, wanted: DataFrame | None = None) -> DataFrame:
+    """The seventeen price-volume proxies; ranks are across the codes of a day, of values rounded to `digits`.
+
+    With `wanted`, unique rows (code, date), proxies of those alone, ranked among all of features.
+    """
+    c, v, ranked = F.col("close"), F.col("volume"), ranked_values()
     f = features.withColumns({f"__x_{k}": F.round(x, digits) for k, x in ranked.items()})
-    f = f.select(*features.columns, *[rank_pct(f"__x_{k}", ["date"]).alias(f"__r_{k}") for k in ranked])
+    if wanted is None:
+        f = f.select(*features.columns, *[rank_pct(f"__x_{k}", ["date"]).alias(f"__r_{k}") for k in ranked])
+    else:
+        f = materialize(f.join(wanted.select("code", "date", F.lit(True).alias("__wanted")), ["code", "date"], "left"), "proxy-features")
+        days = max(1, f.select("date").distinct().count())  # a few days a task: whole sections, however many codes they have
+        narrow = f.select("date", "code", *[F.col(f"__x_{k}").alias(k) for k in ranked], F.coalesce("__wanted", F.lit(False)).alias("__wanted")).repartition(min(days, 1024), "date")
+        f = f.where("__wanted").join(section_ranks(narrow, list(ranked), "date", "__wanted"), ["date", "code"], "left")
     r = {k: F.col(f"__r_{k}") for k in ranked}
     vwap, low_sign = F.col("vwap"), sign_up(F.col("delta_volume_1"))
     alphas = {
@@ -286,7 +312,8 @@ def proxy_alphas(features: DataFrame, digits: int = 10) -> DataFrame:
 def _dated_proxies(kept: DataFrame, latest: DataFrame) -> DataFrame:
     """The proxies of the days that hold a latest bar; other days' sections are not ranked."""
     days = latest.select(F.col("price_date").alias("date")).distinct()
-    return proxy_alphas(daily_features(kept).join(F.broadcast(days), "date", "left_semi"))  # days are no more than the calendar's
+    bars = daily_features(kept).join(F.broadcast(days), "date", "left_semi")  # days are no more than the calendar's
+    return proxy_alphas(bars, wanted=latest.select("code", F.col("price_date").alias("date")).distinct())
 
 
 def price_volume_panel(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
