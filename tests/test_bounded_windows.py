@@ -43,3 +43,33 @@ def test_proxies_of_wanted_bars_rank_among_all(spark):
     got = panels.proxy_alphas(features, wanted=wanted)
     want = panels.proxy_alphas(features).join(wanted, ["code", "date"], "left_semi").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == wanted.count()
+
+
+def test_defensive_windows_make_no_pairs(spark):
+    bars, rows = some_bars(spark)
+    days = sorted({r[1] for r in rows})
+    level = [None, *[round(0.01 * ((7 * i) % 11 - 5), 4) for i in range(1, len(days))]]
+    bench = spark.createDataFrame(list(zip(days, level)), "date date, bench_return double")
+    dates = spark.createDataFrame([(days[40],), (days[65],), (days[200],), (days[-1],), (days[-1] + timedelta(days=9),)], "rebalance_date date")
+    out = panels.defensive_panel(bars, bench, dates)
+    assert "BETWEEN" not in plan_of(out).upper() and "explode" not in plan_of(out) and not any("Join" in line and (">=" in line or "<=" in line) for line in plan_of(out).splitlines())  # no pair of a bar and a dated bar is a row
+    seen = {(r["code"], r["rebalance_date"]): r for r in out.collect()}
+    assert len(seen) == 15
+    for (code, day), r in seen.items():
+        own = [(x[1], x[2] if x[2] > 0 else None) for x in rows if x[0] == code and x[1] <= day]
+        rets = [None] + [b / a - 1 if a and b else None for (_, a), (_, b) in zip(own, own[1:])]
+        for label, n in panels.WINDOWS.items():
+            part = rets[-n:]
+            whole = len(part) == n and None not in part
+            assert (f"insufficient_history_{label}" in r["missing_flags"]) != whole
+            assert (r[f"realized_vol_{label}"] is None) != whole
+            if whole:
+                assert abs(r[f"realized_vol_{label}"] - statistics.stdev(part) * 252**0.5) < 1e-9
+                if label != "3m":
+                    path = [c for _, c in own[-n - 1 :]]
+                    assert abs(r[f"max_drawdown_{label}"] - min(c / max(path[: i + 1]) - 1 for i, c in enumerate(path))) < 1e-12
+                    assert abs(r[f"downside_vol_{label}"] - (sum(min(x, 0) ** 2 for x in part) / n) ** 0.5 * 252**0.5) < 1e-9
+        pairs = [(level[days.index(d)], x) for (d, _), x in zip(own[-252:], rets[-252:]) if x is not None and level[days.index(d)] is not None]
+        assert r["benchmark_observations"] == len(pairs) and (r["beta_to_benchmark"] is None) == (len(pairs) < 60)
+        if len(pairs) >= 60:
+            assert abs(r["beta_to_benchmark"] - statistics.covariance(*zip(*pairs)) / statistics.variance([x for x, _ in pairs])) < 1e-9

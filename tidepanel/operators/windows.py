@@ -31,13 +31,21 @@ def delta(x: Column, n: int, order: WindowSpec) -> Column:
     return x - delay(x, n, order)
 
 
-_METHODS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "median": lambda x: F.percentile(x, F.lit(0.5))}
+def median_of(values: Column) -> Column:
+    """The median of an array without nulls, null for an empty one; an even number has the mean of the middle two."""
+    middle = lambda v: F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) * 0.5 + F.get(v, F.floor(F.size(v) / 2).cast("int")) * 0.5
+    return F.get(F.transform(F.array(F.sort_array(values)), middle), 0)
+
+
+_METHODS = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}
 
 
 def rolling(x: Column, n: int, method: str, order: WindowSpec, least: int | None = None) -> Column:
     """A statistic of the last n rows, null where fewer than `least` (n) of them have a value."""
     w = frame(order, n)
-    return F.when(F.count(x).over(w) >= (n if least is None else least), _METHODS[method](x).over(w))
+    #: F.percentile would count each frame anew in a hash map
+    value = median_of(F.collect_list(x).over(w)) if method == "median" else _METHODS[method](x).over(w)
+    return F.when(F.count(x).over(w) >= (n if least is None else least), value)
 
 
 def rolling_arg(x: Column, n: int, order: WindowSpec, which: str = "max") -> Column:
@@ -82,6 +90,29 @@ def cumulative_factor(x: Column, order: WindowSpec) -> Column:
     return F.product(F.when(x > 0, x).otherwise(F.lit(1.0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def sample_deviation(values: Column) -> Column:
+    """Sample deviation of an array of at least two doubles without nulls, by running means."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(s: Column, x: Column) -> Column:
+        n, d = s["n"] + 1, x - s["mean"]
+        return F.struct(n.alias("n"), (s["mean"] + d / n).alias("mean"), (s["m2"] + d * d * (s["n"] / n)).alias("m2"))
+
+    return F.aggregate(values, start, step, lambda s: F.sqrt(F.try_divide(s["m2"], s["n"] - 1)))
+
+
+def slope(xs: Column, ys: Column) -> Column:
+    """Covariance of two arrays over the variance of the first, among the places where both have a value; null without spread."""
+    start = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "mx", "my", "cxy", "cxx")])
+    pairs = F.filter(F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+    def step(s: Column, p: Column) -> Column:
+        n, dx, dy = s["n"] + 1, p["x"] - s["mx"], p["y"] - s["my"]
+        return F.struct(n.alias("n"), (s["mx"] + dx / n).alias("mx"), (s["my"] + dy / n).alias("my"), (s["cxy"] + dx * dy * (s["n"] / n)).alias("cxy"), (s["cxx"] + dx * dx * (s["n"] / n)).alias("cxx"))
+
+    return F.aggregate(pairs, start, step, lambda s: F.try_divide(s["cxy"], s["cxx"]))
+
+
 def max_drawdown(values: Column) -> Column:
     """Largest fall, as a negative share, from a running peak inside an array."""
     start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("worst"))

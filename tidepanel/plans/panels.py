@@ -353,32 +353,39 @@ def defensive_panel(prices: DataFrame, benchmark: DataFrame, rebalances: DataFra
     """Volatility, downside volatility and drawdown of trailing windows, the beta to a benchmark, and missing flags.
 
     A window holds n + 1 bars; one bad price in it makes it insufficient. Only the bars that are a code's
-    latest at some date get windows: they meet the bars before them by code, and each folds its own once.
-    benchmark: (date, bench_return).
+    latest at some date get windows: each meets its code's bars as one array (no longer than the calendar) and folds
+    its part of it, so no pair of bars is ever a row. benchmark: (date, bench_return), a row a date.
     """
     order = win.by_code()
-    c = F.when(F.col("close") > 0, F.col("close"))
-    bars = prices.select("code", "date", c.alias("close"), F.row_number().over(order).alias("rn")).withColumn("ret", safe_ratio(F.col("close"), F.lag("close").over(order)) - 1)
-    bars = bars.join(benchmark, "date", "left")
-    dated = asof_join(spine(rebalances, prices), bars.select("code", F.col("date").alias("latest_price_date"), F.col("rn").alias("__rn")), ["code"], "rebalance_date", "latest_price_date").where("__rn is not null")
-    pairs = dated.select("code", "__rn").distinct().join(bars.drop("date"), "code").where(F.col("rn").between(F.col("__rn") - max(*WINDOWS.values(), beta_days), F.col("__rn")))
-    age, ret, out, flags = F.col("__rn") - F.col("rn"), F.col("ret"), {}, []
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c, ret = F.when(F.col("close") > 0, F.col("close")), F.col("ret")
+    bars = prices.join(F.broadcast(benchmark), "date", "left")  # a row a date
+    bars = bars.select("code", "date", c.alias("close"), "bench_return", F.row_number().over(order).alias("rn")).withColumn("ret", safe_ratio(F.col("close"), F.lag("close").over(order)) - 1)
+    paired = ret.isNotNull() & F.col("bench_return").isNotNull()
+    #: whole numbers, so that differences of running counts are exact
+    bars = bars.withColumns({"__seen": F.count(ret).over(so_far), "__pairs": F.count_if(paired).over(so_far)})
+    last = lambda count, n: F.col(count) - F.coalesce(F.lag(count, n).over(order), F.lit(0))
+    numbered = bars.select("code", F.col("date").alias("latest_price_date"), F.col("rn").alias("__rn"), *[(last("__seen", n) == n).alias(f"__full_{label}") for label, n in WINDOWS.items()], last("__pairs", beta_days).alias("benchmark_observations"))
+    dated = asof_join(spine(rebalances, prices), numbered, ["code"], "rebalance_date", "latest_price_date").where("__rn is not null")
+    own = bars.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("rn", "close", "ret", "bench_return"))).alias("__bars"))
+    own = own.select("code", F.col("__bars.close").alias("__close"), F.col("__bars.ret").alias("__ret"), F.col("__bars.bench_return").alias("__bench"))
+    rn, seen, out, flags = F.col("__rn"), F.col("benchmark_observations"), {}, []
+    part = lambda values, n: F.slice(values, F.greatest(rn - n + 1, F.lit(1)), F.least(rn, F.lit(n)))
     for label, n in WINDOWS.items():
-        own = F.when(age < n, ret)
-        full = F.count(own) == n
+        full, rets = F.col(f"__full_{label}"), part("__ret", n)
         flags.append((~full, f"insufficient_history_{label}"))
-        out[f"realized_vol_{label}"] = F.when(full, F.stddev_samp(own) * F.lit(YEAR**0.5))
+        out[f"realized_vol_{label}"] = F.when(full, win.sample_deviation(rets) * F.lit(YEAR**0.5))
         if label != "3m":
-            out[f"downside_vol_{label}"] = F.when(full, F.sqrt(F.avg(F.pow(F.when(own < 0, own).when(own.isNotNull(), F.lit(0.0)), 2))) * F.lit(YEAR**0.5))
-            path = F.transform(F.sort_array(F.collect_list(F.when(age <= n, F.struct("rn", "close")))), lambda x: x["close"])
-            out[f"max_drawdown_{label}"] = F.when(full, win.max_drawdown(path))
-    pair = ret.isNotNull() & F.col("bench_return").isNotNull() & (age < beta_days)
-    x, y = F.when(pair, F.col("bench_return")), F.when(pair, ret)
-    out["benchmark_observations"] = F.count(x)
-    out["beta_to_benchmark"] = F.when(F.count(x) >= least, safe_ratio(F.covar_samp(x, y), F.var_samp(x)))
-    flags.append((out["beta_to_benchmark"].isNull(), "missing_beta_to_benchmark"))
-    features = pairs.groupBy("code", "__rn").agg(*[v.alias(k) for k, v in out.items()], reasons(*flags).alias("missing_flags"))
-    return dated.join(features, ["code", "__rn"]).select("rebalance_date", "code", "latest_price_date", *out, "missing_flags")
+            squares = F.aggregate(rets, F.lit(0.0), lambda s, x: s + F.when(x < 0, x * x).otherwise(F.lit(0.0)))
+            out[f"downside_vol_{label}"] = F.when(full, F.sqrt(squares / n) * F.lit(YEAR**0.5))
+            out[f"max_drawdown_{label}"] = F.when(full, win.max_drawdown(part("__close", n + 1)))
+    out["benchmark_observations"] = seen
+    out["beta_to_benchmark"] = F.when(seen >= least, win.slope(part("__bench", beta_days), part("__ret", beta_days)))
+    each = dated.select("code", "__rn", *[f"__full_{label}" for label in WINDOWS], "benchmark_observations").distinct()
+    features = own.join(each, "code").select("code", "__rn", *[v.alias(k) for k, v in out.items()], *[f"__full_{label}" for label in WINDOWS])
+    flags.append((F.col("beta_to_benchmark").isNull(), "missing_beta_to_benchmark"))
+    features = features.select("code", "__rn", *out, reasons(*flags).alias("missing_flags"))
+    return dated.select("rebalance_date", "code", "latest_price_date", "__rn").join(features, ["code", "__rn"]).select("rebalance_date", "code", "latest_price_date", *out, "missing_flags")
 
 
 PRIOR_FIELDS = ("sales", "operating_profit", "net_profit", "shares")
