@@ -41,3 +41,19 @@ def test_shares_of_another_day(spark):
 
     out = df.select(price_rows.retargeted_shares(F.lit(1000.0), price_rows.adjustment_ratio(F.col("u"), F.col("a")), F.col("f")))
     assert [r[0] for r in out.collect()] == [1000, 1000, 500, 2]
+
+
+def test_readings_share_parsed_bars(spark):
+    """Texts are parsed once, whatever the number of readings: a reading of parsed bars holds no parser, and gives the rows of closes()."""
+    from tidepanel.session import materialize
+
+    rows = [("a", "2024-1-2", "n/a", "5", "6", "", "0", "1"), ("a", "2024-01-02\n", "1e999", "", "1,000", None, "-Infinity", ""), ("a", "0000-01-01", "1", "1", "1", "", "1", ""), ("a", "2024-02-30", "1", "1", "1", "", "1", ""), ("b", " 2024-02-29 ", "+.5", "1d", "NaN", "1", "1e-3", None)]
+    df = spark.createDataFrame(rows, RAW)
+    bars = materialize(price_rows.parsed_bars(df), "test-bars")
+    for reading in price_rows.READINGS:
+        out = price_rows.read_bars(bars, reading)
+        assert not any(word in out._jdf.queryExecution().optimizedPlan().toString().lower() for word in ("regexp", "rlike"))
+        assert sorted(map(str, out.collect())) == sorted(map(str, price_rows.closes(df, reading).collect()))
+    kept = price_rows.closes(df, "universe").orderBy("code").collect()
+    assert [(r["code"], str(r["date"]), r["close"], r["volume"]) for r in kept] == [("a", "2024-01-02", 5.0, 0.0), ("b", "2024-02-29", None, 0.001)]
+    assert [r["close"] for r in price_rows.closes(df, "group_beta").orderBy("code").collect()] == [6.0, 0.5]

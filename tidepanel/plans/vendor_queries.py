@@ -208,8 +208,8 @@ SELECT 'universe' AS reading, code, date, coalesce(u, c) AS close, CAST(v AS DOU
 UNION ALL SELECT 'forward_returns', code, date, CASE WHEN told IS NOT NULL THEN a ELSE coalesce(u, c) END AS x, v FROM n WHERE x > 0 UNION ALL SELECT 'event_drift', code, date, CASE WHEN told IS NOT NULL THEN a ELSE u END AS x, v FROM n WHERE x > 0""",
 )
 def price_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = materialize(_raw_bars(spark, sf_dir), "raw-bars")
-    parts = [price_rows.closes(raw, r).select(F.lit(r).alias("reading"), "code", "date", "close", "volume") for r in price_rows.READINGS]
+    bars = materialize(price_rows.parsed_bars(_raw_bars(spark, sf_dir)), "parsed-bars")
+    parts = [price_rows.read_bars(bars, r).select(F.lit(r).alias("reading"), "code", "date", "close", "volume") for r in price_rows.READINGS]
     return reduce(DataFrame.unionByName, parts)
 
 

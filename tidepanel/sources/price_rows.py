@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidepanel.functions.parse import first_filled, parse_bool, parse_date, parse_number
+from tidepanel.functions.parse import blank_to_null, first_filled, parse_bool, parse_date, parse_number
 from tidepanel.operators.asof import assert_unique
 from tidepanel.plans.snapshots import effective_adjusted_close
 
@@ -46,18 +46,24 @@ def _keyed(df: DataFrame, *values) -> DataFrame:
     return df.select(F.trim(first_filled(df, CODES)).alias("code"), parse_date(first_filled(df, DATES)).alias("date"), *values).where("code is not null and date is not null")
 
 
-def closes(df: DataFrame, reading: str) -> DataFrame:
-    """(code, date, close, trading_value, volume, market_cap, tradable_flag, price_limit_flag) as the panel of that name reads bars.
+def parsed_bars(df: DataFrame) -> DataFrame:
+    """Bars with every column that a reading may ask for parsed once: code, date, flags, and for each column c of numbers __c, whether it is filled and its number."""
+    names = dict.fromkeys([c for r in READINGS.values() for c in r.close] + [c for names in MEASURES.values() for c in names])
+    numbers = [F.struct(blank_to_null(F.col(n)).isNotNull().alias("filled"), parse_number(F.col(n)).alias("number")).alias(f"__{n}") for n in names if n in df.columns]
+    flags = [parse_bool(F.col(c) if c in df.columns else F.lit(None), default).alias(c) for c, default in (("tradable_flag", True), ("price_limit_flag", False))]
+    return df.select(F.trim(first_filled(df, CODES)).alias("code"), parse_date(first_filled(df, DATES)).alias("date"), *numbers, *flags)
 
-    Rows without a code or a date are no bars. Flags that can't be read are true for tradable, false for limits; measures that no
-    column holds are null. A repeated bar raises where the panel asks for single ones, else each stays.
-    """
+
+def read_bars(bars: DataFrame, reading: str) -> DataFrame:
+    """closes() of bars that parsed_bars() has read; several readings can share those."""
     if reading not in READINGS:
         raise ValueError(f"no reading of prices is called {reading}")
     how = READINGS[reading]
-    close = first_number(df, list(how.close)) if how.numbers else parse_number(first_filled(df, list(how.close)))
-    flags = [parse_bool(F.col(c) if c in df.columns else F.lit(None), default).alias(c) for c, default in (("tradable_flag", True), ("price_limit_flag", False))]
-    out = _keyed(df, close.alias("close"), *[first_number(df, names).alias(m) for m, names in MEASURES.items()], *flags)
+    held = lambda names: [F.col(f"__{n}") for n in names if f"__{n}" in bars.columns]
+    number = lambda names: F.coalesce(*[c["number"] for c in held(names)], F.lit(None).cast("double"))
+    filled = [F.when(c["filled"], F.struct(c["number"].alias("number"))) for c in held(how.close)]
+    close = number(how.close) if how.numbers or not filled else F.coalesce(*filled)["number"]
+    out = bars.where("code is not null and date is not null").select("code", "date", close.alias("close"), *[number(names).alias(m) for m, names in MEASURES.items()], "tradable_flag", "price_limit_flag")
     if how.positive:
         out = out.where("close > 0")
     if how.unique:
@@ -65,6 +71,15 @@ def closes(df: DataFrame, reading: str) -> DataFrame:
     return out
 
 
+def closes(df: DataFrame, reading: str) -> DataFrame:
+    """(code, date, close, trading_value, volume, market_cap, tradable_flag, price_limit_flag) as the panel of that name reads bars.
+
+    Rows without a code or a date are no bars. Flags that can't be read are true for tradable, false for limits; measures that no
+    column holds are null. A repeated bar raises where the panel asks for single ones, else each stays.
+    """
+    return read_bars(parsed_bars(df), reading)
+
+
 def adjusted_bars(df: DataFrame) -> DataFrame:
     """(code, date, close, price_limit_flag): adjusted closes, missing ones by the raw close over the factors up to the day.
 
