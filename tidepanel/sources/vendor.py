@@ -201,6 +201,7 @@ def price_sample(bars: DataFrame, listed: DataFrame, price: tuple[float, float],
     """
     wanted = listed.where(is_sample_stock(listed, markets)).select("code", "name", "market", "sector")
     numbers = bars.select("code", parse_number(F.col("unadjusted_close")).alias("close"), parse_number(F.col("trading_value")).alias("trading_value"))
-    fit = numbers.where(F.col("close").between(*price) & F.col("trading_value").between(*value)).join(wanted, "code")
+    inside = lambda c, bounds: F.exists(F.array(F.col(c)), lambda v: v.between(*bounds))  # noqa: E731  names the parsed text once
+    fit = numbers.where(inside("close", price) & inside("trading_value", value)).join(wanted, "code")
     chosen = fit.orderBy("trading_value", "code", "close").limit(limit)
     return chosen.withColumn("place", F.row_number().over(Window.orderBy("trading_value", "code", "close")))  # `limit` rows
