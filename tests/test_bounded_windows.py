@@ -26,6 +26,15 @@ def some_bars(spark, codes=3, days=300):
     return spark.createDataFrame(rows, "code string, date date, close double, high double, low double, open double, volume double, trading_value double"), rows
 
 
+def test_medians_of_trailing_rows(spark):
+    xs = [3.0, None, 1.5, 1.5, 9.0, None, None, None, -2.0, 0.1, 0.2]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(xs)], "code string, date int, x double")
+    out = df.select("date", win.rolling(F.col("x"), 4, "median", win.by_code(), least=1).alias("m"))
+    assert "percentile(" not in plan_of(out)
+    frames = [[x for x in xs[max(0, i - 3) : i + 1] if x is not None] for i in range(len(xs))]
+    assert [r["m"] for r in out.orderBy("date").collect()] == [statistics.median(f) if f else None for f in frames]
+
+
 def test_section_ranks_sort_narrow_rows_once(spark):
     rng = random.Random(3)
     rows = [(d, f"c{i}", rng.choice([None, 1.0, 2.0, float("nan"), rng.random()]), rng.random(), i % 3 == 0) for d in range(4) for i in range(30)]

@@ -267,7 +267,7 @@ c AS (SELECT rebalance_date, split_part(reason, ':', 1) AS reason, count(*) AS n
 t AS (SELECT rebalance_date, string_agg(reason || ':' || n, ';' ORDER BY place) AS top_exclusion_reasons FROM p WHERE place <= 5 GROUP BY 1) SELECT s.*, coalesce(top_exclusion_reasons, '') AS top_exclusion_reasons FROM s LEFT JOIN t USING (rebalance_date)""",
 )
 def profile(spark, sf_dir):
-    return _rounded(dg.universe_profile(_universe(spark, sf_dir)[0]), 4)
+    return _rounded(dg.universe_profile(materialize(_universe(spark, sf_dir)[0], "universe")), 4)  # read twice
 
 
 @query(
