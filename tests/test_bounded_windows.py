@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import windows as win
 from tidepanel.operators.cross_section import rank_pct
-from tidepanel.plans import panels
+from tidepanel.plans import panels, research
 
 
 def plan_of(df):
@@ -82,3 +82,18 @@ def test_defensive_windows_make_no_pairs(spark):
         assert r["benchmark_observations"] == len(pairs) and (r["beta_to_benchmark"] is None) == (len(pairs) < 60)
         if len(pairs) >= 60:
             assert abs(r["beta_to_benchmark"] - statistics.covariance(*zip(*pairs)) / statistics.variance([x for x, _ in pairs])) < 1e-9
+
+
+def test_contract_issues_keep_a_row_a_code(spark):
+    day = lambda i: date(2020, 1, 1) + timedelta(days=i)
+    rows = [("a", day(1), 1.0)] * 3 + [("a", day(2), 0.0), ("a", None, 2.0), ("a", None, -2.0), ("b", day(1), None), ("b", day(2), 1.0), (None, day(1), 1.0), (None, day(1), 1.0)]
+    prices = spark.createDataFrame(rows, "code string, date date, close double")
+    listed = spark.createDataFrame([("a", "2020-01-01", ""), ("c", "x", "")], "code string, listed_date string, delisted_date string")
+    statements = spark.createDataFrame([("z", None)], "code string, available_date date")
+    out = research.contract_issues(listed, prices, statements, required=3)
+    assert "distinct" not in plan_of(out).lower()
+    got = {(r["dataset"], r["check"]): r["n"] for r in out.collect()}
+    assert got["prices", "duplicate_key"] == 3 and got["prices", "non_positive_close"] == 2 and got["prices", "short_history"] == 3
+    assert got["prices", "code_not_listed"] == 2 and got["listings", "code_without_price"] == 1 and got["listings", "unparseable_date"] == 1
+    none = research.contract_issues(listed, prices.limit(0), statements)
+    assert {r["check"]: r["n"] for r in none.where("dataset = 'prices'").collect()} == {"duplicate_key": 0, "non_positive_close": 0, "short_history": 0, "code_not_listed": 0}
