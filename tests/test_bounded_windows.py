@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import statistics
 from datetime import date, timedelta
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import windows as win
 from tidepanel.operators.cross_section import rank_pct
 from tidepanel.plans import panels, research
+from tidepanel.session import shared_dir
 
 
 def plan_of(df):
@@ -54,6 +57,43 @@ def test_proxies_of_wanted_bars_rank_among_all(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == wanted.count()
 
 
+def test_dated_bars_carry_their_dates(spark):
+    bars, rows = some_bars(spark)
+    day = lambda i: date(2020, 1, 1) + timedelta(days=i)
+    gone = {("c0", day(20)), ("c0", day(21)), ("c2", day(9))}
+    odd = bars.where(~F.concat("code", F.col("date").cast("string")).isin(*[f"{c}{d}" for c, d in gone])).unionByName(bars.limit(1).withColumn("date", F.lit(None).cast("date"))).unionByName(bars.limit(2).withColumn("code", F.lit(None).cast("string")))
+    dates = [day(-3), day(9), day(20), day(21), day(100), day(5000)]
+    got = panels.dated_bars(odd, spark.createDataFrame([(d,) for d in dates], "rebalance_date date"), 4).select("code", "date", "__dates").collect()
+    want = {}
+    for code in ("c0", "c1", "c2"):
+        own = sorted(r[1] for r in rows if r[0] == code and (code, r[1]) not in gone)
+        for d in dates:
+            seen = [x for x in own if x <= d]
+            for x in seen[-4:]:
+                want.setdefault((code, x), [])
+            if seen:
+                want[code, seen[-1]].append(d)
+    assert {(r["code"], r["date"]): sorted(r["__dates"]) for r in got} == want and len(got) == len(want)
+
+
+def test_price_volume_panel_writes_no_bars(spark):
+    """Bars are dealt by code and by day: no table is written, no bar meets its features again by a join."""
+    bars, rows = some_bars(spark, codes=5, days=430)
+    days = sorted({r[1] for r in rows})
+    dates = spark.createDataFrame([(days[3],), (days[99],), (days[180],), (days[420],), (days[-1] + timedelta(days=40),)], "rebalance_date date")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = panels.price_volume_panel(bars, dates)
+    got = {(r["rebalance_date"], r["code"]): r for r in out.collect()}
+    assert set(os.listdir(folder)) == before and not re.search(r"Join \w+, \(", plan_of(out))
+    every = {(r["code"], r["date"]): r for r in panels.proxy_alphas(panels.daily_features(panels.trimmed(bars, dates))).collect()}
+    assert len(got) == out.count() == sum(any(x[0] == c and x[1] <= d["rebalance_date"] for x in rows) for d in dates.collect() for c in {x[0] for x in rows})
+    for (day, code), r in got.items():
+        assert r["price_date"] == max(x[1] for x in rows if x[0] == code and x[1] <= day)
+        one = every[code, r["price_date"]]
+        assert all(r[c] == one[c] for c in one.asDict() if c.startswith("alpha_"))
+
+
 def test_defensive_windows_make_no_pairs(spark):
     bars, rows = some_bars(spark)
     days = sorted({r[1] for r in rows})

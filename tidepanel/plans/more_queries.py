@@ -54,10 +54,10 @@ SPLIT_SQL = """splits AS (SELECT code, date, close AS unadjusted_close, CASE WHE
   CASE WHEN day(date) = 17 THEN 0.5::DOUBLE WHEN day(date) = 23 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS adjustment_factor FROM prices)"""
 
 
-def _splits(spark, sf_dir) -> DataFrame:
+def _splits(spark, sf_dir, bars: DataFrame | None = None) -> DataFrame:
     day, c = F.dayofmonth("date"), F.col("close")
     adjusted = F.when((F.col("code").cast("long") % 3 == 0) & (day % 2 == 0), c * 2)
-    return ct.prices(spark, sf_dir).select("code", "date", c.alias("unadjusted_close"), adjusted.alias("adjusted_close"), F.when(day == 17, 0.5).when(day == 23, 2.0).otherwise(1.0).alias("adjustment_factor"))
+    return (ct.prices(spark, sf_dir) if bars is None else bars).select("code", "date", c.alias("unadjusted_close"), adjusted.alias("adjusted_close"), F.when(day == 17, 0.5).when(day == 23, 2.0).otherwise(1.0).alias("adjustment_factor"))
 
 
 @query(

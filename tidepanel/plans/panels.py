@@ -14,7 +14,6 @@ from tidepanel.operators.cross_section import FilterRule, apply_filters, order_r
 from tidepanel.operators.market_calendar import offset_date, with_calendar_index
 from tidepanel.operators.merge import merge_panels
 from tidepanel.plans.snapshots import price_volume_flags
-from tidepanel.session import materialize
 
 
 def spine(rebalances: DataFrame, codes: DataFrame) -> DataFrame:
@@ -228,24 +227,25 @@ def daily_features(prices: DataFrame) -> DataFrame:
     })
 
 
-def latest_bars(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """(rebalance_date, code, price_date, number): each code's latest bar by each date, and its number within the code."""
-    numbered = prices.select("code", F.col("date").alias("price_date"), F.row_number().over(win.by_code()).alias("number"))
-    return asof_join(spine(rebalances, prices), numbered, ["code"], "rebalance_date", "price_date").where("number is not null")
+def dated_bars(prices: DataFrame, rebalances: DataFrame, rows: int = 80) -> DataFrame:
+    """Of each code the bars that are among its last `rows` at some rebalance date, with `__dates`: the dates (often none) at which the bar is the latest.
 
+    Read from a code's newest bar back, the bar seen before bounds the dates of a bar, so one order by code finds the latest
+    bars and what they need; the few dates go to every task. Bars without a code or a date are none. Cross-sections rank only what is kept, so this is part of the result
+    and not only a saving.
+    """
+    back = Window.partitionBy("code").orderBy(F.col("date").desc())
+    every = rebalances.agg(F.collect_list("rebalance_date").alias("__every"))  # one row
+    numbered = prices.where("code is not null and date is not null").withColumns({"__next": F.lag("date").over(back), "__rn": F.row_number().over(back)}).join(F.broadcast(every))
+    dates = F.filter("__every", lambda d: (d >= F.col("date")) & (F.col("__next").isNull() | (d < F.col("__next"))))
+    marked = numbered.select(*prices.columns, "__rn", dates.alias("__dates"))
+    near = F.last(F.when(F.size("__dates") > 0, F.col("__rn")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("__near", near).where(F.col("__rn") - F.col("__near") < rows).select(*prices.columns, "__dates")
 
-def trimmed(prices: DataFrame, rebalances: DataFrame, rows: int = 80, latest: DataFrame | None = None) -> DataFrame:
-    """Of each code the bars that are among its last `rows` at some rebalance date; `latest` are the latest_bars(), if known.
 
-    Cross-sections rank only what is kept, so this is part of the result and not only a saving.
-    """
-    numbered = prices.withColumn("__rn", F.row_number().over(win.by_code()))
-    last = (latest_bars(prices, rebalances) if latest is None else latest).select("code", F.col("number").alias("__last")).distinct()
-    #: ranges (last - rows, last] as edges, kept where the running sum is positive
-    edges = last.select("code", (F.col("__last") - rows + 1).alias("__rn"), F.lit(1).alias("__edge")).unionByName(last.select("code", (F.col("__last") + 1).alias("__rn"), F.lit(-1).alias("__edge")))
-    merged = numbered.withColumn("__edge", F.lit(0)).withColumn("__row", F.lit(1)).unionByName(edges.withColumn("__row", F.lit(0)), allowMissingColumns=True)
-    depth = F.sum("__edge").over(Window.partitionBy("code").orderBy("__rn", "__row").rowsBetween(Window.unboundedPreceding, 0))
-    return merged.withColumn("__depth", depth).where("__row = 1 and __depth > 0").select(*prices.columns)
+def trimmed(prices: DataFrame, rebalances: DataFrame, rows: int = 80) -> DataFrame:
+    """Of each code the bars that are among its last `rows` at some rebalance date."""
+    return dated_bars(prices, rebalances, rows).drop("__dates")
 
 
 def ranked_values() -> dict[str, Column]:
@@ -259,90 +259,120 @@ def ranked_values() -> dict[str, Column]:
     }
 
 
-def section_ranks(rows: DataFrame, values: list[str], by: str, wanted: str) -> DataFrame:
-    """(code, by, __r_<value>...) of the rows that are `wanted`: rank_pct of each value among all rows of the section.
+def section_ranks(rows: DataFrame, values: list[str], by: str, wanted: str, own: str | None = None) -> DataFrame:
+    """(by, code, own, __r_<value>...) of the rows that are `wanted`: rank_pct of each value among all rows of the section.
 
     The section's rows are dealt once and opened to a row for each value within the task, so one sort of narrow rows
-    takes the place of a sort of whole rows for each value; only wanted rows are folded back. rows: unique by code and section.
+    takes the place of a sort of whole rows for each value; only wanted rows are folded back. The column `own`, if named, goes
+    along with the first value and needs no join. rows: unique by code and section.
     """
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col(v).alias("x")) for i, v in enumerate(values)]))
-    long = rows.select(by, F.when(F.col(wanted), F.col("code")).alias("code"), each.alias("__e")).select(by, "code", "__e.k", "__e.x").where("x is not null")
-    placed = long.select(by, "code", "k", rank_pct("x", [by, "k"]).alias("r")).where("code is not null")
-    return placed.groupBy(by, "code").agg(*[F.max(F.when(F.col("k") == i, F.col("r"))).alias(f"__r_{v}") for i, v in enumerate(values)])
-
+    long = rows.select(by, F.when(F.col(wanted), F.col("code")).alias("code"), each.alias("__e"), *([own] if own else []))
+    first = F.col("__e.k") == 0
+    long = long.select(by, "code", "__e.k", "__e.x", *([F.when(first & F.col("code").isNotNull(), F.col(own)).alias(own)] if own else [])).where("x is not null or (k = 0 and code is not null)")
+    placed = long.select(by, "code", "k", rank_pct("x", [by, "k"]).alias("r"), *([own] if own else [])).where("code is not null")
+    carried = [F.first(own, ignorenulls=True).alias(own)] if own else []
+    return placed.groupBy(by, "code").agg(*carried, *[F.max(F.when(F.col("k") == i, F.col("r"))).alias(f"__r_{v}") for i, v in enumerate(values)])
 
-def proxy_alphas(features: DataFrame, digits: int = 10, wanted: DataFrame | None = None) -> DataFrame:
-    """The seventeen price-volume proxies; ranks are across the codes of a day, of values rounded to `digits`.
 
-    With `wanted`, unique rows (code, date), proxies of those alone, ranked among all of features.
-    """
-    c, v, ranked = F.col("close"), F.col("volume"), ranked_values()
-    f = features.withColumns({f"__x_{k}": F.round(x, digits) for k, x in ranked.items()})
-    if wanted is None:
-        f = f.select(*features.columns, *[rank_pct(f"__x_{k}", ["date"]).alias(f"__r_{k}") for k in ranked])
-    else:
-        f = materialize(f.join(wanted.select("code", "date", F.lit(True).alias("__wanted")), ["code", "date"], "left"), "proxy-features")
-        days = max(1, f.select("date").distinct().count())  # a few days a task: whole sections, however many codes they have
-        narrow = f.select("date", "code", *[F.col(f"__x_{k}").alias(k) for k in ranked], F.coalesce("__wanted", F.lit(False)).alias("__wanted")).repartition(min(days, 1024), "date")
-        f = f.where("__wanted").join(section_ranks(narrow, list(ranked), "date", "__wanted"), ["date", "code"], "left")
-    r = {k: F.col(f"__r_{k}") for k in ranked}
-    vwap, low_sign = F.col("vwap"), sign_up(F.col("delta_volume_1"))
-    alphas = {
-        "005": -r["open_vwap"] * r["abs_close_vwap"],
-        "011": (r["max_gap"] + r["min_gap"]) * r["delta_volume"],
-        "012": -F.col("delta_close_1") * low_sign,
+def plain_proxies() -> dict[str, Column]:
+    """The proxies that look at their own code alone."""
+    c, vwap = F.col("close"), F.col("vwap")
+    return {
+        "012": -F.col("delta_close_1") * sign_up(F.col("delta_volume_1")),
         "024": -(c - F.col("mean_close_20")),
         "028": -F.col("corr_adv_low_5") + safe_ratio(c, vwap) - 1,
         "032": F.col("mean_close_20") - c + F.col("corr_vwap_delay_20"),
-        "033": r["neg_returns"] + F.col("candle_pressure"),
-        "034": r["std_ratio"] + r["delta_close"],
         "041": F.sqrt(F.col("high") * F.col("low")) - vwap,
-        "042": safe_ratio(r["vwap_minus"], r["vwap_plus"]),
         "043": F.col("ts_rank_to_adv_20") * F.col("ts_rank_delta_8"),
-        "047": r["inv_close"] * F.col("volume_to_adv20") * r["high_close"],
         "053": -F.col("delta_candle_9"),
         "057": -safe_ratio(c - vwap, F.col("decay_argmax_30_2")),
-        "060": -(2 * r["candle_volume"] - r["argmax_10"]),
         "083": safe_ratio(F.col("ts_rank_range_5") * F.col("ts_rank_volume_5"), F.col("ts_rank_vwap_5")),
         "101": F.col("candle_pressure"),
     }
-    return f.select("code", "date", *[x.alias(f"alpha_{k}") for k, x in alphas.items()])
 
 
-def _dated_proxies(kept: DataFrame, latest: DataFrame) -> DataFrame:
-    """The proxies of the days that hold a latest bar; other days' sections are not ranked."""
-    days = latest.select(F.col("price_date").alias("date")).distinct()
-    bars = daily_features(kept).join(F.broadcast(days), "date", "left_semi")  # days are no more than the calendar's
-    return proxy_alphas(bars, wanted=latest.select("code", F.col("price_date").alias("date")).distinct())
+def ranked_proxies() -> dict[str, Column]:
+    """The proxies of a bar's ranks among the codes of its day, __r_<value>."""
+    r = {k: F.col(f"__r_{k}") for k in ranked_values()}
+    return {
+        "005": -r["open_vwap"] * r["abs_close_vwap"],
+        "011": (r["max_gap"] + r["min_gap"]) * r["delta_volume"],
+        "033": r["neg_returns"] + F.col("candle_pressure"),
+        "034": r["std_ratio"] + r["delta_close"],
+        "042": safe_ratio(r["vwap_minus"], r["vwap_plus"]),
+        "047": r["inv_close"] * F.col("volume_to_adv20") * r["high_close"],
+        "060": -(2 * r["candle_volume"] - r["argmax_10"]),
+    }
+
+
+#: the seventeen proxies in the order of the panel's columns
+PROXIES = ("005", "011", "012", "024", "028", "032", "033", "034", "041", "042", "043", "047", "053", "057", "060", "083", "101")
+
+
+def proxy_alphas(features: DataFrame, digits: int = 10, wanted: DataFrame | None = None) -> DataFrame:
+    """The seventeen price-volume proxies; ranks are across the codes of a day, of values rounded to `digits`.
 
+    With `wanted`, unique rows (code, date), proxies of those alone, ranked among all of features.
+    """
+    if wanted is not None:
+        marked = features.join(wanted.select("code", "date", F.lit(True).alias("__wanted")), ["code", "date"], "left")
+        return _wanted_proxies(marked, F.coalesce("__wanted", F.lit(False)), {}, digits).select("code", "date", *[f"alpha_{k}" for k in PROXIES])
+    ranked = ranked_values()
+    f = features.withColumns({f"__x_{k}": F.round(x, digits) for k, x in ranked.items()})
+    f = f.select(*features.columns, *[rank_pct(f"__x_{k}", ["date"]).alias(f"__r_{k}") for k in ranked])
+    alphas = plain_proxies() | ranked_proxies()
+    return f.select("code", "date", *[alphas[k].alias(f"alpha_{k}") for k in PROXIES])
 
-def price_volume_panel(prices: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """The proxies at each code's latest bar as of each rebalance date."""
-    latest = materialize(latest_bars(prices, rebalances), "latest-bars")  # read by three legs
-    alphas = _dated_proxies(trimmed(prices, rebalances, latest=latest), latest)
-    return latest.drop("number").join(alphas.withColumnRenamed("date", "price_date"), ["code", "price_date"])
 
+def _wanted_proxies(features: DataFrame, wanted: Column, carried: dict[str, Column], digits: int = 10, days: int | None = None) -> DataFrame:
+    """(date, code, alpha_<k>..., carried) of the bars that are wanted, ranked among all of features.
 
-def price_volume_report(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
+    One shuffle deals the days: of every bar the values to be ranked, of a wanted one also what its row needs later, so that no
+    bar is written or meets its features again by a join. days: the number of dates, if known.
+    """
+    ranked = ranked_values()
+    own = {f"alpha_{k}": x for k, x in plain_proxies().items()} | {c: F.col(c) for c in ("candle_pressure", "volume_to_adv20")} | carried
+    narrow = features.select(
+        "date", F.when(wanted, F.col("code")).alias("code"), wanted.alias("__wanted"), *[F.round(x, digits).alias(k) for k, x in ranked.items()], F.when(wanted, F.struct(*[x.alias(k) for k, x in own.items()])).alias("__own")
+    )
+    days = features.select("date").distinct().count() if days is None else days
+    dealt = narrow.repartition(min(max(1, days), 1024), "date")  # a few days a task: whole sections, however many codes they have
+    out = section_ranks(dealt, list(ranked), "date", "__wanted", "__own").select("date", "code", "__own.*", *[f"__r_{k}" for k in ranked])
+    return out.withColumns({f"alpha_{k}": x for k, x in ranked_proxies().items()}).select("date", "code", *[f"alpha_{k}" for k in PROXIES], *carried)
+
+
+def _dated_proxies(prices: DataFrame, rebalances: DataFrame, carried: dict[str, Column], days: int | None) -> DataFrame:
+    """(rebalance_date, code, price_date, alpha_<k>..., carried): the proxies at each code's latest bar by each date, and columns of the bar."""
+    bars = daily_features(dated_bars(prices, rebalances))
+    out = _wanted_proxies(bars, F.size("__dates") > 0, {"__dates": F.col("__dates")} | carried, days=days)
+    return out.select(F.explode("__dates").alias("rebalance_date"), "code", F.col("date").alias("price_date"), *[f"alpha_{k}" for k in PROXIES], *carried)
+
+
+def price_volume_panel(prices: DataFrame, rebalances: DataFrame, days: int | None = None) -> DataFrame:
+    """The proxies at each code's latest bar as of each rebalance date; days: the number of dates of prices, if known.
+
+    Prices are read once, dealt by code and then by day, and nothing is written between.
+    """
+    return _dated_proxies(prices, rebalances, {}, days)
+
+
+def price_volume_report(bars: DataFrame, rebalances: DataFrame, days: int | None = None) -> DataFrame:
     """Every code at every rebalance date with its latest bar's proxies, the bar's own measures, and flags of what is missing or thin.
 
     bars also carry effective_close_flag, fallback_lookback_count and price_limit_flag. A code without a bar by then keeps its row.
     """
-    extra = ["effective_close_flag", "fallback_lookback_count", "price_limit_flag"]
-    latest = materialize(latest_bars(bars, rebalances), "latest-bars")
-    kept, v, money = materialize(trimmed(bars, rebalances, latest=latest), "kept-bars"), F.col("volume"), F.col("trading_value")
-    alphas = _dated_proxies(kept.drop(*extra), latest)
-    names = [c for c in alphas.columns if c.startswith("alpha_")]
-    order, c, vwap = win.by_code(), F.col("close"), safe_ratio(money, v)
-    dollar = F.coalesce(money, c * v)
-    own = kept.select(
-        "code", "date", *extra, dollar.alias("dollar_volume"), win.rolling(dollar, 20, "mean", order).alias("adv20"), win.rolling(dollar, 60, "mean", order).alias("adv60"), vwap.alias("vwap_proxy"),
-        (safe_ratio(c, F.col("open")) - 1).alias("intraday_return"), (safe_ratio(c, vwap) - 1).alias("close_to_vwap"), (safe_ratio(F.col("high"), F.col("low")) - 1).alias("high_low_range"),
-        F.when(v.isNull(), "missing_volume").when(v == 0, "zero_volume").when(money.isNull(), "missing_trading_value").otherwise("").alias("vwap_proxy_flag"),
-    )
-    rows = latest.drop("number").join(alphas.select(F.col("date").alias("price_date"), "code", *names), ["code", "price_date"]).join(own.withColumnRenamed("date", "price_date"), ["code", "price_date"])
+    v, money, order, c = F.col("volume"), F.col("trading_value"), win.by_code(), F.col("close")
+    vwap, dollar = safe_ratio(money, v), F.coalesce(money, c * v)
+    own = {
+        **{k: F.col(k) for k in ("effective_close_flag", "fallback_lookback_count", "price_limit_flag")},
+        "dollar_volume": dollar, "adv20": win.rolling(dollar, 20, "mean", order), "adv60": win.rolling(dollar, 60, "mean", order), "vwap_proxy": vwap,
+        "intraday_return": safe_ratio(c, F.col("open")) - 1, "close_to_vwap": safe_ratio(c, vwap) - 1, "high_low_range": safe_ratio(F.col("high"), F.col("low")) - 1,
+        "vwap_proxy_flag": F.when(v.isNull(), "missing_volume").when(v == 0, "zero_volume").when(money.isNull(), "missing_trading_value").otherwise(""),
+    }
+    rows = _dated_proxies(bars, rebalances, own, days)
     every = spine(rebalances, bars).join(rows, ["rebalance_date", "code"], "left")
-    return price_volume_flags(every, names)
+    return price_volume_flags(every, [f"alpha_{k}" for k in PROXIES])
 
 
 WINDOWS = {"3m": 63, "6m": 126, "12m": 252}
