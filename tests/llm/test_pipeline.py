@@ -80,6 +80,18 @@ def test_stages_on_odd_rows(spark):
     assert out.count() == left.count()
 
 
+def test_sharding_has_links_when_no_copies_are_left(spark):
+    """The stages before leave no equal texts; the last one keeps documents together that share a line."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    families = [say(12) for _ in range(32)]
+    docs = spark.createDataFrame([(i, f"{say(30)}\n{families[i % 32]}\n{say(30)}", "en", "web", 0) for i in range(320)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_near_copies(spark, docs, SF).count() == 320
+    place = {r["doc_id"]: r["shard"] for r in corpus_pipeline.shard(spark, docs, SF).collect()}
+    assert set(Counter(place.values()).values()) == {40}
+    assert sum(place[i] == place[i % 32] for i in range(32, 320)) > 0.6 * 288
+
+
 def test_stages_on_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     place = _tables(spark, corpus_pipeline.shared_path(spark, "empty"), [], [])

@@ -62,3 +62,43 @@ def test_propagation_settles_or_tells(spark):
     assert all(place[i] == place[i - i % 100] for i in place)
     with pytest.warns(UserWarning, match="bound of 1 rounds"):
         sharding.propagate(links, [1000] * 8, rounds=1)
+
+
+def line_sets(rng):
+    """Texts of forty families of five: a family shares a line, all share another one, no two texts are equal."""
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common = say(3)
+    family = [say(20) for _ in range(40)]
+    return [(i, f"{say(8)}\n {family[i % 40]}\t\r\n\n{common}\n{family[i % 40]}\n{say(5)}") for i in range(200)]
+
+
+def test_rows_that_share_lines_keep_together(spark):
+    docs = spark.createDataFrame(line_sets(random.Random(4)), "doc_id long, text string").repartition(4)
+    split = {}
+    for lines in (False, True):
+        got = sharding.shard_documents(docs, 8, lines=lines).collect()
+        assert sorted(r["doc_id"] for r in got) == list(range(200)) and set(Counter(r["shard"] for r in got).values()) == {25}
+        assert all(sorted(r["slot"] for r in got if r["shard"] == j) == list(range(25)) for j in range(8))
+        place = {r["doc_id"]: r["shard"] for r in got}
+        split[lines] = sum(place[i] != place[i % 40] for i in range(40, 200))
+    assert split[True] < 0.5 * split[False]
+
+
+def test_line_links_join_all_holders_by_small_trees(spark):
+    held = [(i, 1, 9) for i in range(1000)] + [(i, 2 + i // 3, 4) for i in range(300)]
+    links = sharding.line_links(spark.createDataFrame(held, "node long, line long, n int")).collect()
+    degree = Counter(r["dst"] for r in links)
+    assert max(degree.values()) <= 3 * (1000 // sharding.PARTS + sharding.PARTS) / 2
+    root = list(range(1000))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for r in links:
+        assert r["src"] != r["dst"] and r["weight"] in (4, 9, 13)
+        root[find(r["src"])] = find(r["dst"])
+    assert len({find(i) for i in range(1000)}) == 1
+    small = [(r["src"], r["dst"]) for r in links if r["weight"] in (4, 13)]
+    assert len(small) == 200 and all(a // 3 == b // 3 for a, b in small)

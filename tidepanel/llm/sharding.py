@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation.
 
-Linked documents ask, round by round, for the shard in which most of their neighbours are, and a
+Documents of equal text are linked and, where asked for, those that share a line. Linked documents ask, round by round, for the shard in which most of their neighbours are, and a
 share of them moves there within the room that the shard's quota leaves, until none gains by a
 move or the cut no longer falls. Groups of copies that fit then take their shards whole. Documents
 without links fill what remains, so that the counts of any two shards differ by at most one (law
@@ -23,6 +23,8 @@ ROUNDS = 100
 #: rounds without a smaller cut after which propagation ends
 PATIENCE = 5
 SLACK = 0.05
+#: parts into which the holders of a line are dealt
+PARTS = 64
 _SCALE = 1 << 30
 
 
@@ -62,11 +64,12 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
     least, kept, stale, gaining = None, labels, 0, 0
     for at in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "shard").agg(F.sum("weight").alias("votes"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"))
-        here = labels.join(votes.withColumnRenamed("src", "node"), ["node", "shard"], "left").select("node", "shard", F.coalesce("votes", F.lit(0)).alias("own"))
-        asked = here.join(best, "node").select("node", "shard", (-F.col("best.low")).alias("want"), F.col("best.votes").alias("best_votes"), (F.col("best.votes") - F.col("own")).alias("gain"))
-        movers = (F.col("gain") > 0) & (_draw("node", F.lit(at)) < 0.5)
-        asked = materialize(asked.withColumn("asks", movers).withColumn("own_votes", F.col("best_votes") - F.col("gain")), "shard-asks")
+        stands = votes.select(F.col("src").alias("node"), F.col("shard").alias("of"), "votes").join(labels, "node").groupBy("node").agg(
+            F.first("shard").alias("shard"), F.max(F.struct("votes", (-F.col("of")).alias("low"))).alias("best"), F.coalesce(F.max(F.when(F.col("of") == F.col("shard"), F.col("votes"))), F.lit(0)).alias("own_votes")
+        )
+        asked = stands.select("node", "shard", (-F.col("best.low")).alias("want"), "own_votes", (F.col("best.votes") - F.col("own_votes")).alias("gain"))
+        #: the round is text, which generated code takes as an argument: all rounds run the same code
+        asked = materialize(asked.withColumn("asks", (F.col("gain") > 0) & (_draw("node", F.lit(f"{at}")) < 0.5)), "shard-asks")
         counts = asked.groupBy("shard", "want", "asks").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("gain") > 0, 1)).alias("gaining"), F.sum("own_votes").alias("whole")).collect()
         now = {(r["shard"], r["want"], r["asks"]): r["n"] for r in counts}
         gaining, cut = sum(r["gaining"] for r in counts), -sum(r["whole"] for r in counts)
@@ -83,8 +86,8 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         share = [min(1.0, max(0.0, quotas[j] * (1 + SLACK) - held[j]) / over[j]) if over[j] else 0.0 for j in range(shards)]
         chance = [(even[i][j] + (wish[i][j] - even[i][j]) * share[j]) / wish[i][j] if wish[i][j] else 0.0 for i in range(shards) for j in range(shards)]
         odds = F.element_at(F.array(*[F.lit(c) for c in chance]), F.col("shard") * shards + F.col("want") + 1)
-        moved = F.when(F.col("asks") & (_draw("node", F.lit(at), F.lit("move")) < odds), F.col("want")).otherwise(F.col("shard"))
-        labels = materialize(asked.select("node", moved.cast("int").alias("shard")), "shard-labels")
+        moved = F.when(F.col("asks") & (_draw("node", F.lit(f"{at} move")) < odds), F.col("want")).otherwise(F.col("shard"))
+        labels = asked.select("node", moved.cast("int").alias("shard"))
     else:
         warnings.warn(f"propagation ended by its bound of {rounds} rounds; {gaining} nodes gained by a move in the last one", stacklevel=2)
         return labels
@@ -162,12 +165,34 @@ def balanced(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUN
     return kept.unionByName(free.select("node", shard.cast("int").alias("shard"), slot.cast("long").alias("slot")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _lines(text: Column) -> Column:
+    """The distinct lines of a text, bar blank ones, as (line, n): a hash of the trimmed line and its characters."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r")))
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("n"))))
+
+
+def line_links(held: DataFrame) -> DataFrame:
+    """(src, dst, weight): nodes that hold a line in common, by trees over its holders; weight is the characters of the lines.
+
+    held: (node, line, n), unique by node and line. A line's holders are dealt into PARTS by their number; each meets the first of its
+    part, and the firsts meet the first of all, so that a line that every node holds brings no node more than that part of them.
+    """
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
+    firsts = materialize(dealt.groupBy("line", "part").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("holders"), F.max("n").alias("n")), "shard-lines")
+    lower = dealt.drop("n").join(firsts.where("holders > 1"), ["line", "part"])
+    tops = firsts.groupBy("line").agg(F.min("dst").alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    upper = firsts.withColumnRenamed("dst", "node").join(tops.withColumnRenamed("top", "dst"), "line")
+    both = lower.select("node", "dst", "n").unionByName(upper.select("node", "dst", "n")).where("node <> dst")
+    return both.groupBy(F.col("node").alias("src"), "dst").agg(F.sum("n").alias("weight"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", lines: bool = False) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of docs, by the law `rows`.
 
     Rows of equal texts are linked, each to the first of its group, and stay together as far as the
     quotas allow; a group larger than a shard's quota, or than the room that larger groups left in
-    every shard, is spread. Null texts count as empty ones, of size 1. Repeated
+    every shard, is spread. With `lines`, rows that hold a line in common are linked too, and go to the same shard
+    as far as the propagation finds it. Null texts count as empty ones, of size 1. Repeated
     rows are rows of their own, each with its slot. Texts of any length count whole, and only their digests
     move; ids keep their types. Other columns are left aside, whatever their names; an empty table gives
     an empty result.
@@ -179,11 +204,16 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS, id_c
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(text.cast("binary")).alias("digest"),
+        *([_lines(text).alias("lines")] if lines else []),
     )
     rows = materialize(rows, "shard-rows")
     first = rows.groupBy("digest", "size").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    links = rows.join(first, ["digest", "size"]).where("node <> dst").select(F.col("node").alias("src"), "dst", F.lit(1).alias("weight"))
-    links = materialize(links, "shard-copies")
-    groups = links.select(F.col("src").alias("node"), F.col("dst").alias("group")).unionByName(links.select(F.col("dst").alias("node"), F.col("dst").alias("group")).distinct())
+    copies = rows.select("node", "digest", "size").join(first, ["digest", "size"]).where("node <> dst").select(F.col("node").alias("src"), "dst", F.lit(1).cast("long").alias("weight"))
+    copies = materialize(copies, "shard-copies")
+    groups = copies.select(F.col("src").alias("node"), F.col("dst").alias("group")).unionByName(copies.select(F.col("dst").alias("node"), F.col("dst").alias("group")).distinct())
+    links = copies
+    if lines:
+        shared = line_links(rows.select("node", F.explode("lines").alias("l")).select("node", "l.line", "l.n"))
+        links = copies.unionByName(shared).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     placed = balanced(rows.select("node"), links, shards, rounds, groups)
     return rows.join(placed, "node").select(F.col("doc").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
