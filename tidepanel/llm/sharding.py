@@ -1,10 +1,10 @@
 """Sharding by balanced label propagation.
 
-Documents of equal text are linked and, where asked for, those that share a line. Linked documents ask, round by round, for the shard in which most of their neighbours are, and a
-share of them moves there within the room that the shard's quota leaves, until none gains by a
-move or the cut no longer falls. Groups of copies that fit then take their shards whole. Documents
-without links fill what remains, so that the counts of any two shards differ by at most one (law
-`rows`).
+Documents of equal text are linked and, where asked for, those that share a line. Linked documents
+ask, round by round, for the shard in which most of their neighbours are, and a share of them moves
+there within the room that the shard's quota leaves, until none gains by a move or the cut no longer
+falls. Groups of copies that fit then take their shards whole. Documents without links fill what
+remains, so that the counts of any two shards differ by at most one (law `rows`).
 
 Every choice is a function of a row's number and the round, so a lost task repeats it. Only
 per-shard sums (at most the square of the shard count) reach the driver.
